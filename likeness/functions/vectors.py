@@ -97,3 +97,20 @@ def vector_mean(v) -> Column:
 def vector_moments(v) -> Column:
     """Struct(mean, variance, count); ``variance`` is the sample variance."""
     return Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(_col(v)))
+
+
+# The same helpers for SQL text.
+_SQL_FUNCTIONS = {
+    "vec_dot": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE",
+                "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
+    "vec_norm": ("a ARRAY<DOUBLE>", "DOUBLE", "sqrt(aggregate(a, 0D, (s, x) -> s + x * x))"),
+    "vec_l2": ("a ARRAY<DOUBLE>", "ARRAY<DOUBLE>",
+               "transform(array(vec_norm(a)), n -> transform(a, x -> x / if(n = 0, 1D, n)))[0]"),
+    "vec_cosine": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "vec_dot(vec_l2(a), vec_l2(b))"),
+}
+
+
+def register_sql_functions(spark) -> None:
+    """Define ``vec_dot``, ``vec_norm``, ``vec_l2`` and ``vec_cosine`` as temporary SQL functions."""
+    for name, (args, result, body) in _SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")

@@ -11,8 +11,7 @@ from likeness.functions.vectors import l2
 from likeness.operators import metrics as M
 from likeness.operators.ranking import first_by_key
 from likeness.operators.similarity import nearest, pair_histogram, score_histogram
-from likeness.operators.splits import enrolled_folds
-from likeness.operators.templates import fold_templates, pooled_queries, templates
+from likeness.operators.templates import enrolled, fold_sums, fold_templates, pooled_queries, templates
 from likeness.session import bounded
 
 KNOWN = "__known__"
@@ -28,13 +27,14 @@ def centroid_predictions(df: DataFrame, by: list[str], label: str = "ind", q_col
     Output: ``by, fold, q_cols, truth, pred, score``.
     """
     q_cols = q_cols or ["item", "window"]
-    temps = fold_templates(df, by, label, v)
+    sums = fold_sums(df, by, label, v)
+    temps = fold_templates(sums, by, label)
     queries = df.withColumn("_q", l2(v)).withColumn("truth", F.col(label))
     if enrolment == "all":
-        queries = queries.join(bounded(enrolled_folds(df, by, label)), [*by, "fold"], "left_semi")
+        queries = queries.join(enrolled(sums, by, label), [*by, "fold"], "left_semi")
     elif enrolment == "rows":
         queries = queries.join(
-            bounded(temps.select(*by, "fold", label).distinct()), [*by, "fold", label], "left_semi")
+            bounded(temps.select(*by, "fold", label), source=sums), [*by, "fold", label], "left_semi")
     elif enrolment != "none":
         raise ValueError(f"unknown enrolment {enrolment!r}")
     found = nearest(queries, temps.withColumnRenamed(label, "pred"), [*by, "fold"],
@@ -49,10 +49,10 @@ def fold_scores(preds: DataFrame, by: list[str]) -> DataFrame:
 def encounter_predictions(df: DataFrame, by: list[str], label: str = "ind", grp: str = "grp",
                           v: str = "v", **nearest_options) -> DataFrame:
     """Pool the test rows of one individual in one group, then match the pool."""
-    temps = fold_templates(df, by, label, v)
-    keep = bounded(enrolled_folds(df, by, label))
+    sums = fold_sums(df, by, label, v)
+    temps = fold_templates(sums, by, label)
     queries = pooled_queries(
-        df.join(keep, [*by, "fold"], "left_semi").withColumn("_u", l2(v)),
+        df.join(enrolled(sums, by, label), [*by, "fold"], "left_semi").withColumn("_u", l2(v)),
         [*by, "fold"], label, grp, "_u").withColumn("truth", F.col(label))
     return nearest(queries, temps.withColumnRenamed(label, "pred"), [*by, "fold"], [grp, "truth"], ["pred"],
                    k=1, q_vec="_u", **nearest_options).drop("rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from likeness import settings as S
@@ -11,10 +11,10 @@ from likeness.functions.vectors import dot, l2, vector_sum
 from likeness.operators import metrics as M
 from likeness.operators.classify import centroid_predictions, fold_scores
 from likeness.operators.probe import probe_predictions
-from likeness.operators.ranking import average_rank
+from likeness.operators.ranking import average_rank, hash_rank
 from likeness.operators.splits import group_folds, stratified_folds, thinned_samples
 from likeness.operators.templates import item_means
-from likeness.session import bounded
+from likeness.session import bounded, durable
 
 
 def predict(df: DataFrame, by: list[str], classifier: str, enrolment: str = "all", **options) -> DataFrame:
@@ -40,7 +40,7 @@ def domain_shift(df: DataFrame, by: list[str], classifier: str = "centroid", see
     """
     rows = usable_groups(df, by)
     cell = [*by, "ind"]
-    rows = stratified_folds(rows, cell, label="grp", k=S.N_FOLDS, adaptive=True, seed=seed, purpose="shift_fold")
+    rows = stratified_folds(rows, cell, label="grp", k=S.N_FOLDS, adaptive=True, seed=seed, purpose="shift_fold", unique=True)
     preds = predict(rows, cell, classifier, "none", label="grp", q_cols=["item"])
     acc = fold_scores(preds, cell).groupBy(*cell).agg(F.avg("accuracy").alias("accuracy"))
     info = rows.groupBy(*cell).agg(F.countDistinct("grp").alias("n_groups"), F.count("*").alias("n_items"))
@@ -93,14 +93,16 @@ def kinship(df: DataFrame, by: list[str], permutations: int = S.N_PERMUTATIONS,
     gap = F.round(F.col("same_sim") - F.col("diff_sim"), 12)
     observed = gaps(people, by, "family").withColumn("gap", gap).filter(
         (F.col("n_families") >= 2) & (F.col("n_individuals") >= 3) & (F.col("n_same") >= 2) & (F.col("n_diff") >= 2))
-    place = Window.partitionBy(*by).orderBy("ind")
-    seats = people.select(*by, F.row_number().over(place).alias("_p"), F.col("family").alias("_f"))
+    # A shuffle gives the n-th individual of a random order the family of the n-th individual.
+    seats = hash_rank(people.select(*by, "ind", "family"), by, F.md5("ind"), "_p", tie=["ind"])
+    seats = bounded(seats.select(*by, "_p", F.col("family").alias("_f")), source=people)
     perm = people.select(*by, "ind", "u").withColumn(
         "perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = Window.partitionBy(*by, "perm").orderBy(draw_key("kinship", "perm", "ind", seed=seed), "ind")
-    shuffled = perm.withColumn("_p", F.row_number().over(order)).join(bounded(seats), [*by, "_p"])
+    order = draw_key("kinship", "perm", "ind", seed=seed)
+    shuffled = hash_rank(perm, [*by, "perm"], order, "_p", tie=["ind"]).join(seats, [*by, "_p"])
     null = gaps(shuffled, [*by, "perm"], "_f").withColumn("null_gap", gap).filter(F.col("null_gap").isNotNull())
-    tail = null.join(bounded(observed.select(*by, "gap")), by).groupBy(*by).agg(
+    observed = bounded(observed)
+    tail = null.join(observed.select(*by, "gap"), by).groupBy(*by).agg(
         ((F.count_if(F.col("null_gap") >= F.col("gap")) + 1) / (F.count("*") + 1)).alias("p_permutation"))
     return observed.join(tail, by, "left").select(
         *by, "n_individuals", "n_families", F.col("same_sim").alias("same_family_similarity"),
@@ -131,16 +133,17 @@ def split_structure(df: DataFrame, by: list[str], ind: str = "ind", grp: str = "
 def leakage_experiment(df: DataFrame, by: list[str], conditions=S.THINNING_CONDITIONS, draws: int = S.THINNING_DRAWS,
                        classifier: str = "centroid", min_eligible: int = 4, seed: int = S.SEED) -> DataFrame:
     """Hold individuals and rows constant, vary items per group, and compare both splits."""
+    # Draws are small next to the table and feed every step below: written once, read from there.
     sample = thinned_samples(df, by, conditions, draws, seed=seed)
+    sample = durable(sample.join(df.select(*by, "item", "v"), [*by, "item"]))
     cell = [*by, "groups", "items", "draw"]
     everyone = sample.groupBy(*by).agg(F.countDistinct("ind").alias("n_individuals")).filter(
         F.col("n_individuals") >= min_eligible)
     everyone = bounded(everyone)
-    sample = sample.join(everyone.select(*by), by, "left_semi")
-    rows = sample.join(df.select(*by, "item", "v"), [*by, "item"])
+    rows = sample.join(everyone.select(*by), by, "left_semi")
     split = F.col("split")
     both = group_folds(rows, cell).withColumn("split", F.lit("group")).unionByName(
-        stratified_folds(rows, cell, seed=seed, purpose="thin_fold").withColumn("split", F.lit("random")))
+        stratified_folds(rows, cell, seed=seed, purpose="thin_fold", unique=True).withColumn("split", F.lit("random")))
     preds = predict(both, [*cell, "split"], classifier, "all", q_cols=["item"])
     acc = fold_scores(preds, [*cell, "split"]).groupBy(*cell).agg(
         F.avg(F.when(split == "group", F.col("accuracy"))).alias("g"),

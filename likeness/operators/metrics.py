@@ -89,7 +89,7 @@ def auc_eer(hist: DataFrame, by: list[str]) -> DataFrame:
         .withColumn("_np", F.lead("pos").over(down)).withColumn("_nn", F.lead("neg").over(down))
         .withColumn("_first", F.row_number().over(down) == 1)
     )
-    p, n = F.col("_pos_all").cast("double"), F.col("_neg_all").cast("double")
+    p, n = [F.nullif(F.col(c), F.lit(0)).cast("double") for c in ("_pos_all", "_neg_all")]
     vertex = F.col("_first") | F.col("_np").isNull() | (F.col("_np") != F.col("pos")) | (F.col("_nn") != F.col("neg"))
     fpr = F.col("_fp") / n
     gap = F.abs((1 - F.col("_tp") / p) - fpr)
@@ -101,7 +101,7 @@ def auc_eer(hist: DataFrame, by: list[str]) -> DataFrame:
     origin = F.col("_b.gap") >= 1.0
     return scored.select(
         *by, F.col("_pos_all").alias("n_pos"), F.col("_neg_all").alias("n_neg"),
-        F.when(ok, F.col("_u") / (F.col("_pos_all").cast("double") * F.col("_neg_all"))).alias("auc"),
+        F.when(ok, F.col("_u") / (p * n)).alias("auc"),
         F.when(ok, F.when(origin, 0.0).otherwise(F.col("_b.fpr"))).alias("eer"))
 
 

@@ -14,7 +14,7 @@ from likeness.functions.vectors import standardise
 from likeness.operators.similarity import _arrow, matrix
 from likeness.operators.splits import enrolled_folds
 from likeness.operators.templates import fold_scalers
-from likeness.session import bounded, small_table
+from likeness.session import bounded
 
 TASK_ROWS = 20_000
 
@@ -90,8 +90,7 @@ def probe_predictions(df: DataFrame, by: list[str], label: str = "ind", q_cols:
                 standardise("_v", "mean", "sd").alias("_x"))
     )
     sizes = rows.groupBy(*by, "fit").agg(F.count("*").alias("_n"), F.count_if(~F.col("_test")).alias("_train"))
-    table = small_table(sizes)
-    big = [] if table is None else [r for r in table.to_pylist() if r["_n"] > task_rows]
+    big = [r.asDict() for r in sizes.filter(F.col("_n") > task_rows).toLocalIterator()]
     schema = T.StructType(
         [df.schema[c_] for c_ in by] + [T.StructField("fold", T.IntegerType())]
         + [df.schema[c_] for c_ in q_cols] + [T.StructField("truth", T.StringType()), T.StructField("pred", T.StringType())]
@@ -115,12 +114,9 @@ def probe_predictions(df: DataFrame, by: list[str], label: str = "ind", q_cols:
         return pa.table(columns, schema=arrow_schema)
 
     small_rows = rows
-    if table is None or big:
+    if big:
         fits = sizes.filter(F.col("_n") <= task_rows).select(*by, "fit")
         small_rows = rows.join(bounded(fits), [*by, "fit"], "left_semi")
-    if table is None:
-        large = sizes.filter(F.col("_n") > task_rows).limit(10_000).toArrow().to_pylist()
-        big = large
     result = small_rows.groupBy(*by, "fit").applyInArrow(fit, schema)
     for unit in big:
         result = result.unionByName(_distributed(rows, by, unit, q_cols, c, max_iter).select(*schema.fieldNames()))

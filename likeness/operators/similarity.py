@@ -140,6 +140,7 @@ def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str
                    labels.iloc[order].reset_index(drop=True), matrix(right["_v"])[order])
         return pa.Table.from_pandas(out, schema=arrow_schema, preserve_index=False)
 
+    q, r = q.toDF(*q.columns), r.toDF(*r.columns)   # queries and references may be one frame
     key = [*on, "_qb", "_rb"]
     found = q.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(block, schema)
     w = Window.partitionBy(*on, *q_cols).orderBy(F.desc("score"), *r_cols)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from likeness import settings as S
 from likeness.functions.text import draw_key
 from likeness.operators.ranking import first_by_key, hash_rank, running_total
+from likeness.operators.templates import enrolled
 from likeness.session import bounded
 
 
@@ -98,23 +99,26 @@ def group_folds(df: DataFrame, by: list[str], grp: str = "grp", k: int = S.N_FOL
 
 def stratified_folds(df: DataFrame, by: list[str], label: str = "ind", item: list[str] | None = None,
                      k: int = S.N_FOLDS, adaptive: bool = False, seed: int = S.SEED,
-                     purpose: str = "stratified_fold") -> DataFrame:
+                     purpose: str = "stratified_fold", unique: bool = False) -> DataFrame:
     """Add ``fold``: rows in (label, digest) order are dealt round-robin.
 
     ``adaptive`` lowers k to the smallest class of the cell. The key is ``item``: windows of one
-    item stay together. Add ``window`` to ``item`` to deal windows instead.
+    item stay together. Add ``window`` to ``item`` to deal windows instead. ``unique`` promises one
+    row per ``item`` and saves the distinct and the join back.
     """
     item = item or ["item"]
-    units = df.select(*by, label, *item).distinct()
+    units = df if unique else df.select(*by, label, *item).distinct()
     classes = units.groupBy(*by, label).agg(F.count("*").alias("_n"))
     classes = running_total(classes, by, F.md5(F.col(label).cast("string")), "_start", F.col("_n"), tie=[label])
     small = Window.partitionBy(*by)
     classes = classes.withColumn(
         "_kk", F.least(F.lit(k), F.min("_n").over(small)) if adaptive else F.lit(k).cast("long"))
     placed = running_total(units, [*by, label], draw_key(purpose, *item, seed=seed), "_r", tie=item)
-    folds = placed.join(bounded(classes), [*by, label]).select(
-        *by, *item, F.pmod(F.col("_start") + F.col("_r"), F.col("_kk")).cast("int").alias("fold"))
-    return df.join(folds, [*by, *item])
+    fold = F.pmod(F.col("_start") + F.col("_r"), F.col("_kk")).cast("int").alias("fold")
+    placed = placed.join(bounded(classes.drop("_n")), [*by, label])
+    if unique:
+        return placed.select(*df.columns, fold)
+    return df.join(placed.select(*by, *item, fold), [*by, *item])
 
 
 def fold_sizes(df: DataFrame, by: list[str], label: str = "ind") -> DataFrame:
@@ -124,12 +128,7 @@ def fold_sizes(df: DataFrame, by: list[str], label: str = "ind") -> DataFrame:
 
 def enrolled_folds(df: DataFrame, by: list[str], label: str = "ind") -> DataFrame:
     """Folds whose train side holds every individual (``by, fold``)."""
-    counts = fold_sizes(df, by, label)
-    totals = counts.groupBy(*by, label).agg(F.sum("n").alias("_t"))
-    missing = (
-        counts.join(bounded(totals), [*by, label]).filter(F.col("n") == F.col("_t")).select(*by, "fold").distinct()
-    )
-    return counts.select(*by, "fold").distinct().join(missing, [*by, "fold"], "left_anti")
+    return enrolled(bounded(fold_sizes(df, by, label)), by, label)
 
 
 def leak_check(df: DataFrame, by: list[str], grp: str = "grp", label: str = "ind") -> DataFrame:

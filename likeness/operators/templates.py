@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likeness.functions.vectors import add, l2, subtract, vector_mean, vector_moments, vector_sum
+from likeness.functions.vectors import l2, subtract, vector_mean, vector_moments, vector_sum
 from likeness.session import bounded
 
 
@@ -21,21 +21,33 @@ def item_means(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     return df.groupBy(*keys).agg(vector_mean(v).alias(v))
 
 
-def fold_templates(df: DataFrame, by: list[str], label: str = "ind", v: str = "v") -> DataFrame:
-    """Train templates ``by, fold, label, t`` of unit vectors.
+def fold_sums(df: DataFrame, by: list[str], label: str = "ind", v: str = "v") -> DataFrame:
+    """``by, label, fold, s, n``: the sum of unit vectors and the row count. The only pass over rows
+    that templates and enrolment rules need."""
+    sums = df.groupBy(*by, label, "fold").agg(vector_sum(l2(v)).alias("s"), F.count("*").alias("n"))
+    return bounded(sums, max_rows=16_384)
 
-    One pass computes a sum per (label, fold); the train side of a fold is the label's total
-    minus that fold's own sum, so no row is visited once per fold. The unit mean and the unit
-    sum are the same vector. Labels without train rows in a fold have no template there.
+
+def enrolled(sums: DataFrame, by: list[str], label: str = "ind") -> DataFrame:
+    """``by, fold`` of folds whose train side holds every label."""
+    counts = sums.groupBy(*by, label, "fold").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy(*by, label).agg(F.sum("n").alias("_t"))
+    missing = counts.join(bounded(totals, source=sums), [*by, label]).filter(F.col("n") == F.col("_t"))
+    folds = counts.select(*by, "fold").distinct()
+    return bounded(folds.join(missing.select(*by, "fold").distinct(), [*by, "fold"], "left_anti"), source=sums)
+
+
+def fold_templates(sums: DataFrame, by: list[str], label: str = "ind") -> DataFrame:
+    """Train templates ``by, fold, label, t`` from ``fold_sums``.
+
+    The train side of a fold is the label's total minus that fold's own sum, so no row is visited
+    once per fold. The unit mean and the unit sum are the same vector. Labels without train rows
+    in a fold have no template there.
     """
-    own = df.groupBy(*by, label, "fold").agg(vector_sum(l2(v)).alias("_s"), F.count("*").alias("_n"))
-    own = bounded(own, max_rows=16_384)
-    folds = own.select(*by, "fold").distinct()
-    per_label = own.groupBy(*by, label).agg(
-        vector_sum("_s").alias("_t"), F.sum("_n").alias("_tn"))
-    spread = per_label.join(
-        bounded(folds.groupBy(*by).agg(F.array_sort(F.collect_set("fold")).alias("_f"))), by
-    ).withColumn("fold", F.explode("_f")).drop("_f")
+    own = sums.select(*by, label, "fold", F.col("s").alias("_s"), F.col("n").alias("_n"))
+    per_label = own.groupBy(*by, label).agg(vector_sum("_s").alias("_t"), F.sum("_n").alias("_tn"))
+    folds = own.groupBy(*by).agg(F.array_sort(F.collect_set("fold")).alias("_f"))
+    spread = per_label.join(bounded(folds, source=sums), by).withColumn("fold", F.explode("_f")).drop("_f")
     return (
         spread.join(own, [*by, label, "fold"], "left")
         .filter(F.col("_tn") > F.coalesce("_n", F.lit(0)))

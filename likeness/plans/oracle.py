@@ -429,7 +429,7 @@ t AS (SELECT ind, list(m ORDER BY d) AS q FROM m GROUP BY ind),
 fam AS (SELECT ind, min(family) AS family FROM e GROUP BY ind)""",
     unit("t", "tu", "q"),
     """pp AS (SELECT a.ind AS i, b.ind AS j, list_dot_product(a.u, b.u) AS s FROM tu a JOIN tu b ON a.ind < b.ind),
-seat AS (SELECT family, row_number() OVER (ORDER BY ind) AS p FROM fam),
+seat AS (SELECT family, row_number() OVER (ORDER BY md5(ind), ind) AS p FROM fam),
 sh AS (SELECT perm, ind, row_number() OVER (PARTITION BY perm ORDER BY md5('42|kinship|' || perm || '|' || ind), ind) AS p
   FROM fam, (SELECT unnest(range(2000)) AS perm) x),
 lab AS (SELECT perm, ind, family FROM sh JOIN seat USING (p) UNION ALL SELECT -1, ind, family FROM fam),

@@ -39,15 +39,29 @@ def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int =
     return table
 
 
-def bounded(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int = MAX_SMALL_BYTES) -> DataFrame:
+def bounded(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int = MAX_SMALL_BYTES,
+            source: DataFrame | None = None) -> DataFrame:
     """``df`` computed once and marked for broadcast if it is provably small, else unchanged.
 
-    Unchanged frames are joined by a shuffle, where adaptive execution splits skewed keys.
+    Unchanged frames are joined by a shuffle, where adaptive execution splits skewed keys. When
+    ``df`` aggregates a ``source`` that was found small before, it is small without a new check.
     """
+    if source is not None and is_small(source):
+        return _mark(F.broadcast(df))
     table = small_table(df, max_rows, max_bytes)
     if table is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
+    return _mark(F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema)))
+
+
+def _mark(df: DataFrame) -> DataFrame:
+    df._proven_small = True
+    return df
+
+
+def is_small(df: DataFrame) -> bool:
+    """Did ``bounded`` prove this very frame small?"""
+    return "_proven_small" in df.__dict__
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
