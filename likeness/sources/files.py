@@ -170,14 +170,11 @@ def _pad(content: bytes, min_seconds: float) -> tuple[bytes, int]:
 
 
 def audio_status(files: DataFrame) -> DataFrame:
-    """``path, status, frames, reason`` with status ok / empty / unreadable."""
+    """``path, status, frames, reason`` with status ok / empty / unreadable for a ``scan``."""
     def run(batches):
         for pdf in batches:
             out = []
-            for path, length, content in zip(pdf["path"], pdf["length"], pdf["content"]):
-                if length == 0:
-                    out.append((path, "empty", 0, "zero bytes"))
-                    continue
+            for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     _, channels, _, bits, _, size = _header(content)
                     frames = size // (channels * bits // 8)
@@ -186,7 +183,14 @@ def audio_status(files: DataFrame) -> DataFrame:
                     out.append((path, "unreadable", None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "status", "frames", "reason"]).astype({"frames": "Int64"})
 
-    return files.select("path", "length", "content").mapInPandas(run, "path string, status string, frames long, reason string")
+    schema = "path string, status string, frames long, reason string"
+    read = files.select("path", "content").mapInPandas(run, schema)
+    # A scan yields no row for a file of zero bytes; the file listing still names it.
+    one_slash = F.regexp_replace("path", "^file:/+", "file:/").alias("path")
+    listed = files.sparkSession.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(one_slash)
+    zero = listed.join(files.select("path"), "path", "left_anti").select(
+        "path", F.lit("empty").alias("status"), F.lit(0).cast("long").alias("frames"), F.lit("zero bytes").alias("reason"))
+    return read.unionByName(zero)
 
 
 def read_audio(files: DataFrame) -> DataFrame:
