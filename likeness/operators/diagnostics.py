@@ -113,9 +113,10 @@ def kinship(df: DataFrame, by: list[str], permutations: int = S.N_PERMUTATIONS,
 def split_structure(df: DataFrame, by: list[str], ind: str = "ind", grp: str = "grp", k: int = S.N_FOLDS) -> DataFrame:
     """How much could a leaky split reunite? From group sizes alone.
 
-    Rows are counted once per (group, individual); everything else is computed on those counts.
+    Rows are counted once per (group, individual). That count table is written out and everything
+    else is computed from it, so the rows themselves are read and joined once.
     """
-    base = df.groupBy(*by, grp, ind).agg(F.count("*").alias("_n"))
+    base = durable(df.groupBy(*by, grp, ind).agg(F.count("*").alias("_n")))
     per_group = base.groupBy(*by, grp).agg(F.sum("_n").alias("n"))
     per_ind = base.groupBy(*by, ind).agg(F.count("*").alias("g"))
     n, share = F.col("n").cast("double"), 1.0 / k

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.session import bounded
+from likeness.session import bounded, durable
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
@@ -28,9 +28,9 @@ def key_report(df: DataFrame, keys: list[str]) -> DataFrame:
 def describe(df: DataFrame, by: list[str], ind: str = "ind", grp: str = "grp", item: str = "item") -> DataFrame:
     """Rows, individuals, groups, least and most items per individual, groups with several individuals.
 
-    One pass to (individual, group, item) counts; every figure is derived from those.
+    One pass to (individual, group, item) counts, written out; every figure is derived from those.
     """
-    base = df.groupBy(*by, ind, grp, item).agg(F.count("*").alias("n"))
+    base = durable(df.groupBy(*by, ind, grp, item).agg(F.count("*").alias("n")))
     people = base.groupBy(*by, ind).agg(F.countDistinct(item).alias("k"), F.sum("n").alias("n"))
     people = people.groupBy(*by).agg(
         F.sum("n").alias("n_rows"), F.count("*").alias("n_individuals"),

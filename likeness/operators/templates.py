@@ -29,12 +29,15 @@ def fold_sums(df: DataFrame, by: list[str], label: str = "ind", v: str = "v") ->
 
 
 def enrolled(sums: DataFrame, by: list[str], label: str = "ind") -> DataFrame:
-    """``by, fold`` of folds whose train side holds every label."""
-    counts = sums.groupBy(*by, label, "fold").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy(*by, label).agg(F.sum("n").alias("_t"))
-    missing = counts.join(bounded(totals, source=sums), [*by, label]).filter(F.col("n") == F.col("_t"))
-    folds = counts.select(*by, "fold").distinct()
-    return bounded(folds.join(missing.select(*by, "fold").distinct(), [*by, "fold"], "left_anti"), source=sums)
+    """``by, fold`` of folds whose train side holds every label.
+
+    A label is missing from a fold's train side when all its rows lie in that fold. ``sums`` has
+    one row per label and fold.
+    """
+    totals = sums.groupBy(*by, label).agg(F.sum("n").alias("_t"))
+    held = sums.select(*by, label, "fold", "n").join(bounded(totals, source=sums), [*by, label])
+    folds = held.groupBy(*by, "fold").agg(F.count_if(F.col("n") == F.col("_t")).alias("_missing"))
+    return bounded(folds.filter(F.col("_missing") == 0).drop("_missing"), source=sums)
 
 
 def fold_templates(sums: DataFrame, by: list[str], label: str = "ind") -> DataFrame:

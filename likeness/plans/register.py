@@ -420,13 +420,9 @@ def kinship_permutation(spark, sf):
 
 @query
 def split_structure(spark, sf):
-    lines = order_lines(spark, sf)
-    rules = {"all": None, "final": {"status": "F"}}
-    out = None
-    for name, rule in rules.items():
-        one = subset(lines, rule).withColumn("subset", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return rounded(D.split_structure(out, ["subset"]))
+    final = F.when(F.col("status") == "F", F.lit("final"))
+    tags = F.explode(F.array_compact(F.array(F.lit("all"), final)))
+    return rounded(D.split_structure(order_lines(spark, sf).withColumn("subset", tags), ["subset"]))
 
 
 @query
