@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from likeness import settings as S
-from likeness.session import bounded
+from likeness.session import bounded, one_thread_per_task
 
 
 def deltas(frames: DataFrame, by: list[str], value: str = "value", frame: str = "frame", out: str = "delta") -> DataFrame:
@@ -108,6 +108,7 @@ def spectral_frames(clips: DataFrame, keys: list[str], n_mfcc: int, samples: str
                     + [pa.array(range(len(c)), pa.int32()), pa.array(list(c), pa.list_(pa.float64()))],
                     names=[*keys, "frame", "values"])
 
+    one_thread_per_task(clips)
     found = clips.select(*keys, samples).mapInArrow(run, schema)
     return found.select(*keys, "frame", F.posexplode("values").alias("coeff", "value"))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.session import bounded
+from likeness.session import bounded, one_thread_per_task
 
 
 # Classification -------------------------------------------------------------------------------
@@ -141,6 +141,7 @@ def cluster_scores(cont: DataFrame, by: list[str]) -> DataFrame:
     Expected information depends on marginal sizes only, so equal sizes are merged before the two
     margins meet: the product of distinct sizes, not of labels.
     """
+    one_thread_per_task(cont)
     cont = cont.withColumn("n", F.col("n").cast("double"))
     a = cont.groupBy(*by, "a").agg(F.sum("n").alias("na"))
     b = cont.groupBy(*by, "b").agg(F.sum("n").alias("nb"))

@@ -14,7 +14,7 @@ from likeness.functions.vectors import standardise
 from likeness.operators.similarity import _arrow, matrix
 from likeness.operators.splits import enrolled_folds
 from likeness.operators.templates import fold_scalers
-from likeness.session import bounded
+from likeness.session import bounded, one_thread_per_task, spread
 
 TASK_ROWS = 20_000
 
@@ -76,6 +76,7 @@ def probe_predictions(df: DataFrame, by: list[str], label: str = "ind", q_cols:
     A fit whose rows fit one task runs there, many fits at once. Larger fits run one after the
     other as distributed jobs with the same objective.
     """
+    one_thread_per_task(df)
     q_cols = q_cols or ["item", "window"]
     folds = bounded(fold_scalers(df, by, v).withColumnRenamed("fold", "fit"), max_rows=16_384)
     if enrolment == "all":
@@ -117,7 +118,7 @@ def probe_predictions(df: DataFrame, by: list[str], label: str = "ind", q_cols:
     if big:
         fits = sizes.filter(F.col("_n") <= task_rows).select(*by, "fit")
         small_rows = rows.join(bounded(fits), [*by, "fit"], "left_semi")
-    result = small_rows.groupBy(*by, "fit").applyInArrow(fit, schema)
+    result = spread(small_rows, [*by, "fit"]).groupBy(*by, "fit").applyInArrow(fit, schema)
     for unit in big:
         result = result.unionByName(_distributed(rows, by, unit, q_cols, c, max_iter).select(*schema.fieldNames()))
     return result

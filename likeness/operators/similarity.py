@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from likeness.functions.vectors import l2
-from likeness.session import bounded, small_table
+from likeness.session import bounded, is_small, one_thread_per_task, small_table, spread
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512
+PAIR_CHUNK_ROWS = 1024
 SCORE_DECIMALS = 9
 PAIR_DECIMALS = 6
 BROADCAST_ROWS = 50_000
@@ -65,6 +66,7 @@ def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str
     identify a reference. References within the byte bound are shipped to the tasks and queries
     are not shuffled at all; beyond it both sides are shuffled as block pairs.
     """
+    one_thread_per_task(queries)
     queries = queries.select(*on, *q_cols, F.col(q_vec).alias("_q"))
     refs = refs.select(*on, *r_cols, F.col(r_vec).alias("_v"))
     schema = T.StructType(
@@ -142,11 +144,19 @@ def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str
 
     q, r = q.toDF(*q.columns), r.toDF(*r.columns)   # queries and references may be one frame
     key = [*on, "_qb", "_rb"]
-    found = q.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(block, schema)
+    units = _units(blocks, F.col("_q_blocks") * F.col("_r_blocks"))
+    found = spread(q, key, units).groupBy(*key).cogroup(spread(r, key, units).groupBy(*key)).applyInArrow(block, schema)
     w = Window.partitionBy(*on, *q_cols).orderBy(F.desc("score"), *r_cols)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _units(blocks: DataFrame, per_cell) -> int:
+    """Number of block pairs, if the block table is at hand; it only sets the number of tasks."""
+    if not is_small(blocks):
+        return 0
+    return int(blocks.agg(F.sum(per_cell.cast("double"))).first()[0] or 0)
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -164,6 +174,7 @@ def pair_histogram(df: DataFrame, by: list[str], item: list[str] | None = None,
     """
     if not 1 <= decimals <= 6:
         raise ValueError("decimals must lie in 1..6: it bounds the size of the histogram")
+    one_thread_per_task(df)
     item = item or ["item", "window"]
     rows = df.select(*by, *item, F.col(label).alias("_l"), F.col(grp).alias("_g"), l2(v).alias("_v"))
     blocks = bounded(df.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks")))
@@ -187,25 +198,38 @@ def pair_histogram(df: DataFrame, by: list[str], item: list[str] | None = None,
         who = _codes(table["_l"])
         src = _codes(table["_g"])
         side = np.asarray(table["_b"])
-        a = np.flatnonzero(side == lo)
-        b = a if lo == hi else np.flatnonzero(side == hi)
         size = 2 * scale + 1
         pos, neg = np.zeros(size, "int64"), np.zeros(size, "int64")
-        right = vectors[b].T
-        for start in range(0, len(a), CHUNK_ROWS):
-            rows_ = a[start:start + CHUNK_ROWS]
-            s = np.rint(np.clip(vectors[rows_] @ right, -1.0, 1.0) * scale).astype("int64") + scale
-            same = who[rows_][:, None] == who[b][None, :]
-            other_group = src[rows_][:, None] != src[b][None, :]
-            use = np.ones_like(same)
+
+        def tally(rows_, cols, used=None):
+            if not len(rows_) or not len(cols):
+                return
+            s = vectors[rows_] @ vectors[cols].T
+            s *= scale
+            bins = np.rint(s, out=s).astype("int64")
+            bins += scale
+            same = who[rows_][:, None] == who[cols][None, :]
+            if used is not None:
+                same &= used
+            everything = np.bincount(bins.ravel() if used is None else bins[used], minlength=size)
+            neg[:] += everything - np.bincount(bins[same], minlength=size)
+            same &= src[rows_][:, None] != src[cols][None, :]
+            pos[:] += np.bincount(bins[same], minlength=size)
+
+        a = np.flatnonzero(side == lo)
+        b = a if lo == hi else np.flatnonzero(side == hi)
+        for start in range(0, len(a), PAIR_CHUNK_ROWS):
+            part = a[start:start + PAIR_CHUNK_ROWS]
             if lo == hi:
-                use = np.arange(len(b))[None, :] > (start + np.arange(len(rows_)))[:, None]
-            pos += np.bincount(s[same & other_group & use], minlength=size)
-            neg += np.bincount(s[~same & use], minlength=size)
+                tally(part, part, np.triu(np.ones((len(part), len(part)), bool), 1))
+                tally(part, a[start + PAIR_CHUNK_ROWS:])
+            else:
+                tally(part, b)
         keep = np.flatnonzero(pos + neg)
         cells = {c: [key[i].as_py()] * len(keep) for i, c in enumerate(by)}
         return pa.table({**cells, "bin": keep - scale, "pos": pos[keep], "neg": neg[keep]}, schema=arrow_schema)
 
+    rows = spread(rows, [*by, "_lo", "_hi"], _units(blocks, F.col("_blocks") * (F.col("_blocks") + 1) / 2))
     counted = rows.groupBy(*by, "_lo", "_hi").applyInArrow(count, schema)
     return counted.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 

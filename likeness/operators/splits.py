@@ -11,7 +11,7 @@ from likeness import settings as S
 from likeness.functions.text import draw_key
 from likeness.operators.ranking import first_by_key, hash_rank, running_total
 from likeness.operators.templates import enrolled
-from likeness.session import bounded
+from likeness.session import bounded, one_thread_per_task
 
 
 def _deal_segments(hist: pd.DataFrame, k_max: int) -> list[tuple]:
@@ -53,6 +53,7 @@ def group_fold_table(df: DataFrame, by: list[str], grp: str = "grp", k: int = S.
     rank_mod  position in size order, modulo k
     hash      digest of the group key modulo k (no order at all)
     """
+    one_thread_per_task(df)
     sizes = df.groupBy(*by, grp).agg(F.count("*").alias("n"))
     key = draw_key("group_fold", grp, seed=seed)
     if strategy == "hash":

@@ -28,6 +28,13 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "liken
     return spark
 
 
+def one_thread_per_task(df: DataFrame) -> None:
+    """Spark already runs one task per core: keep NumPy in those tasks from starting threads of its own."""
+    env = df.sparkSession.sparkContext.environment
+    for name in ("OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "OMP_NUM_THREADS"):
+        env.setdefault(name, "1")
+
+
 def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int = MAX_SMALL_BYTES):
     """The rows of ``df`` as an Arrow table, or None when they exceed the bound.
 
@@ -64,6 +71,18 @@ def is_small(df: DataFrame) -> bool:
     return "_proven_small" in df.__dict__
 
 
+def spread(df: DataFrame, keys: list[str], units: int = 0, most: int = 100_000) -> DataFrame:
+    """Hash ``df`` on ``keys`` over a fixed number of tasks.
+
+    Adaptive execution merges shuffle partitions by their bytes. Work that costs far more per
+    byte (a model fit, a product of two blocks) would end up in one task, so its parallelism is
+    stated: the number of work units, at least four per core.
+    """
+    spark = df.sparkSession
+    least = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(min(max(least, units), most), *keys)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only for a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
