@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from likeness.session import bounded, one_thread_per_task
 
@@ -73,36 +76,35 @@ def lift(df: DataFrame, accuracy_col: str, n_col: str) -> DataFrame:
 
 # Verification ---------------------------------------------------------------------------------
 def auc_eer(hist: DataFrame, by: list[str]) -> DataFrame:
-    """ROC AUC (ties count one half) and equal error rate; null when one side is empty.
+    """``by, n_pos, n_neg, auc, eer``: ROC AUC (ties count one half) and equal error rate.
 
     The equal error rate is the false positive rate at the ROC vertex with the least
     |false negative - false positive|. Collinear vertices are dropped first and the origin is
-    added after that; a tie goes to the highest threshold. The histogram of a cell is bounded
-    (see ``pair_histogram``), so one window per cell is too.
+    added after that; a tie goes to the highest threshold. Both are null when one side is empty.
+    A cell's histogram is bounded (see ``pair_histogram``), so one task can walk it.
     """
-    down = Window.partitionBy(*by).orderBy(F.desc("bin"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    h = (
-        hist.withColumn("_pos_all", F.sum("pos").over(whole)).withColumn("_neg_all", F.sum("neg").over(whole))
-        .withColumn("_tp", F.sum("pos").over(upto)).withColumn("_fp", F.sum("neg").over(upto))
-        .withColumn("_np", F.lead("pos").over(down)).withColumn("_nn", F.lead("neg").over(down))
-        .withColumn("_first", F.row_number().over(down) == 1)
-    )
-    p, n = [F.nullif(F.col(c), F.lit(0)).cast("double") for c in ("_pos_all", "_neg_all")]
-    vertex = F.col("_first") | F.col("_np").isNull() | (F.col("_np") != F.col("pos")) | (F.col("_nn") != F.col("neg"))
-    fpr = F.col("_fp") / n
-    gap = F.abs((1 - F.col("_tp") / p) - fpr)
-    best = F.min(F.when(vertex, F.struct(gap.alias("gap"), (-F.col("bin")).alias("o"), fpr.alias("fpr"))))
-    scored = h.groupBy(*by).agg(
-        F.max("_pos_all").alias("_pos_all"), F.max("_neg_all").alias("_neg_all"),
-        F.sum(F.col("pos") * (n - F.col("_fp") + F.col("neg") / 2.0)).alias("_u"), best.alias("_b"))
-    ok = (F.col("_pos_all") > 0) & (F.col("_neg_all") > 0)
-    origin = F.col("_b.gap") >= 1.0
-    return scored.select(
-        *by, F.col("_pos_all").alias("n_pos"), F.col("_neg_all").alias("n_neg"),
-        F.when(ok, F.col("_u") / (p * n)).alias("auc"),
-        F.when(ok, F.when(origin, 0.0).otherwise(F.col("_b.fpr"))).alias("eer"))
+    schema = T.StructType([hist.schema[c] for c in by] + [
+        T.StructField("n_pos", T.LongType()), T.StructField("n_neg", T.LongType()),
+        T.StructField("auc", T.DoubleType()), T.StructField("eer", T.DoubleType())])
+    arrow_schema = to_arrow_schema(schema)
+
+    def walk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        down = np.argsort(-np.asarray(table["bin"]))
+        pos, neg = np.asarray(table["pos"])[down], np.asarray(table["neg"])[down]
+        tp, fp = np.cumsum(pos), np.cumsum(neg)
+        p, n = int(tp[-1]), int(fp[-1])
+        auc = eer = None
+        if p and n:
+            auc = float((pos * (n - fp + neg / 2.0)).sum() / (float(p) * n))
+            bend = np.ones(len(pos), bool)
+            bend[1:-1] = (pos[1:-1] != pos[2:]) | (neg[1:-1] != neg[2:])
+            fpr = np.concatenate([[0.0], fp[bend] / n])
+            tpr = np.concatenate([[0.0], tp[bend] / p])
+            eer = float(fpr[np.argmin(np.abs((1 - tpr) - fpr))])
+        cells = {c: [k.as_py()] for c, k in zip(by, key)}
+        return pa.table({**cells, "n_pos": [p], "n_neg": [n], "auc": [auc], "eer": [eer]}, schema=arrow_schema)
+
+    return hist.select(*by, "bin", "pos", "neg").groupBy(*by).applyInArrow(walk, schema)
 
 
 # Clustering -----------------------------------------------------------------------------------

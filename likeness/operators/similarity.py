@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from likeness.functions.vectors import l2
+from likeness.functions.vectors import l2, vector_sum
 from likeness.session import bounded, is_small, one_thread_per_task, small_table, spread
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512
 PAIR_CHUNK_ROWS = 1024
+SLICE_BINS = 4096
 SCORE_DECIMALS = 9
 PAIR_DECIMALS = 6
 BROADCAST_ROWS = 50_000
@@ -185,10 +186,10 @@ def pair_histogram(df: DataFrame, by: list[str], item: list[str] | None = None,
         .withColumn("_lo", F.least("_b", "_o")).withColumn("_hi", F.greatest("_b", "_o"))
         .select(*by, "_lo", "_hi", "_b", "_l", "_g", "_v")
     )
+    counts = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [df.schema[c] for c in by]
-        + [T.StructField(c, T.LongType()) for c in ("bin", "pos", "neg")]
-    )
+        + [T.StructField("_slice", T.LongType()), T.StructField("pos", counts), T.StructField("neg", counts)])
     arrow_schema = _arrow(schema)
     scale = 10 ** decimals
 
@@ -225,22 +226,31 @@ def pair_histogram(df: DataFrame, by: list[str], item: list[str] | None = None,
                 tally(part, a[start + PAIR_CHUNK_ROWS:])
             else:
                 tally(part, b)
-        keep = np.flatnonzero(pos + neg)
+        # One row per slice of bins: far fewer rows to add up than one per bin.
+        pos, neg = [np.pad(c, (0, -size % SLICE_BINS)).reshape(-1, SLICE_BINS) for c in (pos, neg)]
+        keep = np.flatnonzero((pos + neg).any(axis=1))
         cells = {c: [key[i].as_py()] * len(keep) for i, c in enumerate(by)}
-        return pa.table({**cells, "bin": keep - scale, "pos": pos[keep], "neg": neg[keep]}, schema=arrow_schema)
+        return pa.table({**cells, "_slice": keep, "pos": list(pos[keep].astype(float)), "neg": list(neg[keep].astype(float))},
+                        schema=arrow_schema)
 
     rows = spread(rows, [*by, "_lo", "_hi"], _units(blocks, F.col("_blocks") * (F.col("_blocks") + 1) / 2))
     counted = rows.groupBy(*by, "_lo", "_hi").applyInArrow(count, schema)
-    return counted.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
-def _codes(column) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.asarray(column.dictionary_encode().indices)
+    total = counted.groupBy(*by, "_slice").agg(vector_sum("pos").alias("pos"), vector_sum("neg").alias("neg"))
+    bins = total.select(*by, "_slice", F.posexplode(F.arrays_zip("pos", "neg")).alias("_i", "_c"))
+    whole = lambda c: F.rint(c).cast("long")
+    return bins.select(
+        *by, (F.col("_slice") * SLICE_BINS + F.col("_i") - scale).alias("bin"),
+        whole(F.col("_c.pos")).alias("pos"), whole(F.col("_c.neg")).alias("neg"),
+    ).filter((F.col("pos") > 0) | (F.col("neg") > 0))
 
 
 def score_histogram(df: DataFrame, by: list[str], score: str, is_positive, decimals: int = PAIR_DECIMALS) -> DataFrame:
     """The same histogram for one score per row."""
     return df.groupBy(*by, F.rint(F.col(score) * 10 ** decimals).cast("long").alias("bin")).agg(
         F.count_if(is_positive).alias("pos"), F.count_if(~is_positive).alias("neg"))
+
+
+def _codes(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.dictionary_encode().indices)
