@@ -14,10 +14,11 @@ from likeness.llm.common import (
     components, mix, slices, small_batches, stored, text_key, translation, utf8, word_hashes,
 )
 
-HASHES = 128            # minima of a signature
-BITS = 2                # low bits kept of each
+HASHES = 256            # minima of a signature
+BITS = 4                # low bits kept of each
 BANDS, ROWS = 25, 5     # a pair of similarity 0.85 misses all bands with probability 4e-7
-MARGIN = 0.15           # four deviations of the estimated similarity at 0.85
+MARGIN = 0.1            # four deviations of the estimated similarity at 0.8 to 0.85
+ROUNDS = 4              # rounds in which a bucket's members meet one of them, before those left meet all
 BLANKS = translation(lambda c: c == 32 or 9 <= c <= 13)
 _SEEDS = np.random.default_rng(20240229)
 MULTIPLY = (_SEEDS.integers(1, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -119,9 +120,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row per input row: id, h (text key), n_shingles, node (digest of the set), root (node that
     names the component; null for rows that take no part), component_id
     (least id reachable over links, itself included) and kept. Documents with equal sets are one
-    node, so copies make no pairs. Bands propose pairs: first each member of a bucket with the
-    bucket's least node, then, in buckets that still hold several components, every member outside
-    the largest component with the members of other components. Pairs whose estimated similarity
+    node, so copies make no pairs. Bands propose pairs. For a few rounds every member of a bucket that
+    holds several components meets one member, another one each time, so that groups of alike
+    documents become one component in linear work. Then, in buckets that still hold several, every
+    member outside the largest component meets the members of other components: no candidate is
+    left out, but pairs inside a component are not made. Pairs whose estimated similarity
     is within ``MARGIN`` of the limit are confirmed on the full sets.
 
     Empty and null texts have no shingles and are linked with nothing; a row without an id takes
@@ -136,17 +139,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                      F.first("bits").alias("bits"))
     nodes = stored(nodes)
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("low")).where("m > 1")
-    members = stored(banded.join(shared, "bucket").select("bucket", "node", "low"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+    members = stored(banded.join(shared, "bucket"))
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "h", "bits")
     # one text per node; copies of a text are equal, so any of them serves
     texts = stored(rows.select("text", text_key("text").alias("h")).join(wanted, "h")
                    .groupBy("node").agg(F.first("text").alias("text"), F.first("bits").alias("bits")))
-    first = stored(_linked(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(),
-                           texts, width, percent))
-    found = components(first)
-    placed = members.join(found, "node", "left").select(
-        "bucket", "node", F.coalesce("root", "node").alias("root"))
+    found = texts.select("node", F.col("node").alias("root"))
+    for turn in range(ROUNDS):
+        placed = members.join(found, "node")
+        star = placed.groupBy("bucket").agg(
+            F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "root")).alias("s"),
+            F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", F.col("s.node").alias("star"), F.col("s.root").alias("other"))
+        pairs = placed.join(star, "bucket").where("root <> other").select(
+            F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
+        links = stored(_linked(pairs, texts, width, percent))
+        if links.isEmpty():
+            break
+        found = _joined(found, links)
+    placed = members.join(found, "node")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     open_ = stored(placed.join(mixed.select("bucket"), "bucket"))
     main = (open_.groupBy("bucket", "root").count()
@@ -154,8 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside = open_.join(main, "bucket").where("root <> main")
     pairs = (outside.alias("o").join(open_.alias("p"), "bucket").where("o.root <> p.root")
              .select(F.least("o.node", "p.node").alias("a"), F.greatest("o.node", "p.node").alias("b")).distinct())
-    second = _linked(pairs, texts, width, percent)
-    final = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(second))
+    final = _joined(found, stored(_linked(pairs, texts, width, percent)))
     named = final.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("component_id"))
     grouped = final.join(named, "root").select("node", "root", "component_id")
     lone = nodes.select("node", F.col("id").alias("own"))
@@ -169,6 +179,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, root) after the links between nodes are added: roots of linked nodes are one."""
+    edges = (links.join(found.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+             .join(found.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y"))
+    merged = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return stored(found.join(merged.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left")
+                  .select("node", F.coalesce("least", "root").alias("root")))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the least id, then the least text key.
 
