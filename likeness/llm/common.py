@@ -15,6 +15,7 @@ from likeness.session import checkpoint_dir
 SPACE = np.uint8(32)
 BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2**64
 SLICE_BYTES = 1 << 18
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession, mb: int = 4) -> None:
@@ -26,11 +27,16 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it again.
 
     The lineage is cut, lost executors lose nothing, and later passes read only the columns they use.
+    Shuffle files of the writing job go when it ends; the written table stands in for them.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()      # lets Spark delete the shuffle files that nothing needs any more
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = distinct.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"),
                             F.pmod(F.hash("d"), F.lit(SHARDS)).alias("shard"), "d", "n", "seg")
     shards = dealt.groupBy("bucket", "shard").applyInArrow(_shard, "bucket long, d binary, twice binary, columns binary")
-    runs = shards.groupBy("bucket").applyInArrow(_merged(length), "d binary, first long, last long")
+    runs = stored(shards.groupBy("bucket").applyInArrow(_merged(length), "d binary, first long, last long"))
     spans = (cut.select("h", "pos", "d").join(runs, "d")
              .select("h", (F.col("pos") + F.col("first")).alias("first"), (F.col("pos") + F.col("last")).alias("last"))
              .groupBy("h").agg(F.collect_set(F.struct("first", "last")).alias("starts")))
