@@ -22,7 +22,7 @@ def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return quality(docs, table(spark, sf_dir, "labels")).where("_keep").select(*docs.columns)
+    return quality(docs, table(spark, sf_dir, "labels")).where("_keep").drop("_evidence", "_site_share", "_path_share", "_quality", "_keep")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

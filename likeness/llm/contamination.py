@@ -163,10 +163,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     Null texts have no words and a null _clean; empty texts stay empty; items without words or id
     match nothing; equal items are found together. Items are matched in blocks of bounded size,
-    one pass over the texts for each, so any number of items fits.
+    one pass over the texts for each, so any number of items fits. Input columns with the names of the
+    added ones give way to them.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop("_text", "_spans", "_items", "_n_words", "_n_hit", "_clean")
     blocks = item_blocks(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")))
     names = docs.columns
     rows = docs.select("*", F.col(text_col).cast("string").alias("_text"),

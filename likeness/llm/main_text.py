@@ -230,9 +230,11 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     its edges to the terminals; neighbouring blocks and blocks of one parent are tied by smoothness
     edges; the minimum cut labels them. Character references are decoded, white space inside a block
     is one space, blocks are joined by one space in page order. Null and empty pages have an empty
-    text. Rows are independent, so nothing is shuffled; other columns stay.
+    text. Rows are independent, so nothing is shuffled; other columns stay,
+    but for those named _text and _n_chars.
     """
     small_batches(pages.sparkSession)
+    pages = pages.drop("_text", "_n_chars")
     names = pages.columns
     at = names.index(html_col)
 

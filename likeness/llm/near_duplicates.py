@@ -192,8 +192,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group of near duplicates: the least id, then the least text key.
 
     Texts without words and rows without an id are groups of their own; of rows that repeat an id and
-    its text one stays.
+    its text one stays. Columns named _id and _h are left out.
     """
+    docs = docs.drop("_id", "_h")
     found = near_duplicates(docs, id_col, text_col, **limits)
     keep = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), "h")).alias("k"))
     keep = keep.select(F.col("k.id").alias("_id"), F.col("k.h").alias("_h"))

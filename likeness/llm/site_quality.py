@@ -105,10 +105,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     Empty and null texts have no evidence beyond their length; null sites and paths are cells of
     their own; rows with equal ids are judged one by one; without labels of both kinds every
-    document is kept. Input columns stay.
+    document is kept. Input columns stay, but for those named like the added ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop("_evidence", "_site", "_path_key", "_site_share", "_path_share", "_quality", "_keep")
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_y"))
     share = min(1.0, fit_rows / max(known.count(), 1))

@@ -180,8 +180,10 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrog
     script stay.
 
     Texts without entities, empty and null ones are returned as they are and take no part in any
-    shuffle. Copies of a text share its entities. Other columns stay.
+    shuffle. Copies of a text share its entities. Other columns stay, but for those named _n_entities,
+    _h, _m and _known.
     """
+    docs = docs.drop("_n_entities", "_h", "_m", "_known")
     text = F.col(text_col)
     names = docs.columns
     mentions = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))

@@ -156,10 +156,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts have no matches and get the score of such texts; rows without id count as
     not held out and are not learned from; ids labelled twice take the larger label; without labels
-    of both kinds every score is 0. Input columns stay.
+    of both kinds every score is 0. Input columns stay, but for those named like the added ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop("_weight", "_score", "_predicted", "_held_out")
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(~held)
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")))
@@ -182,19 +183,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                      batch.column(1)], names=["x", "toxic"])
         for r in rows.mapInArrow(measure, "x double, toxic int").groupBy("x", "toxic").count().collect():
             tally[r["x"], r["toxic"]] = r["count"]
-    a, b = -40.0, 0.0
+    a = b = 0.0
     if tally:
         cells = sorted(tally)
         a, b = fit_scale(np.array([x for x, _ in cells]), np.array([float(y) for _, y in cells]),
                          np.array([float(tally[c]) for c in cells]))
-    names = docs.columns
+    names, fitted = docs.columns, bool(tally)
     at = names.index(text_col)
 
     def score(batches):
         automaton = _automaton(shared.value)
         for batch in batches:
             found = [evidence(fold(t or ""), automaton) for t in batch.column(at).to_pylist()]
-            p = 1 / (1 + np.exp(-np.clip(a + b * np.array(found, float), -700, 700)))
+            p = 1 / (1 + np.exp(-np.clip(a + b * np.array(found, float), -700, 700))) if fitted else np.zeros(len(found))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array(p)],
                                              names=[*names, "_weight", "_score"])
 
