@@ -14,7 +14,7 @@ def _col(c) -> Column:
 
 def is_missing(c) -> Column:
     c = _col(c).cast("string")
-    return c.isNull() | F.trim(c).isin(MISSING_TOKENS)
+    return c.isNull() | F.regexp_replace(c, r"^\s+|\s+$", "").isin(MISSING_TOKENS)
 
 
 def missing_to_null(c) -> Column:
@@ -50,9 +50,9 @@ def human_size(nbytes) -> Column:
     b = _col(nbytes).cast("double")
     return (
         F.when(b < 1024, F.format_string("%.0f B", b))
-        .when(b < 1024**2, F.format_string("%.1f KB", b / 1024))
-        .when(b < 1024**3, F.format_string("%.1f MB", b / 1024**2))
-        .otherwise(F.format_string("%.1f GB", b / 1024**3))
+        .when(b < 1024**2, F.format_string("%.1f KB", F.bround(b / 1024, 1)))
+        .when(b < 1024**3, F.format_string("%.1f MB", F.bround(b / 1024**2, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(b / 1024**3, 1)))
     )
 
 

@@ -108,7 +108,7 @@ def few_shot_scores(known: DataFrame, novel: DataFrame, by: list[str], shots: li
     keys = novel.select(*by, label, *item).withColumn("draw", draw_ids)
     result = None
     for shot in shots:
-        key = draw_key(f"support_{shot}", *by, "draw", *item, seed=seed)
+        key = draw_key(f"support_{shot}", *(c for c in by if c != "model"), "draw", *item, seed=seed)
         chosen = bounded(first_by_key(keys, [*by, "draw", label], key, shot, item))
         support = chosen.join(novel.select(*by, *item, F.col(v).alias("t")), [*by, *item]).select(
             *by, "draw", F.col(label).alias("pred"), *as_ref, "t")

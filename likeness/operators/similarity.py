@@ -31,10 +31,18 @@ def matrix(column) -> np.ndarray:
     """An Arrow list column as a dense (rows, dim) array."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = np.unique(np.asarray(column.value_lengths()))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of one evaluation differ in length: {sizes.tolist()[:5]}")
     flat = np.asarray(column.flatten())
     return flat.reshape(len(column), -1)
 
 
+def picked(column, index: np.ndarray) -> np.ndarray:
+    """Some rows of an Arrow list column as a dense array; other rows may have another length."""
+    return matrix(column.take(pa.array(index, pa.int64())))
+
+
 def _top_positions(q: np.ndarray, r: np.ndarray, k: int, decimals: int):
     """Positions and scores of the k best references per query; ties go to the earlier row.
 
@@ -90,27 +98,25 @@ def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str
     table = small_table(refs, broadcast_rows, broadcast_bytes) if broadcast_rows else None
     if table is not None:
         ref_keys = table.select(on + r_cols).to_pandas()
-        ref_matrix = matrix(table["_v"]) if table.num_rows else np.zeros((0, 1))
         order = ref_keys.sort_values(r_cols, kind="stable").index
         cells: dict[tuple, tuple] = {}
         grouped = ref_keys.loc[order].groupby(on, sort=False).groups if on else {(): order}
         for cell, index in grouped.items():
             cell = cell if isinstance(cell, tuple) else (cell,)
             index = np.asarray(index)
-            cells[cell] = (ref_keys.loc[index, r_cols].reset_index(drop=True), ref_matrix[index])
+            cells[cell] = (ref_keys.loc[index, r_cols].reset_index(drop=True), picked(table["_v"], index))
 
         def scan(batches):
             for batch in batches:
                 keys = batch.select(on + q_cols).to_pandas()
                 if keys.empty:
                     continue
-                q = matrix(batch.column("_q"))
                 groups = keys.groupby(on, sort=False).indices if on else {(): np.arange(len(keys))}
                 for cell, index in groups.items():
                     cell = cell if isinstance(cell, tuple) else (cell,)
                     if cell in cells:
                         labels, r = cells[cell]
-                        out = emit(keys.iloc[index].reset_index(drop=True), q[index], labels, r)
+                        out = emit(keys.iloc[index].reset_index(drop=True), picked(batch.column("_q"), index), labels, r)
                         yield from pa.Table.from_pandas(
                             out, schema=arrow_schema, preserve_index=False).to_batches()
 

@@ -144,12 +144,17 @@ def leak_check(df: DataFrame, by: list[str], grp: str = "grp", label: str = "ind
     )
 
 
+def _repeat(by: list[str]) -> list[str]:
+    """The cell columns a random draw depends on: all models of a repeat draw the same items."""
+    return [c for c in by if c != "model"]
+
+
 def within_label_split(df: DataFrame, by: list[str], label: str = "ind", item: list[str] | None = None,
                        test_fraction: float = S.KNOWN_TEST_FRACTION, seed: int = S.SEED,
                        purpose: str = "within_split") -> DataFrame:
     """Add ``is_test``: the last items of each individual; at least one item stays in training."""
     item = item or ["item"]
-    ranked = hash_rank(df, [*by, label], draw_key(purpose, *by, *item, seed=seed), "_r", tie=item)
+    ranked = hash_rank(df, [*by, label], draw_key(purpose, *_repeat(by), *item, seed=seed), "_r", tie=item)
     cuts = df.groupBy(*by, label).agg(
         F.greatest(F.lit(1), F.rint(F.count("*") * (1 - test_fraction))).alias("_cut"))
     return (
@@ -162,7 +167,7 @@ def validation_split(df: DataFrame, by: list[str], label: str = "ind", item: lis
                      fraction: float = S.VALIDATION_FRACTION, seed: int = S.SEED) -> DataFrame:
     """Add ``is_validation``: a slice of each class that never takes the whole class."""
     item = item or ["item"]
-    ranked = hash_rank(df, [*by, label], draw_key("validation", *by, *item, seed=seed), "_r", tie=item)
+    ranked = hash_rank(df, [*by, label], draw_key("validation", *_repeat(by), *item, seed=seed), "_r", tie=item)
     n = F.count("*")
     cuts = df.groupBy(*by, label).agg(
         F.when(n >= 2, F.least(F.greatest(F.lit(1.0), F.rint(n * fraction)), n - 1.0))

@@ -183,11 +183,11 @@ FROM fo s LEFT JOIN lk ON lk.split = s.split LEFT JOIN en ON en.split = s.split
 ORACLE["within_label_split"] = sql(
     EMB, select="""SELECT item, ind, rn > greatest(1, round_even(n * 0.8, 0)) AS is_test FROM (
   SELECT item, ind, count(*) OVER (PARTITION BY ind) AS n,
-         row_number() OVER (PARTITION BY ind ORDER BY md5('42|within_split|emb|' || item), item) AS rn FROM e)""")
+         row_number() OVER (PARTITION BY ind ORDER BY md5('42|within_split|' || item), item) AS rn FROM e)""")
 ORACLE["validation_split"] = sql(
     EMB, select="""SELECT item, ind, rn <= CASE WHEN n >= 2 THEN least(greatest(1, round_even(n * 0.15, 0)), n - 1) ELSE 0 END AS is_validation FROM (
   SELECT item, ind, count(*) OVER (PARTITION BY ind) AS n,
-         row_number() OVER (PARTITION BY ind ORDER BY md5('42|validation|emb|' || item), item) AS rn FROM e)""")
+         row_number() OVER (PARTITION BY ind ORDER BY md5('42|validation|' || item), item) AS rn FROM e)""")
 
 HELD = """held AS (
   SELECT rep, ind FROM (
@@ -325,7 +325,7 @@ ORACLE["closed_set_frozen"] = sql(*CLOSED, select="""SELECT
 HELD_OUT = (EMB, HELD, """ro AS (
   SELECT CAST(r.rep AS VARCHAR) AS cell, e.item, e.win, e.ind, e.grp, e.v, h.ind IS NOT NULL AS novel,
          count(*) OVER (PARTITION BY r.rep, e.ind) AS n,
-         row_number() OVER (PARTITION BY r.rep, e.ind ORDER BY md5('42|within_split|emb|' || r.rep || '|' || e.item || '|' || e.win), e.item) AS rn
+         row_number() OVER (PARTITION BY r.rep, e.ind ORDER BY md5('42|within_split|' || r.rep || '|' || e.item || '|' || e.win), e.item) AS rn
   FROM e CROSS JOIN (SELECT DISTINCT rep FROM held) r LEFT JOIN held h ON h.rep = r.rep AND h.ind = e.ind),
 rr AS (SELECT cell, item, win, ind, grp, v, novel, NOT novel AND rn <= greatest(1, round_even(n * 0.8, 0)) AS is_train FROM ro)""",
     standard("rr", "z", keep="item, win, ind, grp, novel, is_train"))
@@ -347,7 +347,7 @@ sh AS (SELECT 1 AS shot UNION ALL SELECT 5),
 pick AS (
   SELECT s.shot, d.draw, n.cell, n.item, n.ind, n.u,
          row_number() OVER (PARTITION BY s.shot, d.draw, n.cell, n.ind ORDER BY
-           md5('42|support_' || s.shot || '|emb|' || n.cell || '|' || d.draw || '|' || n.item || '|' || n.win), n.item) <= s.shot AS support
+           md5('42|support_' || s.shot || '|' || n.cell || '|' || d.draw || '|' || n.item || '|' || n.win), n.item) <= s.shot AS support
   FROM nov n, sh s, (SELECT unnest(range(5)) AS draw) d),
 ans AS (
   SELECT q.shot, q.cell, q.draw, q.item, q.ind AS truth, s.ind AS pred, round(list_dot_product(q.u, s.u), 9) AS score,

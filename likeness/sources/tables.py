@@ -12,7 +12,8 @@ from likeness.settings import MODEL_PANEL
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
     """A CSV table with every column as text and every missing token as null."""
-    table = spark.read.csv(path, header=True, inferSchema=False, nullValue=None, emptyValue="")
+    table = spark.read.csv(path, header=True, inferSchema=False, nullValue=None, emptyValue="",
+                           quote='"', escape='"', multiLine=True)
     return table.select(*[missing_to_null(f"`{c}`").alias(c) for c in table.columns])
 
 
