@@ -18,7 +18,8 @@ HASHES = 256            # minima of a signature
 BITS = 4                # low bits kept of each
 BANDS, ROWS = 25, 5     # a pair of similarity 0.85 misses all bands with probability 4e-7
 MARGIN = 0.1            # four deviations of the estimated similarity at 0.8 to 0.85
-ROUNDS = 4              # rounds in which a bucket's members meet one of them, before those left meet all
+ROUNDS = 2              # rounds in which a bucket's members meet a few of them, before those left meet all
+STARS = 3               # members of a bucket that the others meet in a round
 BLANKS = translation(lambda c: c == 32 or 9 <= c <= 13)
 _SEEDS = np.random.default_rng(20240229)
 MULTIPLY = (_SEEDS.integers(1, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -121,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names the component; null for rows that take no part), component_id
     (least id reachable over links, itself included) and kept. Documents with equal sets are one
     node, so copies make no pairs. Bands propose pairs. For a few rounds every member of a bucket that
-    holds several components meets one member, another one each time, so that groups of alike
+    holds several components meets ``STARS`` members, others each time, so that groups of alike
     documents become one component in linear work. Then, in buckets that still hold several, every
     member outside the largest component meets the members of other components: no candidate is
     left out, but pairs inside a component are not made. Pairs whose estimated similarity
@@ -148,10 +149,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.select("node", F.col("node").alias("root"))
     for turn in range(ROUNDS):
         placed = members.join(found, "node")
-        star = placed.groupBy("bucket").agg(
-            F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "root")).alias("s"),
-            F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", F.col("s.node").alias("star"), F.col("s.root").alias("other"))
-        pairs = placed.join(star, "bucket").where("root <> other").select(
+        least = [F.min(F.struct(F.xxhash64(F.lit(turn * STARS + i), "node").alias("order"), "node", "root")) for i in range(STARS)]
+        stars = placed.groupBy("bucket").agg(F.array(*least).alias("s"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        stars = stars.select("bucket", F.explode(F.array_distinct(F.transform("s", lambda s: F.struct(
+            s["node"].alias("star"), s["root"].alias("other"))))).alias("s")).select("bucket", "s.star", "s.other")
+        pairs = placed.join(stars, "bucket").where("root <> other").select(
             F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
         links = stored(_linked(pairs, texts, width, percent))
         if links.isEmpty():
@@ -165,7 +167,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside = open_.join(main, "bucket").where("root <> main")
     pairs = (outside.alias("o").join(open_.alias("p"), "bucket").where("o.root <> p.root")
              .select(F.least("o.node", "p.node").alias("a"), F.greatest("o.node", "p.node").alias("b")).distinct())
-    final = _joined(found, stored(_linked(pairs, texts, width, percent)))
+    links = found.limit(0) if open_.isEmpty() else stored(_linked(pairs, texts, width, percent))
+    final = found if links.isEmpty() else _joined(found, links)
     named = final.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("component_id"))
     grouped = final.join(named, "root").select("node", "root", "component_id")
     lone = nodes.select("node", F.col("id").alias("own"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from likeness.llm.common import components
 from likeness.llm.contamination import decontaminate
 from likeness.llm.host_trust import filter_urls
 from likeness.llm.main_text import extract_main_text, minimum_cut
@@ -101,6 +102,13 @@ def test_near_duplicates(docs, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 110)] + [(109, 110), (100, 100), (50, 51), (51, 50)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(21)}, **{i: 100 for i in range(100, 111)}, 50: 50, 51: 50}
+    assert components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+
+
 def test_decontamination(spark, docs, nothing):
     items = [(1, BASE[100:300]), (2, "one TWO"), (3, None), (4, ""), (5, BASE[100:300])]
     bench = spark.createDataFrame(items, "item_id long, text string")
