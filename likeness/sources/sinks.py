@@ -27,9 +27,11 @@ def write_features(df: DataFrame, path: str) -> None:
 
 
 def wide_vectors(df: DataFrame, dim: int, v: str = "v", keep: list[str] | None = None) -> DataFrame:
-    """``keep, e0 .. e{dim-1}``."""
+    """``keep, e0 .. e{dim-1}``; a vector of another length stops the job, a null one gives nulls."""
     keep = keep or [c for c in df.columns if c != v]
-    return df.select(*keep, *[F.get(v, F.lit(i)).alias(f"e{i}") for i in range(dim)])
+    fault = F.raise_error(F.concat(F.lit(f"expected {dim} components, found "), F.size(v).cast("string")))
+    whole = F.when(F.col(v).isNull() | (F.size(v) == dim), F.col(v)).otherwise(fault.cast(df.schema[v].dataType))
+    return df.select(*keep, *[F.get(whole, F.lit(i)).alias(f"e{i}") for i in range(dim)])
 
 
 def long_predictions(preds: DataFrame, **constants) -> DataFrame:

@@ -182,3 +182,10 @@ def test_csv_and_wide_sinks(spark, tmp_path):
     f = df.withColumns({"dataset": F.lit("d"), "model": F.lit("m")})
     sinks.write_features(f, str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).filter("model = 'm'").count() == 1
+
+
+def test_wide_vectors_refuse_other_lengths(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "item string, v array<double>")
+    assert [tuple(r) for r in sinks.wide_vectors(df, 2).orderBy("item").collect()] == [("a", 1.0, 2.0), ("b", None, None)]
+    with pytest.raises(Exception, match="expected 3 components, found 2"):
+        sinks.wide_vectors(df, 3).collect()
