@@ -19,11 +19,11 @@ WITH docs AS (
 ), sized AS (
     SELECT k, doc_id, h, len(h) // 2 AS n FROM docs
 ), pieces AS (
-    SELECT k, n, at, substr(h, 2 * at + 1, 2 * 711) AS piece
-    FROM (SELECT k, h, n, unnest(range(0, n - 199, 512)) AS at FROM sized WHERE n >= 200)
+    SELECT k, n, lo, substr(h, 2 * lo + 1, 2 * 711) AS piece
+    FROM (SELECT k, h, n, unnest(range(0, n - 199, 512)) AS lo FROM sized WHERE n >= 200)
 ), strings AS (
-    SELECT k, at + j AS i, md5(substr(piece, 2 * j + 1, 400)) AS s
-    FROM (SELECT k, at, piece, unnest(range(0, least(512, n - 199 - at))) AS j FROM pieces)
+    SELECT k, lo + j AS i, md5(substr(piece, 2 * j + 1, 400)) AS s
+    FROM (SELECT k, lo, piece, unnest(range(0, least(512, n - 199 - lo))) AS j FROM pieces)
 ), again AS (
     SELECT k, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)
 ), marked AS (
