@@ -24,20 +24,27 @@ HOMOGLYPHS = {
 }
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 SHORTEST, LONGEST = 3, 12    # letters of a learned stem
-_LOOKS = str.maketrans({**HOMOGLYPHS, "l": "i", **dict.fromkeys("​‌‍⁠﻿­", "")})
+_LOOKS = {**HOMOGLYPHS, "l": "i", **dict.fromkeys("​‌‍⁠﻿­", "")}     # no target is itself a key
 _STANDS = str.maketrans(STAND_INS)
-_MIXED = re.compile(r"(?<![\w@$])[\w@$]*(?:(?<=[^\W_])[@$](?=\w)|\d)[\w@$]*")
-_BREAK = re.compile(r"[\W\d_]+")
+_SIGNED = re.compile(r"(?<![\w@$])[^\W\d]*+[\d@$][\w@$]*+")       # a whole word with a digit or sign in it
+_STANDING = re.compile(r"(?<=[^\W_])[@$](?=\w)|\d")
+_WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _letters_for_digits(match: re.Match) -> str:
+    word = match[0]
+    return word.translate(_STANDS) if _LETTER.search(word) and _STANDING.search(word) else word
+
+
 def fold(text: str) -> str:
     """Words of letters, each between spaces of its own; look-alikes, l and i, and stand-ins are one."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = text.lower()
-    text = _MIXED.sub(lambda m: m[0].translate(_STANDS) if _LETTER.search(m[0]) else m[0], text).translate(_LOOKS)
-    return f" {_BREAK.sub('  ', text)} "
+    text = _SIGNED.sub(_letters_for_digits, text.lower())
+    for looks in set(text) & _LOOKS.keys():
+        text = text.replace(looks, _LOOKS[looks])
+    return f" {'  '.join(_WORD.findall(text))} "
 
 
 def _automaton(lexicon: dict[str, float]):
