@@ -111,9 +111,12 @@ def stratified_folds(df: DataFrame, by: list[str], label: str = "ind", item: lis
     units = df if unique else df.select(*by, label, *item).distinct()
     classes = units.groupBy(*by, label).agg(F.count("*").alias("_n"))
     classes = running_total(classes, by, F.md5(F.col(label).cast("string")), "_start", F.col("_n"), tie=[label])
-    small = Window.partitionBy(*by)
-    classes = classes.withColumn(
-        "_kk", F.least(F.lit(k), F.min("_n").over(small)) if adaptive else F.lit(k).cast("long"))
+    if adaptive:
+        least = classes.groupBy(*by).agg(F.min("_n").alias("_least"))
+        classes = classes.join(least, by) if by else classes.crossJoin(least)     # one row without by
+        classes = classes.withColumn("_kk", F.least(F.lit(k), "_least")).drop("_least")
+    else:
+        classes = classes.withColumn("_kk", F.lit(k).cast("long"))
     placed = running_total(units, [*by, label], draw_key(purpose, *item, seed=seed), "_r", tie=item)
     fold = F.pmod(F.col("_start") + F.col("_r"), F.col("_kk")).cast("int").alias("fold")
     placed = placed.join(bounded(classes.drop("_n")), [*by, label])
