@@ -24,6 +24,7 @@ HOMOGLYPHS = {
 }
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 SHORTEST, LONGEST = 3, 12    # letters of a learned stem
+PRIOR_TEXTS = 3              # texts at the base rate that are added to those that hold a stem
 _LOOKS = {**HOMOGLYPHS, "l": "i", **dict.fromkeys("​‌‍⁠﻿­", "")}     # no target is itself a key
 _STANDS = str.maketrans(STAND_INS)
 _SIGNED = re.compile(r"(?<![\w@$])[^\W\d]*+[\d@$][\w@$]*+")       # a whole word with a digit or sign in it
@@ -50,91 +51,133 @@ def fold(text: str) -> str:
 def _automaton(lexicon: dict[str, float]):
     out = ahocorasick.Automaton()
     for pattern, weight in lexicon.items():
-        out.add_word(pattern, weight)
+        out.add_word(pattern, (pattern, weight))
     out.make_automaton()
     return out
 
 
 def evidence(folded: str, automaton) -> float:
-    """Weights of the longest matches, over a slowly growing function of the length in words."""
+    """Weights of the longest matches, over a slowly growing function of the length in words.
+
+    The nth match of one pattern adds less and less: n of them weigh 1 + log(n) times one.
+    """
     if not len(automaton):
         return 0.0
-    total = sum(weight for _, weight in automaton.iter_long(folded))
+    found = Counter(value for _, value in automaton.iter_long(folded))
+    total = sum(weight * (1 + math.log(n)) for (_, weight), n in found.items())
     words = folded.count("  ") + 1
     return total / (1 + math.log1p(words / 1000))
 
 
+def _stems(tokens: set[str]) -> set[str]:
+    return {t[:k] for t in tokens for k in range(SHORTEST, min(LONGEST, len(t)) + 1)}
+
+
 def _tokens(rows: DataFrame) -> DataFrame:
-    """(token, toxic, clean): in how many texts of either label each folded word occurs."""
+    """(token, stem, toxic, clean): in how many texts of either label each folded word or stem occurs."""
     def run(batches):
-        counts: dict[str, list[int]] = {}
+        counts: dict[tuple[str, bool], list[int]] = {}
 
         def flush():
             out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
-                 pa.array([c[0] for c in counts.values()], pa.int64())], names=["token", "toxic", "clean"])
+                [pa.array([t for t, _ in counts], pa.string()), pa.array([s for _, s in counts], pa.bool_()),
+                 pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())],
+                names=["token", "stem", "toxic", "clean"])
             counts.clear()
             return out
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for token in set(fold(text or "").split()):
-                    counts.setdefault(token[:64], [0, 0])[toxic] += 1
+                words = {t[:64] for t in fold(text or "").split()}
+                for key in [*((t, False) for t in words), *((t, True) for t in _stems(words))]:
+                    counts.setdefault(key, [0, 0])[toxic] += 1
                 if len(counts) > 200_000:
                     yield flush()
         if counts:
             yield flush()
 
-    return rows.select("text", "toxic").mapInArrow(run, "token string, toxic long, clean long")
+    return rows.select("text", "toxic").mapInArrow(run, "token string, stem boolean, toxic long, clean long")
+
+
+def separate_stems(candidates: dict[str, tuple[int, int]], weights: dict[str, float]) -> list[str]:
+    """All candidates but those that begin a kept one or that a kept one begins; the heaviest is kept."""
+    kept: set[str] = set()
+    begun: set[str] = set()
+    for stem in sorted(candidates, key=lambda s: (-weights[s], -candidates[s][0], -len(s), s)):
+        if stem not in begun and not any(stem[:k] in kept for k in range(SHORTEST, len(stem))):
+            kept.add(stem)
+            begun.update(stem[:k] for k in range(SHORTEST, len(stem)))
+    return sorted(kept)
+
+
+def joint_weights(held: dict[tuple[tuple[int, ...], int], int], prior: np.ndarray, start: float, spread: float = 1.0) -> np.ndarray:
+    """Weights of stems that occur together, by a logistic model whose prior means are the weights of each alone.
+
+    ``held`` counts texts by (stems, label). Stems that share label-1 texts keep their own weights,
+    as these texts are explained anyhow; stems that stand alone in label-0 texts lose theirs.
+    """
+    cells = sorted(held)
+    row = np.repeat(np.arange(len(cells)), [len(c[0]) for c in cells])
+    col = np.array([s for c in cells for s in c[0]], np.int64)
+    label, count = np.array([float(c[1]) for c in cells]), np.array([float(held[c]) for c in cells])
+    size = np.bincount(row, minlength=len(cells))
+    bound = np.bincount(col, (count * (size + 1))[row], len(prior)) / 4 + 1 / spread**2     # over every curvature
+    lift, weight = start, prior.copy()
+    for _ in range(500):
+        miss = count * (label - 1 / (1 + np.exp(-np.clip(lift + np.bincount(row, weight[col], len(cells)), -30, 30))))
+        step = (np.bincount(col, miss[row], len(prior)) - (weight - prior) / spread**2) / bound
+        new = np.maximum(weight + step, 0)
+        rise = miss.sum() / ((count * (size + 1)).sum() / 4)
+        moved = max(abs(rise), np.abs(new - weight).max(initial=0))
+        lift, weight = lift + rise, new
+        if moved < 1e-6:
+            break
+    return weight
 
 
 def learn_lexicon(rows: DataFrame, support: float = 0.002, precision: float = 0.8) -> dict[str, float]:
-    """Stems and words that mark label 1 in (text, toxic), with their log-odds; exceptions weigh 0.
+    """Stems and words that mark label 1 in (text, toxic), with their weights; exceptions weigh 0.
 
-    Candidates are beginnings of words. They are chosen one after another, each time the one that
-    marks most label-1 texts not yet marked (of equals the longest), so words that merely stand next
-    to a marker add nothing. Words that begin with a chosen stem but stand mostly in label-0 texts
-    become exceptions. ``rows`` is a sample of bounded size.
+    Candidates are beginnings of words in enough label-1 and few label-0 texts. All are kept, but for
+    beginnings and extensions of a heavier one. A stem's weight is its log-odds over the base rate,
+    shrunk where few texts hold it, and corrected in one model for the stems it stands beside. Words
+    that begin with a kept stem but stand mostly in label-0 texts become exceptions. ``rows`` is a
+    sample of bounded size.
     """
     totals = {int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return {}
     least = max(3, math.ceil(support * bad))
-    tokens = stored(_tokens(rows).groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    cuts = F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda k: F.substring("token", F.lit(1), k))
-    stems = (tokens.where(F.length("token") >= SHORTEST).select(F.explode(F.array_distinct(cuts)).alias("stem"), "toxic", "clean")
-             .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    fit = stems.where((F.col("toxic") >= least) & (F.col("toxic") / bad * precision >= F.col("clean") / good * 4 * precision)
-                      & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
-    candidates = {r["stem"]: (r["toxic"], r["clean"]) for r in fit.toLocalIterator()}
-    texts = rows.sparkSession.sparkContext.broadcast(set(candidates))
+    counted = stored(_tokens(rows).groupBy("stem", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    fit = counted.where(F.col("stem") & (F.col("toxic") >= least) & (F.col("toxic") / bad * precision >= F.col("clean") / good * 4 * precision)
+                        & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
+    candidates = {r["token"]: (r["toxic"], r["clean"]) for r in fit.toLocalIterator()}
+    start = math.log(bad / good)
+    alone = {}
+    for stem, (toxic, clean) in candidates.items():
+        share = (toxic + PRIOR_TEXTS * bad / (bad + good)) / (toxic + clean + PRIOR_TEXTS)
+        alone[stem] = math.log(share / (1 - share)) - start
+    kept = separate_stems(candidates, alone)
+    at = rows.sparkSession.sparkContext.broadcast({stem: i for i, stem in enumerate(kept)})
 
     def incidence(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                stems = {t[:k] for t in set(fold(text or "").split()) for k in range(SHORTEST, LONGEST + 1) if len(t) >= k}
-                out.append(sorted(stems & texts.value))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["stems"])
-
-    marked: dict[str, set[int]] = {}
-    for i, row in enumerate(rows.where("toxic = 1").select("text").mapInArrow(incidence, "stems array<string>").toLocalIterator()):
-        for stem in row["stems"]:
-            marked.setdefault(stem, set()).add(i)
-    chosen: dict[str, float] = {}
-    while marked:
-        best = max(marked, key=lambda s: (len(marked[s]), len(s), s))
-        fresh = marked.pop(best)
-        if len(fresh) < least:
-            break
-        toxic, clean = candidates[best]
-        chosen[f" {best}"] = math.log((toxic + 0.5) / (bad + 1)) - math.log((clean + 0.5) / (good + 1))
-        marked = {s: left for s, m in marked.items() if len(left := m - fresh) >= least}
-    starts = F.lit(False)
-    for stem in chosen:
-        starts = starts | F.col("token").startswith(stem[1:])
-    safe = tokens.where(starts & (F.col("clean") > 1) & (F.col("clean") / good > F.col("toxic") / bad))
+            out = [sorted({at.value[s] for s in _stems({t[:64] for t in fold(text or "").split()}) & at.value.keys()})
+                   for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], names=["stems", "toxic"])
+
+    held: dict[tuple[tuple[int, ...], int], int] = {}
+    sets = rows.select("text", "toxic").mapInArrow(incidence, "stems array<int>, toxic int").groupBy("stems", "toxic").count()
+    for r in sets.toLocalIterator():
+        held[tuple(r["stems"]), int(r["toxic"])] = r["count"]
+    weights = joint_weights(held, np.array([alone[stem] for stem in kept], float), start)
+    chosen = {f" {stem}": float(weight) for stem, weight in zip(kept, weights, strict=True) if weight > 0}
+    begins = rows.sparkSession.createDataFrame([(stem[1:],) for stem in chosen], "begin string")
+    safe = counted.where(~F.col("stem") & (F.col("clean") > 1) & (F.col("clean") / good > F.col("toxic") / bad))
+    cuts = F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda k: F.substring("token", F.lit(1), k))
+    safe = (safe.select("token", F.explode(F.array_distinct(cuts)).alias("begin"))
+            .join(F.broadcast(begins), "begin").select("token").distinct())    # stems of a bounded sample
     return {**chosen, **{f" {r['token']} ": 0.0 for r in safe.toLocalIterator()}}
 
 

@@ -211,6 +211,19 @@ def test_toxicity_and_quality(spark, docs):
     assert toxicity(docs, none).where("_score > 0").count() == 0 and quality(docs, none).where("_keep").count() == len(TEXTS)
 
 
+def test_each_toxic_marker_suffices(spark):
+    terms = ["vilewretch", "grimlout", "dulloaf"]
+    rows, labels = [], []
+    for i in range(600):
+        own = terms if i % 6 == 0 else terms[:1] if i % 6 == 1 else []
+        rows.append((i, " ".join([prose(30, 2000 + i), *own, prose(10, 4000 + i)])))
+        labels.append((i, int(bool(own))))
+    rows += [(9000 + k, f"{prose(20, 5000 + k)} {term} {prose(20, 6000 + k)}") for k, term in enumerate(terms)] + [(9100, prose(40, 7000))]
+    found = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    score = {r["doc_id"]: r["_predicted"] for r in found.where("doc_id >= 9000").collect()}
+    assert score == {9000: 1, 9001: 1, 9002: 1, 9100: 0}
+
+
 def test_main_text(spark):
     page = ('<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>'
             '<div class="cookie-notice">We use cookies, accept them all now please.</div><article><h1>Big &amp; small</h1><p>First <b>bold</b>\n line of text '
