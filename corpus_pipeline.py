@@ -9,7 +9,7 @@ from likeness.llm.common import stored, table
 from likeness.llm.contamination import decontaminate
 from likeness.llm.near_duplicates import one_of_each
 from likeness.llm.site_quality import quality
-from likeness.llm.source_mixing import mix_sources
+from likeness.llm.source_mixing import mixed_corpus
 from likeness.llm.surrogates import replace_entities
 
 
@@ -44,8 +44,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
-    return mix_sources(docs)
+    """The mixed corpus: a row per copy of a document, numbered by copy; the last copy may be its first words."""
+    found = mixed_corpus(docs)
+    return _with_text(found, F.col("_mixed"), [*docs.columns, "_copy"]).withColumnRenamed("_copy", "copy")
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from likeness.llm.common import components
 from likeness.llm.contamination import decontaminate
 from likeness.llm.host_trust import filter_urls
@@ -15,7 +16,7 @@ from likeness.llm.near_duplicates import near_duplicates, one_of_each
 from likeness.llm.queries import RULES
 from likeness.llm.repeated_spans import merge, repeated_spans, transform
 from likeness.llm.site_quality import quality
-from likeness.llm.source_mixing import mix_sources
+from likeness.llm.source_mixing import mix_sources, mixed_corpus
 from likeness.llm.surrogates import replace_entities
 from likeness.llm.toxicity import toxicity
 from likeness.llm.vector_duplicates import near_duplicate_vectors
@@ -149,6 +150,24 @@ def test_mixing(docs, nothing):
     assert mix_sources(nothing).count() == 0
 
 
+def test_mix_is_carried_out(spark, docs, nothing):
+    texts = {(i, t): len((t or "").split()) for i, t in TEXTS}
+    taken, got = {}, {}
+    for r in mix_sources(docs).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    for r in mixed_corpus(docs).collect():
+        words = len(r["_mixed"].split())
+        assert words and r["text"].startswith(r["_mixed"]) and set(docs.columns) < set(r.asDict())
+        assert words <= texts[r["doc_id"], r["text"]]
+        got.setdefault(r["doc_id"], []).append((r["_copy"], words))
+    assert {i: sum(w for _, w in x) for i, x in got.items()} == {i: n for i, n in taken.items() if n}
+    assert any(c for x in got.values() for c, _ in x) and any(not n for n in taken.values())
+    stage = corpus_pipeline.mixed(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["copy"], len(r["text"].split())) for r in stage) == sorted((str(i), c, w) for i, x in got.items() for c, w in x)
+    assert all(r["n_chars"] == len(r["text"]) for r in stage)
+    assert mixed_corpus(nothing).count() == 0
+
+
 def test_vectors(spark):
     base = RNG.normal(size=16)
     near = [(base + 0.05 * RNG.normal(size=16)).tolist() for _ in range(30)]
