@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from likeness.llm.common import stored, text_key
 # The forms in which entities are written.
 _ALNUM = r"(?<![\p{L}\p{N}])"
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])(?=[._%+-]*[\p{L}\p{N}])[\p{L}\p{N}._%+-]++@(?=-*[\p{L}\p{N}])[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "token": _ALNUM + r"(?:(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|[0-9a-fA-F]{32,128})(?![\p{L}\p{N}])",
     "iban": _ALNUM + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
@@ -26,7 +28,7 @@ SYLLABLES = {"latin": "ba de fi go la me ni ro sa te vi lo ka ra mo ne".split(),
 ENDINGS = {("latin", "m"): "rin", ("latin", "f"): "lia", ("latin", "s"): "ver", ("cyrillic", "m"): "рин", ("cyrillic", "f"): "лия", ("cyrillic", "s"): "вер"}
 
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-ROUNDS = 40
+PLAIN_ROUNDS = 8     # draws in the entity's own length; each later one is a character longer
 
 
 def _kind(mention: Column) -> Column:
@@ -93,9 +95,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), weight), F.lit(0), lambda a, x: a + x)
 
 
-def _card(value: Column, draws: Column) -> Column:
-    """The issuer's first digit stays; valid numbers stay valid and invalid ones invalid."""
-    body = _by_class(F.substring(value, F.lit(1), F.length(value) - 1), draws, F.lit(1))
+def _card(value: Column, form: Column, draws: Column) -> Column:
+    """A number as long as ``form``. The issuer's first digit stays; valid numbers stay valid and invalid ones invalid."""
+    body = _by_class(F.substring(form, F.lit(1), F.length(form) - 1), draws, F.lit(1))
     check = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10))
     off = F.when(_luhn(value) % 10 == 0, 0).otherwise(1 + _number(draws, F.lit(255)) % 9)
     return F.concat(body, ((check + off) % 10).cast("string"))
@@ -111,13 +113,18 @@ def _name(kind: Column, value: Column, draws: Column, attempt: Column) -> Column
     return F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
 
 
-def _surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+def _surrogate(key: str, kind: Column, value: Column, attempt: int) -> Column:
+    more = max(0, attempt + 1 - PLAIN_ROUNDS)
+    attempt = F.lit(attempt)
     draws = _draws(key, kind, value, attempt)
-    octet = [(1 + _number(draws, F.lit(i)) % 254).cast("string") for i in range(4)]
+    octet = [(1 + _number(draws, F.lit(i)) % 254).cast("string") for i in range(4 + more)]
+    card = _card(value, F.concat(value, F.lit("0" * more)), draws)
+    value = F.when(kind == "email", F.concat(F.lit("x" * more), value)).when(
+        kind.isin("given m", "given f", "family"), value).otherwise(F.concat(value, F.lit("0" * more)))
     last = F.length(F.substring_index(value, ".", -1))
     mail = F.concat(_by_class(F.substring(value, F.lit(1), F.length(value) - last), draws, F.lit(0)), F.substring_index(value, ".", -1))
-    hexes = value.rlike("^[0-9a-f]{32,128}$")
-    return (F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "card", _card(value, draws))
+    hexes = value.rlike("^[0-9a-f]{32,}$")
+    return (F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "card", card)
             .when((kind == "token") & hexes, _by_class(value, draws, F.lit(0), "abcdef"))
             .when(kind == "phone", _by_class(value, draws, F.instr(value, "|")))
             .when(kind == "iban", _by_class(value, draws, F.lit(2)))
@@ -129,12 +136,13 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate): one surrogate per entity, never two entities with one, never a real entity.
 
     Entities draw in rounds. A draw counts if no entity that is first by value drew the same, no
-    earlier round gave it away, and it is no entity of the data itself. Draws that fail draw anew.
+    earlier round gave it away, and it is no entity of the data itself. Draws that fail draw anew,
+    after some rounds with more and more added characters, so that forms never run out.
     """
     entities = stored(entities.select("kind", "value").distinct())
     pending, given = entities, None
-    for attempt in range(ROUNDS):
-        drawn = pending.select("kind", "value", _surrogate(key, F.col("kind"), F.col("value"), F.lit(attempt)).alias("surrogate"))
+    for attempt in count():
+        drawn = pending.select("kind", "value", _surrogate(key, F.col("kind"), F.col("value"), attempt).alias("surrogate"))
         first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("value"))
         real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         tried = drawn.select("*", first.alias("turn")).join(real, ["kind", "surrogate"], "left")
@@ -149,7 +157,6 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         pending = tried.where(~F.col("good")).select("kind", "value")
         if pending.isEmpty():
             return given
-    raise RuntimeError("a kind of entity has too few forms for as many entities as there are")
 
 
 def _written(mention: Column, known: Column) -> Column:
@@ -160,13 +167,18 @@ def _written(mention: Column, known: Column) -> Column:
         parts, lambda p: F.element_at(known, F.concat_ws("|", p["kind"], p["value"]))), F.lit(1))))
     bare = F.when(kind == "phone", F.regexp_replace(found(0), r"\|", "")).otherwise(found(0))
 
+    # added characters stand before an address and after anything else
+    lead = F.when(kind == "email", F.length(bare) - F.length(mention)).otherwise(0)
+    marks = F.length(F.regexp_replace(mention, r"[^\p{L}\p{N}]", ""))
+    tail = F.when(kind == "email", "").otherwise(F.substring(bare, marks + 1, F.length(bare)))
+
     def one(i):
         c = F.substring(mention, i + 1, F.lit(1))
-        at = F.when(kind == "email", i + 1).otherwise(F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"[^\p{L}\p{N}]", "")))
+        at = F.when(kind == "email", i + 1 + lead).otherwise(F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"[^\p{L}\p{N}]", "")))
         s = F.substring(bare, at, F.lit(1))
         return F.when((kind != "email") & ~c.rlike(r"[\p{L}\p{N}]"), c).when(c.rlike(r"\p{Lu}"), F.upper(s)).otherwise(s)
 
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.length(mention) - 1), one), "")
+    spread = F.concat(F.substring(bare, F.lit(1), lead), F.array_join(F.transform(F.sequence(F.lit(0), F.length(mention) - 1), one), ""), tail)
     return F.when(kind == "name", name).when(kind == "ip", found(0)).otherwise(spread)
 
 
@@ -176,7 +188,7 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrog
     Found are e-mail addresses, keys and tokens, IBANs, social security numbers, IPv4 addresses,
     phone and card numbers, and names after a title. An entity has one surrogate everywhere,
     whatever its spacing, punctuation or case (coreference), and two entities never share one. Case,
-    punctuation, lengths, country codes, top-level domains, the validity of card numbers, gender and
+    punctuation, lengths (unless their forms run short), country codes, top-level domains, the validity of card numbers, gender and
     script stay.
 
     Texts without entities, empty and null ones are returned as they are and take no part in any

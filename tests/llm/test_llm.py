@@ -210,6 +210,17 @@ def test_surrogates(spark, docs):
     assert len(same) == len({str(i) for i, _ in TEXTS})
 
 
+def test_surrogates_when_forms_run_short(spark):
+    letters = "abcdefghijklmnopqrst"
+    mails = [f"{a}@{b}.de" for a in letters for b in letters]
+    art = [(1000, "_@-.com and -@-.-"), (1001, "x@-.-")]
+    out = replace_entities(spark.createDataFrame([*enumerate(mails), *art], "doc_id long, text string")).collect()
+    text = {r["doc_id"]: r["text"] for r in out}
+    new = [text[i] for i in range(len(mails))]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails) and all(re.fullmatch(r"[a-z]+@[a-z]\.de", x) for x in new)
+    assert [text[i] for i, _ in art] == [x for _, x in art]
+
+
 def test_toxicity_and_quality(spark, docs):
     rows, labels = [], []
     for i in range(400):
