@@ -12,6 +12,12 @@ from likeness.llm.common import stored, text_key
 
 # The forms in which entities are written.
 _ALNUM = r"(?<![\p{L}\p{N}])"
+TITLE = ("(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Doctor|Herr|Herrn|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señorita|Señora|Señor|Srta|Sra|Sr"
+         "|Doktor|Docteur|Doctora|Dra|Profesora|Profesor|Professeur|Господин|Госпожа|Доктор|Профессор)")
+PARTICLE = "(?:von|van|vom|zu|zur|zum|der|den|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|el|al|bin|ibn|ter|ten|y|e)"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}*\p{Ll}\p{L}*(?:['’]\p{Lu}\p{L}+|-\p{L}+)*"      # Doe, McDoe, O'Doe, Doe-Roe
+NAME = rf"(?:(?:\p{{Lu}}\.|{PARTICLE}|{_WORD}) ){{0,5}}?(?:{_WORD})(?: (?:(?:\p{{Lu}}\.|{PARTICLE}) ){{0,3}}{_WORD}){{0,3}}"
+PIECE = r"\p{L}+(?:['’]\p{Lu}\p{L}+|-\p{L}+)*|[^\p{L}]+"      # a word, or what stands between words
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])(?=[._%+-]*[\p{L}\p{N}])[\p{L}\p{N}._%+-]++@(?=-*[\p{L}\p{N}])[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "token": _ALNUM + r"(?:(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|[0-9a-fA-F]{32,128})(?![\p{L}\p{N}])",
@@ -20,12 +26,13 @@ KINDS = {
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\p{N}|\.\p{N})",
     "phone": r"(?<![\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\p{N})",
     "card": r"(?<!\p{N})\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\p{N})",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{L})",
+    "name": rf"(?<!\p{{L}})(?:{TITLE}\.? )+{NAME}(?!\p{{L}})",
 }
-FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)\b"
+FEMALE = r"(?:^| )(?:Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Mme|Mlle|Señorita|Señora|Srta|Sra|Doctora|Dra|Profesora|Госпожа)\.? "
+MALE = r"(?:^| )(?:Mr|Herr|Herrn|Monsieur|Señor|Sr|Profesor|Господин)\.? "
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 SYLLABLES = {"latin": "ba de fi go la me ni ro sa te vi lo ka ra mo ne".split(), "cyrillic": "ба де фи го ла ме ни ро са те ви ло ка ра мо не".split()}
-ENDINGS = {("latin", "m"): "rin", ("latin", "f"): "lia", ("latin", "s"): "ver", ("cyrillic", "m"): "рин", ("cyrillic", "f"): "лия", ("cyrillic", "s"): "вер"}
+ENDINGS = {("latin", "n"): "nel", ("cyrillic", "n"): "нел", ("latin", "m"): "rin", ("latin", "f"): "lia", ("latin", "s"): "ver", ("cyrillic", "m"): "рин", ("cyrillic", "f"): "лия", ("cyrillic", "s"): "вер"}
 
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 PLAIN_ROUNDS = 8     # draws in the entity's own length; each later one is a character longer
@@ -43,14 +50,23 @@ def _bare(mention: Column) -> Column:
     return F.lower(F.regexp_replace(mention, r"[^\p{L}\p{N}]", ""))
 
 
+def _roles(mention: Column) -> Column:
+    """(kind, value) of each word of a name: given names, the family name at the end, an initial, or a kept word."""
+    words = F.split(mention, " ")
+    given = F.when(mention.rlike(FEMALE), "given f").when(mention.rlike(MALE), "given m").otherwise("given n")
+
+    def one(word, i):
+        kind = (F.when(word.rlike(rf"^(?:{TITLE}\.?|{PARTICLE})$"), "kept").when(word.rlike(r"^\p{Lu}\.$"), "initial")
+                .when(i == F.size(words) - 1, "family").otherwise(given))
+        return F.struct(kind.alias("kind"), word.alias("value"))
+    return F.transform(words, one)
+
+
 def _parts(mention: Column) -> Column:
-    """The entities of a mention as (kind, value). A name has one for the given and one for the family name."""
+    """The entities of a mention as (kind, value). A name has one for each given and one for the family name."""
     kind = _kind(mention)
-    words = F.slice(F.split(mention, " "), 2, 2)
-    given = F.when(mention.rlike(FEMALE), "given f").otherwise("given m")
     one = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    names = F.when(F.size(words) == 2, F.array(one(given, words[0]), one(F.lit("family"), words[1]))).otherwise(
-        F.array(one(F.lit("family"), words[0])))
+    names = F.filter(_roles(mention), lambda r: ~r["kind"].isin("kept", "initial"))
     code = F.regexp_extract(mention, r"^\+(\d{1,3})(?!\d)", 1)
     value = (F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention)
              .when(kind == "phone", F.concat(code, F.lit("|"), F.substring(_bare(mention), F.length(code) + 1, F.lit(64))))
@@ -108,7 +124,7 @@ def _name(kind: Column, value: Column, draws: Column, attempt: Column) -> Column
     def made(script):
         parts = F.array(*(F.lit(s) for s in SYLLABLES[script]))
         stem = F.array_join(F.transform(F.sequence(F.lit(0), 1 + attempt), lambda i: F.element_at(parts, _number(draws, i) % len(SYLLABLES[script]) + 1)), "")
-        end = F.when(kind == "given f", ENDINGS[script, "f"]).when(kind == "given m", ENDINGS[script, "m"]).otherwise(ENDINGS[script, "s"])
+        end = F.when(kind == "given f", ENDINGS[script, "f"]).when(kind == "given m", ENDINGS[script, "m"]).when(kind == "given n", ENDINGS[script, "n"]).otherwise(ENDINGS[script, "s"])
         return F.initcap(F.concat(stem, end))
     return F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
 
@@ -120,7 +136,7 @@ def _surrogate(key: str, kind: Column, value: Column, attempt: int) -> Column:
     octet = [(1 + _number(draws, F.lit(i)) % 254).cast("string") for i in range(4 + more)]
     card = _card(value, F.concat(value, F.lit("0" * more)), draws)
     value = F.when(kind == "email", F.concat(F.lit("x" * more), value)).when(
-        kind.isin("given m", "given f", "family"), value).otherwise(F.concat(value, F.lit("0" * more)))
+        kind.isin("given m", "given f", "given n", "family"), value).otherwise(F.concat(value, F.lit("0" * more)))
     last = F.length(F.substring_index(value, ".", -1))
     mail = F.concat(_by_class(F.substring(value, F.lit(1), F.length(value) - last), draws, F.lit(0)), F.substring_index(value, ".", -1))
     hexes = value.rlike("^[0-9a-f]{32,}$")
@@ -128,7 +144,7 @@ def _surrogate(key: str, kind: Column, value: Column, attempt: int) -> Column:
             .when((kind == "token") & hexes, _by_class(value, draws, F.lit(0), "abcdef"))
             .when(kind == "phone", _by_class(value, draws, F.instr(value, "|")))
             .when(kind == "iban", _by_class(value, draws, F.lit(2)))
-            .when(kind.isin("given m", "given f", "family"), _name(kind, value, draws, attempt))
+            .when(kind.isin("given m", "given f", "given n", "family"), _name(kind, value, draws, attempt))
             .otherwise(_by_class(value, draws, F.lit(0))))
 
 
@@ -159,12 +175,29 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             return given
 
 
-def _written(mention: Column, known: Column) -> Column:
+def _known_name(known: Column, word: Column, kinds: tuple[str, ...]) -> Column:
+    return F.coalesce(*(F.element_at(known, F.concat(F.lit(f"{k}|"), word)) for k in kinds))
+
+
+def _name_written(mention: Column, known: Column, key: str) -> Column:
+    """Titles and particles stay. A given name that a gender is known of elsewhere in the text takes that one's surrogate."""
+    def one(r):
+        initial = F.concat(F.upper(_letter(ALPHABETS["latin"], _number(F.sha2(F.concat(F.lit(f"{key}|initial|"), r["value"]), 512), F.lit(0)))), F.lit("."))
+        given = F.when(r["kind"] == "given n", _known_name(known, r["value"], ("given f", "given m", "given n"))).otherwise(
+            F.element_at(known, F.concat_ws("|", r["kind"], r["value"])))
+        return F.when(r["kind"] == "kept", r["value"]).when(r["kind"] == "initial", initial).otherwise(given)
+    return F.array_join(F.transform(_roles(mention), one), " ")
+
+
+def _bare_name(word: Column, known: Column) -> Column:
+    """The surrogate of an untitled word that is a name in this text, else null."""
+    return F.when(word.rlike(r"^\p{Lu}"), _known_name(known, word, ("family", "given f", "given m", "given n")))
+
+
+def _written(mention: Column, known: Column, key: str) -> Column:
     """The mention with its entities' surrogates, in the mention's own format."""
     kind, parts = _kind(mention), _parts(mention)
     found = lambda i: F.element_at(known, F.concat_ws("|", parts[i]["kind"], parts[i]["value"]))
-    name = F.concat_ws(" ", F.substring_index(mention, " ", 1), found(0), F.when(F.size(parts) > 1, F.get(F.transform(
-        parts, lambda p: F.element_at(known, F.concat_ws("|", p["kind"], p["value"]))), F.lit(1))))
     bare = F.when(kind == "phone", F.regexp_replace(found(0), r"\|", "")).otherwise(found(0))
 
     # added characters stand before an address and after anything else
@@ -179,14 +212,15 @@ def _written(mention: Column, known: Column) -> Column:
         return F.when((kind != "email") & ~c.rlike(r"[\p{L}\p{N}]"), c).when(c.rlike(r"\p{Lu}"), F.upper(s)).otherwise(s)
 
     spread = F.concat(F.substring(bare, F.lit(1), lead), F.array_join(F.transform(F.sequence(F.lit(0), F.length(mention) - 1), one), ""), tail)
-    return F.when(kind == "name", name).when(kind == "ip", found(0)).otherwise(spread)
+    return F.when(kind == "name", _name_written(mention, known, key)).when(kind == "ip", found(0)).otherwise(spread)
 
 
 def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrogates") -> DataFrame:
     """Every row of ``docs`` with its personal data replaced; adds _n_entities (mentions replaced).
 
     Found are e-mail addresses, keys and tokens, IBANs, social security numbers, IPv4 addresses,
-    phone and card numbers, and names after a title. An entity has one surrogate everywhere,
+    phone and card numbers, and names after one or more titles, with particles, initials and hyphens;
+    in a text with such a name its given and family names are also found where they stand alone. An entity has one surrogate everywhere,
     whatever its spacing, punctuation or case (coreference), and two entities never share one. Case,
     punctuation, lengths (unless their forms run short), country codes, top-level domains, the validity of card numbers, gender and
     script stay.
@@ -208,7 +242,14 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrog
     known = listed.join(given, ["kind", "value"]).groupBy("_h").agg(
         F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))).alias("_known"))
     full = hit.select("*", text_key(text).alias("_h")).join(stored(known), "_h").select(*names, mentions.alias("_m"), "_known")
-    new = F.transform("_m", lambda m: _written(m, F.col("_known")))
-    rebuilt = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    done = full.select(*(rebuilt.alias(c) if c == text_col else F.col(c) for c in names), F.size("_m").alias("_n_entities"))
+    new = F.transform("_m", lambda m: _written(m, F.col("_known"), key))
+    # between the mentions, names that the text gives with a title stand without one as well
+    named = F.exists(F.map_keys("_known"), lambda k: k.startswith("family|"))
+    between = F.split(text, PATTERN, -1)
+    pieces = lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))
+    bare = F.transform(between, lambda p: F.array_join(F.transform(pieces(p), lambda w: F.coalesce(_bare_name(w, F.col("_known")), w)), ""))
+    n_bare = F.aggregate(between, F.lit(0), lambda n, p: n + F.size(F.filter(pieces(p), lambda w: _bare_name(w, F.col("_known")).isNotNull())))
+    rebuilt = F.array_join(F.zip_with(F.when(named, bare).otherwise(between), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    done = full.select(*(rebuilt.alias(c) if c == text_col else F.col(c) for c in names),
+                       (F.size("_m") + F.when(named, n_bare).otherwise(0)).alias("_n_entities"))
     return docs.where(~has).select(*names, F.lit(0).alias("_n_entities")).unionByName(done)

@@ -210,6 +210,19 @@ def test_surrogates(spark, docs):
     assert len(same) == len({str(i) for i, _ in TEXTS})
 
 
+def test_untitled_mentions_of_titled_names(spark):
+    rows = [(1, "Mrs Jane Doe said so. Jane Doe added more, Doe's car left, mail a@b.org to Doe."), (2, "Prof. Dr. Anna-Lena von Stein met Dr. J. O'Neil; O'Neil and Stein left."),
+            (3, "Doe and Jane stay without a title."), (4, "Dr. Jane Mary Doe thanked Mrs Jane Doe.")]
+    out = {r["doc_id"]: r for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one = re.fullmatch(r"Mrs (\w+lia) (\w+ver) said so\. (\w+) (\w+) added more, (\w+)'s car left, mail \w@\w\.org to (\w+)\.", out[1]["text"])
+    assert one and one[1] == one[3] and one[2] == one[4] == one[5] == one[6] and out[1]["_n_entities"] == 6
+    two = re.fullmatch(r"Prof\. Dr\. (\w+nel) von (\w+ver) met Dr\. [A-Z]\. (\w+ver); (\w+) and (\w+) left\.", out[2]["text"])
+    assert two and two[2] == two[5] and two[3] == two[4]
+    assert out[3]["text"] == rows[2][1] and out[3]["_n_entities"] == 0
+    four = re.fullmatch(r"Dr\. (\w+) (\w+) (\w+) thanked Mrs (\w+) (\w+)\.", out[4]["text"])
+    assert four and four[1] == four[4] == one[1] and four[3] == four[5] == one[2] and four[2] != four[1]
+
+
 def test_surrogates_when_forms_run_short(spark):
     letters = "abcdefghijklmnopqrst"
     mails = [f"{a}@{b}.de" for a in letters for b in letters]
