@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from likeness.llm.collocations import phrases
 from likeness.llm.common import table
 from likeness.llm.contamination import decontaminate, items_digest
+from likeness.llm.conversation_repair import damaged, repair_all
 from likeness.llm.host_trust import filter_urls
 from likeness.llm.main_text import extract_main_text
 from likeness.llm.near_duplicates import near_duplicates
@@ -16,8 +19,10 @@ from likeness.llm.repeated_spans import repeated_spans
 from likeness.llm.site_quality import quality
 from likeness.llm.source_mixing import mix_sources
 from likeness.llm.surrogates import replace_entities
+from likeness.llm.token_cache import token_counts
 from likeness.llm.toxicity import toxicity
 from likeness.llm.vector_duplicates import near_duplicate_vectors
+from likeness.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,3 +95,25 @@ def op5_pii_surrogates(spark, sf):
 def op10_html_extraction(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return extract_main_text(pages).select("page_id", "url", F.col("_text").alias("text"), F.col("_n_chars").alias("n_chars"))
+
+
+@query
+def op11_conversation_repair(spark, sf):
+    conversations = table(spark, sf, "conversations")
+    return repair_all(conversations, damaged(conversations))
+
+
+@query
+def op12_token_counts(spark, sf):
+    """The cache of one source folder lies in the shared folder, so another run over the same tables finds it."""
+    import public_tokenizers
+
+    cache = f"{checkpoint_dir(spark).rstrip('/')}/token-counts/{hashlib.md5(sf.encode()).hexdigest()}"
+    found = token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache, keep=["doc_id"])
+    return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_tokens").alias("n_tokens"),
+                        (F.col("_n_tokens") > 512).alias("over_limit"))
+
+
+@query
+def op13_phrase_collocations(spark, sf):
+    return phrases(table(spark, sf, "documents"))
