@@ -5,8 +5,8 @@ role the place needs (2) or deleted (3); an empty turn may be inserted anywhere
 whose role and text stood before must go; a truncated turn that stays costs 1 more.
 
 The search is a depth-first branch and bound over (turns read, grammar state): an explicit stack, a
-suffix bound from a grammar of two states, the incumbent (cost, audit), and a table of the best
-prefix per node that cuts worse ones. It ends when the stack is empty, so the result is proved
+suffix lower bound, the incumbent (cost, audit) per end, and a table of the best prefix per node that
+cuts worse ones. It ends when the stack is empty, so the result is proved
 cheapest and, among equals, the one with the ASCII-least audit.
 
 A long conversation is searched in segments: per state at a segment's end the best prefix is carried
@@ -76,22 +76,31 @@ def _needed(state: int) -> tuple[str, int]:
     return ("assistant", ASSISTANT) if state == USER else ("user", USER)
 
 
-def suffix_bounds(rows: list[tuple[str, bool, bool]], last: bool) -> list[tuple[int, int]]:
-    """Per turn, the least cost from there on in a grammar without the rule that system comes first.
+def suffix_bounds(rows: list[tuple[str, bool, bool]], last: bool) -> list[list[tuple]]:
+    """Per turn and state, the least cost from there to every end: one end for the last segment, else the four states.
 
-    Two states are enough: a user turn is awaited, or an assistant turn. ``rows`` hold initial, must
-    go, truncated. Insertions are free of place, so the two differ by one insertion at most.
+    The bound leaves out the audits, which is what the search then settles. ``rows`` hold initial, must
+    go, truncated. Before the last segment ends nothing is inserted behind its last turn: the next one
+    can do that as well.
     """
-    bounds = [(0, INSERT if last else 0)]
+    never = 1 << 40
+    if last:
+        bounds = [[(0,), (2 * INSERT,), (INSERT,), (0,)]]
+    else:
+        bounds = [[tuple(0 if e == q else never for e in range(4)) for q in range(4)]]
     for first, gone, cut in reversed(rows):
-        user, assistant = bounds[-1]
-        a, b = DELETE + user, DELETE + assistant
-        if not gone:
-            more = TRUNCATED if cut else 0
-            a, b = min(a, assistant + more + (0 if first == "u" else ROLE)), min(b, user + more + (0 if first == "a" else ROLE))
-            if first == "s":
-                a = min(a, user + more)
-        bounds.append((min(a, b + INSERT), min(b, a + INSERT)))
+        after, here = bounds[-1], []
+        more = TRUNCATED if cut else 0
+        for q in range(4):
+            ways = [[DELETE + c for c in after[q]]]
+            if not gone:
+                ways.append([ROLE + more + c for c in after[_needed(q)[1]]])
+                if (q, first) in STEP:
+                    ways.append([more + c for c in after[STEP[q, first]]])
+            here.append([min(w) for w in zip(*ways)])
+        for _ in range(3):      # an insertion moves on to the next state
+            here = [[min(c, INSERT + d) for c, d in zip(here[q], here[_needed(q)[1]])] for q in range(4)]
+        bounds.append([tuple(h) for h in here])
     return bounds[::-1]
 
 
@@ -104,24 +113,28 @@ def search(rows: list[tuple[str, bool, bool]], entries: dict[int, tuple[int, int
     bounds = suffix_bounds(rows, last)
     table: dict[tuple[int, int], tuple[int, int, str]] = {}
     best: dict[int, tuple[int, int, str]] = {}
-    exits = 1 if last else 2 + (START in entries) + bool(
-        SYSTEM in entries or (START in entries and any(r[0] == "s" and not r[1] for r in rows)))
+
+    def hopeless(i, state, cost, rank, audit):
+        """No end can still be reached at less cost, or at equal cost with an audit that may be less."""
+        for end, rest in enumerate(bounds[i][state]):
+            if rest < 1 << 30:
+                now = best.get(end)
+                if now is None or (cost + rest, rank, audit) <= (now[0], now[1], now[2][:len(audit)]):
+                    return False
+        return True
+
     stack = [(0, state, cost, rank, "") for state, (cost, rank) in
              sorted(entries.items(), key=lambda e: (-e[1][0], -e[1][1]))]
     while stack:
         i, state, cost, rank, audit = stack.pop()
-        if len(best) == exits and cost + bounds[i][state == USER] > max(b[0] for b in best.values()):
-            continue
         label = (cost, rank, audit)
-        if table.get((i, state), label) < label:
+        if table.get((i, state), label) < label or hopeless(i, state, cost, rank, audit):
             continue
         table[i, state] = label
         if i == n and (not last or state in ENDS):
-            end = ASSISTANT if last else state
-            if end not in best or label < best[end]:
-                best[end] = label
-            if not last or state in ENDS:
-                continue
+            end = 0 if last else state
+            best[end] = min(best.get(end, label), label)
+            continue
         role, to = _needed(state)
         moves = [(INSERT, "I", i, to)]
         if i < n:
@@ -132,13 +145,12 @@ def search(rows: list[tuple[str, bool, bool]], entries: dict[int, tuple[int, int
                 moves.append((ROLE + more, "R", i + 1, to))
                 if (state, first) in STEP:
                     moves.append((more, "K", i + 1, STEP[state, first]))
-        ordered = []
+        # The most promising move is popped first, the least letter among equals.
+        moves.sort(key=lambda m: (m[0] + min(bounds[m[2]][m[3]]), m[1]), reverse=True)
         for price, letter, j, q in moves:
             new = (cost + price, rank, audit + letter)
             if table.get((j, q), new) >= new:
-                ordered.append((-(new[0] + bounds[j][q == USER]), -ord(letter), j, q, new))
-        ordered.sort(key=lambda m: m[:2])
-        stack.extend((j, q, *new) for _, _, j, q, new in ordered)
+                stack.append((j, q, *new))
     return best
 
 
@@ -203,7 +215,7 @@ class _Conversation:
 
     def result(self):
         self.close(last=True)
-        cost, _, chain, digest, _ = self.live[ASSISTANT]
+        cost, _, chain, digest, _ = self.live[0]
         parts = []
         while chain is not None:
             chain, part = chain

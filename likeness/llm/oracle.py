@@ -149,4 +149,108 @@ WITH RECURSIVE given AS (
 )
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept
 FROM given LEFT JOIN classes USING (vec_id) LEFT JOIN counts USING (vec_id)""",
+
+    # Conversations step through the grammar (0 start, 1 system, 2 user, 3 assistant) turn by turn; before each
+    # turn at most one insertion can pay, at the end at most two.
+    "op11_conversation_repair": r"""
+WITH RECURSIVE coded AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS key FROM conversations
+), bits AS (
+    SELECT *, list_transform(range(0, octet_length(key) * 8), lambda i:
+        ((('0x' || substr(hex(key), 2 * (i // 8) + 1, 2))::INTEGER >> (i % 8)::INTEGER) & 1)::BIGINT) AS b FROM coded
+), hashed AS (
+    SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x:
+        xor(c >> 1, 3988292384::BIGINT * (xor(c, x) & 1))), 4294967295::BIGINT) % 20 AS fault FROM bits
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM hashed WHERE fault > 0
+), ordered AS (
+    SELECT conv_id, turn, role, text, row_number() OVER w AS i, substr(role, 1, 1) AS first,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+           substr(lag(role) OVER w, 1, 1) AS before, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy)
+), faulty AS MATERIALIZED (
+    SELECT *, body = '' AS blank, body <> '' AND seen > 1 AS again,
+           body <> '' AND seen = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+           before IS NOT NULL AND before || first NOT IN ('su', 'ua', 'au') AS bad FROM ordered
+), counted AS MATERIALIZED (
+    SELECT conv_id, count(*) AS turns, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS again, count(*) FILTER (cut) AS cut, count(*) FILTER (bad) AS bad
+    FROM faulty GROUP BY conv_id
+), grammar (state, need, word, nxt) AS (VALUES (0, 'u', 'user', 2), (1, 'u', 'user', 2), (2, 'a', 'assistant', 3), (3, 'u', 'user', 2)
+), moves (state, first, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), walk AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS said FROM counted
+    UNION ALL
+    SELECT conv_id, i, state, best.cost, best.audit, best.said FROM (
+        SELECT conv_id, i, state, min({'cost': cost, 'audit': audit, 'said': said}) AS best FROM (
+            SELECT f.conv_id, f.i, e.state, o.cost + e.cost AS cost, o.audit || e.letter AS audit,
+                   o.said || CASE e.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [e.word || ':' || f.text] END AS said
+            FROM (
+                SELECT conv_id, i, state, cost, audit, said FROM walk
+                UNION ALL
+                SELECT conv_id, i, nxt, cost + 2, audit || 'I', said || [word || ':'] FROM walk JOIN grammar USING (state)
+            ) o JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM o.conv_id AND f.i = o.i + 1
+            JOIN (
+                SELECT g.state AS since, 'D' AS letter, g.state, 3 AS cost, NULL AS first, '' AS word FROM grammar g
+                UNION ALL SELECT g.state, 'R', g.nxt, 2, NULL, g.word FROM grammar g
+                UNION ALL SELECT m.state, 'K', m.nxt, 0, m.first, '' FROM moves m
+            ) p ON p.since = o.state AND (p.letter = 'D' OR NOT (f.blank OR f.again)) AND (p.first IS NULL OR p.first = f.first)
+            CROSS JOIN LATERAL (SELECT p.letter AS letter, p.state AS state, p.word AS word,
+                                       p.cost + CASE WHEN p.letter <> 'D' AND f.cut THEN 1 ELSE 0 END AS cost) e
+        ) GROUP BY conv_id, i, state
+    )
+), ends AS (
+    SELECT conv_id, min({'cost': cost + extra, 'audit': audit || tail, 'said': said || more}) AS best
+    FROM walk JOIN counted c USING (conv_id)
+    JOIN (VALUES (0, 0, '', []::VARCHAR[]), (3, 0, '', []::VARCHAR[]), (2, 2, 'I', ['assistant:']),
+                 (1, 4, 'II', ['user:', 'assistant:'])) t(state, extra, tail, more) USING (state)
+    WHERE walk.i = c.turns GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(again, 0)::BIGINT AS duplicate,
+       coalesce(cut, 0)::BIGINT AS truncated, coalesce(bad, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted USING (conv_id) LEFT JOIN ends USING (conv_id)""",
+
+    "op13_phrase_collocations": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(""" + _LOWER.format("text") + r""", '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), cut AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+    SELECT lang, 1 AS m, unnest(w) AS p FROM cut
+    UNION ALL
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ')
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM cut, (VALUES (2), (3)) t(m) WHERE len(w) >= m)
+), f AS MATERIALIZED (
+    SELECT lang, m, p, count(*) AS f FROM grams GROUP BY lang, m, p
+), total AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), kept AS MATERIALIZED (
+    SELECT * FROM f c WHERE m = 3 AND f >= 10
+    UNION ALL
+    SELECT c.* FROM f c LEFT JOIN (
+        SELECT lang, p, max(f) AS most FROM (
+            SELECT lang, array_to_string(string_split(p, ' ')[i:i + 1], ' ') AS p, f
+            FROM f, (VALUES (1), (2)) t(i) WHERE m = 3 AND f >= 10) GROUP BY lang, p
+    ) l USING (lang, p) WHERE c.m = 2 AND c.f >= 10 AND (most IS NULL OR 100 * most < 50 * c.f)
+), parts AS MATERIALIZED (
+    SELECT lang, p, f AS a, k, array_to_string(string_split(p, ' ')[:k], ' ') AS lp, array_to_string(string_split(p, ' ')[k + 1:], ' ') AS rp
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)
+), lefts AS MATERIALIZED (
+    SELECT c.*, f.f AS l FROM parts c JOIN f ON f.lang = c.lang AND f.p = lp
+), scored AS (
+    SELECT c.lang, c.p, a, k, l, f.f AS r, (1000000::HUGEINT * a * a) // (l::HUGEINT * f.f) AS s
+    FROM lefts c JOIN f ON f.lang = c.lang AND f.p = rp
+), least AS (
+    SELECT lang, p, a, l, r, s FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY s, k) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, encode(p)) AS rank FROM least
+)
+SELECT lang, rank::BIGINT AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, s::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
