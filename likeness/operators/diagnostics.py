@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from likeness import settings as S
 from likeness.functions.text import draw_key
@@ -12,10 +15,13 @@ from likeness.operators import metrics as M
 from likeness.operators.classify import centroid_predictions, fold_scores
 from likeness.operators.probe import probe_predictions
 from likeness.operators.ranking import average_rank, hash_rank
+from likeness.operators.similarity import _arrow, picked
 from likeness.operators.splits import group_folds, stratified_folds, thinned_samples
 from likeness.operators.templates import item_means
 from likeness.session import bounded, durable
 
+PERMUTATIONS_PER_TASK = 100
+
 
 def predict(df: DataFrame, by: list[str], classifier: str, enrolment: str = "all", **options) -> DataFrame:
     run = {"centroid": centroid_predictions, "probe": probe_predictions}[classifier]
@@ -71,7 +77,7 @@ def kinship(df: DataFrame, by: list[str], permutations: int = S.N_PERMUTATIONS,
     """
     known = df.filter(F.col("family").isNotNull() & ~F.col("family").isin(S.UNKNOWN_FAMILIES))
     people = known.groupBy(*by, "ind").agg(F.min("family").alias("family"), l2(vector_sum("v")).alias("u"))
-    people = bounded(people, max_rows=16_384)
+    people = durable(people)
 
     def gaps(d: DataFrame, cell: list[str], family: str) -> DataFrame:
         fam = d.groupBy(*cell, family).agg(
@@ -93,14 +99,7 @@ def kinship(df: DataFrame, by: list[str], permutations: int = S.N_PERMUTATIONS,
     gap = F.round(F.col("same_sim") - F.col("diff_sim"), 12)
     observed = gaps(people, by, "family").withColumn("gap", gap).filter(
         (F.col("n_families") >= 2) & (F.col("n_individuals") >= 3) & (F.col("n_same") >= 2) & (F.col("n_diff") >= 2))
-    # A shuffle gives the n-th individual of a random order the family of the n-th individual.
-    seats = hash_rank(people.select(*by, "ind", "family"), by, F.md5("ind"), "_p", tie=["ind"])
-    seats = bounded(seats.select(*by, "_p", F.col("family").alias("_f")), source=people)
-    perm = people.select(*by, "ind", "u").withColumn(
-        "perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = draw_key("kinship", "perm", "ind", seed=seed)
-    shuffled = hash_rank(perm, [*by, "perm"], order, "_p", tie=["ind"]).join(seats, [*by, "_p"])
-    null = gaps(shuffled, [*by, "perm"], "_f").withColumn("null_gap", gap).filter(F.col("null_gap").isNotNull())
+    null = _shuffled_gaps(people, by, permutations, seed).withColumn("null_gap", gap).filter(F.col("null_gap").isNotNull())
     observed = bounded(observed)
     tail = null.join(observed.select(*by, "gap"), by).groupBy(*by).agg(
         ((F.count_if(F.col("null_gap") >= F.col("gap")) + 1) / (F.count("*") + 1)).alias("p_permutation"))
@@ -110,6 +109,63 @@ def kinship(df: DataFrame, by: list[str], permutations: int = S.N_PERMUTATIONS,
         F.col("n_same").alias("n_same_family_pairs"), F.col("n_diff").alias("n_different_family_pairs"))
 
 
+def _shuffled_gaps(people: DataFrame, by: list[str], permutations: int, seed: int, width: int = PERMUTATIONS_PER_TASK) -> DataFrame:
+    """``by, perm, same_sim, diff_sim`` of every label shuffle.
+
+    A shuffle gives the n-th individual of a random order the family of the n-th individual, so only keys are
+    ranked. Each individual then holds one family number per shuffle and travels once per range of ``width``
+    shuffles; a task turns a range into sparse indicator blocks and adds up family sums, without pairs.
+    """
+    families = hash_rank(people.select(*by, "family").distinct(), by, F.md5("family"), "_code", tie=["family"])
+    seats = hash_rank(people.select(*by, "ind", "family"), by, F.md5("ind"), "_p", tie=["ind"]).join(families, [*by, "family"]).select(
+        *by, "_p", (F.col("_code") - 1).cast("int").alias("_f"))
+    drawn = people.select(*by, "ind").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    drawn = hash_rank(drawn, [*by, "perm"], draw_key("kinship", "perm", "ind", seed=seed), "_p", tie=["ind"]).join(seats, [*by, "_p"])
+    ranges = drawn.withColumn("_range", F.floor(F.col("perm") / width).cast("int")).groupBy(*by, "ind", "_range").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("perm", "_f"))), lambda x: x["_f"]).alias("_fs"))
+    rows = ranges.join(people.select(*by, "ind", "u"), [*by, "ind"])
+    number = T.DoubleType()
+    schema = T.StructType([people.schema[c] for c in by] + [
+        T.StructField("perm", T.IntegerType()), T.StructField("_f", T.IntegerType()),
+        T.StructField("s", T.ArrayType(number)), T.StructField("q", number), T.StructField("m", number)])
+    arrow = _arrow(schema)
+
+    def run(batches):
+        for b in batches:
+            keys = {}
+            for i, key in enumerate(zip(*[b.column(c).to_pylist() for c in [*by, "_range"]])):
+                keys.setdefault(key, []).append(i)
+            out = {name: [] for name in schema.fieldNames()}
+            for key, at in keys.items():
+                at = np.asarray(at)
+                u, fs = picked(b.column("u"), at), picked(b.column("_fs"), at)
+                square = (u * u).sum(axis=1)
+                for j in range(fs.shape[1]):
+                    found, code = np.unique(fs[:, j], return_inverse=True)
+                    indicator = np.zeros((len(found), len(u)))
+                    indicator[code, np.arange(len(u))] = 1.0
+                    n = len(found)
+                    for c, v in zip(by, key):
+                        out[c] += [v] * n
+                    out["perm"] += [key[-1] * width + j] * n
+                    out["_f"] += found.tolist()
+                    out["s"] += list(indicator @ u)
+                    out["q"] += (indicator @ square).tolist()
+                    out["m"] += indicator.sum(axis=1).tolist()
+            yield from pa.Table.from_pydict(out, schema=arrow).to_batches()
+
+    parts = rows.select(*by, "_range", "_fs", "u").mapInArrow(run, schema)
+    fam = parts.groupBy(*by, "perm", "_f").agg(vector_sum("s").alias("s"), F.sum("q").alias("q"), F.sum("m").alias("m"))
+    m = F.col("m")
+    tot = fam.groupBy(*by, "perm").agg(
+        vector_sum("s").alias("s"), F.sum("q").alias("q"), F.sum("m").alias("k"),
+        F.sum((dot("s", "s") - F.col("q")) / 2).alias("same"), F.sum(m * (m - 1) / 2).alias("n_same"))
+    n_diff = F.col("k") * (F.col("k") - 1) / 2 - F.col("n_same")
+    return tot.select(
+        *by, "perm", F.when(F.col("n_same") > 0, F.col("same") / F.col("n_same")).alias("same_sim"),
+        F.when(n_diff > 0, ((dot("s", "s") - F.col("q")) / 2 - F.col("same")) / n_diff).alias("diff_sim"))
+
+
 def split_structure(df: DataFrame, by: list[str], ind: str = "ind", grp: str = "grp", k: int = S.N_FOLDS) -> DataFrame:
     """How much could a leaky split reunite? From group sizes alone.
 

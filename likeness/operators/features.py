@@ -91,8 +91,15 @@ def _cepstra(samples: np.ndarray, rate: int, n_mfcc: int) -> np.ndarray:
 
 
 def spectral_frames(clips: DataFrame, keys: list[str], n_mfcc: int, samples: str = "samples",
-                    rate: int = S.SAMPLE_RATE) -> DataFrame:
-    """``keys, frame, coeff, value``: one clip per row in, one row per frame and coefficient out."""
+                    rate: int = S.SAMPLE_RATE, rate_column: str | None = None) -> DataFrame:
+    """``keys, frame, coeff, value``: one clip per row in, one row per frame and coefficient out.
+
+    ``rate_column`` tells each clip's own rate: another one than ``rate`` stops the job.
+    """
+    if rate_column:
+        fault = F.raise_error(F.format_string(f"expected {rate} samples a second, found %d", F.col(rate_column)))
+        whole = F.when(F.col(rate_column) == rate, F.col(samples)).otherwise(fault.cast(clips.schema[samples].dataType))
+        clips = clips.withColumn(samples, whole)
     schema = T.StructType([clips.schema[c] for c in keys] + [
         T.StructField("frame", T.IntegerType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
 

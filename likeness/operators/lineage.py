@@ -81,6 +81,20 @@ def package_digest(packages: DataFrame, by: list[str] | None = None) -> DataFram
         F.md5(F.array_join(F.sort_array(F.collect_set(line)), "\n")).alias("env_hash"))
 
 
+def merkle_digest(df: DataFrame, line, by: list[str] | None = None, prefix: int = 3) -> DataFrame:
+    """``by, n_lines, digest`` of distinct lines, the same for every order and partitioning.
+
+    Lines are sliced by the first ``prefix`` digits of their md5. A slice digests its sorted lines, the root digests the
+    sorted ``slice=digest`` pairs, of which there are at most ``16**prefix``: no task holds more than a slice.
+    """
+    by = by or []
+    lines = df.select(*by, line.alias("_line")).where("_line is not null").distinct()
+    lines = lines.withColumn("_h", F.md5("_line")).withColumn("_slice", F.left("_h", F.lit(prefix)))
+    leaves = lines.groupBy(*by, "_slice").agg(F.md5(F.array_join(F.sort_array(F.collect_list("_h")), "")).alias("_d"), F.count("*").alias("_n"))
+    pairs = F.sort_array(F.collect_list(F.concat("_slice", F.lit("="), "_d")))
+    return leaves.groupBy(*by).agg(F.sum("_n").alias("n_lines"), F.md5(F.array_join(pairs, "\n")).alias("digest"))
+
+
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """``path, n_rows, md5_content`` of result tables."""
     out = None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from likeness.session import bounded, one_thread_per_task
+from likeness.session import bounded, one_thread_per_task, spread
 
 
 # Classification -------------------------------------------------------------------------------
@@ -108,6 +108,9 @@ def auc_eer(hist: DataFrame, by: list[str]) -> DataFrame:
 
 
 # Clustering -----------------------------------------------------------------------------------
+TERMS = 1 << 20         # hypergeometric terms held at once
+
+
 def contingency(df: DataFrame, by: list[str], truth: str, cluster: str) -> DataFrame:
     return df.groupBy(*by, F.col(truth).alias("a"), F.col(cluster).alias("b")).agg(F.count("*").alias("n"))
 
@@ -116,27 +119,41 @@ def _expected_information(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series
     """Mean of (x/n)·ln(n·x/(a·b)) for hypergeometric x, per row.
 
     Probabilities are built outward from the mode by their ratio, so no factorial of a large
-    number is needed, and stop where they no longer change the sum.
+    number is needed, and stop where they no longer change the sum. The terms of many rows lie end to end
+    in one array, a bounded number at a time.
     """
+    a, b, n = (c.to_numpy(float) for c in (a, b, n))
+    lo, hi = np.maximum(0.0, a + b - n), np.minimum(a, b)
+    mode = np.clip(np.floor((a + 1) * (b + 1) / (n + 2)), lo, hi)
+    sd = np.sqrt(np.maximum(a * b * (n - a) * (n - b) / (n * n * np.maximum(n - 1, 1.0)), 0.0))
+    reach = np.ceil(14 * sd) + 60
+    lo, hi = np.maximum(lo, mode - reach), np.minimum(hi, mode + reach)
+    terms = (hi - lo + 1).astype("int64")
     out = np.zeros(len(a))
-    for i, (ai, bi, ni) in enumerate(zip(a.astype(float), b.astype(float), n.astype(float))):
-        lo, hi = max(0.0, ai + bi - ni), min(ai, bi)
-        mode = min(max(np.floor((ai + 1) * (bi + 1) / (ni + 2)), lo), hi)
-        sd = np.sqrt(max(ai * bi * (ni - ai) * (ni - bi) / (ni * ni * max(ni - 1, 1.0)), 0.0))
-        reach = np.ceil(14 * sd) + 60
-        up = np.arange(mode, min(hi, mode + reach))
-        down = np.arange(mode, max(lo, mode - reach), -1)
-        with np.errstate(divide="ignore"):
-            grow = np.log((ai - up) * (bi - up)) - np.log((up + 1) * (ni - ai - bi + up + 1))
-            shrink = np.log(down * (ni - ai - bi + down)) - np.log((ai - down + 1) * (bi - down + 1))
-        x = np.concatenate([[mode], up + 1, down - 1])
-        w = np.exp(np.concatenate([[0.0], np.cumsum(grow), np.cumsum(shrink)]))
-        x1 = np.where(x > 0, x, 1.0)
-        f = np.where(x > 0, x / ni * (np.log(ni) + np.log(x1) - np.log(ai) - np.log(bi)), 0.0)
-        out[i] = float((w * f).sum() / w.sum())
+    cuts = np.searchsorted(np.cumsum(terms), np.arange(0, terms.sum() + TERMS, TERMS)) if len(a) else []
+    for first, last in zip(cuts, [*cuts[1:], len(a)]):
+        if first < last:
+            r = slice(first, last)
+            out[r] = _information_terms(a[r], b[r], n[r], lo[r], mode[r], terms[r])
     return pd.Series(out)
 
 
+def _information_terms(a, b, n, lo, mode, terms):
+    start = np.cumsum(terms) - terms
+    row = np.repeat(np.arange(len(a)), terms)
+    a, b, n = a[row], b[row], n[row]
+    x = lo[row] + (np.arange(len(row)) - start[row])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step = np.log((a - x + 1) * (b - x + 1)) - np.log(x * (n - a - b + x))
+    step[start] = 0.0
+    log_w = np.cumsum(step)
+    log_w -= log_w[start + (mode - lo).astype("int64")][row]
+    w = np.exp(log_w)
+    x1 = np.where(x > 0, x, 1.0)
+    f = np.where(x > 0, x / n * (np.log(n) + np.log(x1) - np.log(a) - np.log(b)), 0.0)
+    return np.add.reduceat(w * f, start) / np.add.reduceat(w, start)
+
+
 def cluster_scores(cont: DataFrame, by: list[str]) -> DataFrame:
     """Adjusted Rand index, normalised and adjusted mutual information (arithmetic mean).
 
@@ -163,8 +180,10 @@ def cluster_scores(cont: DataFrame, by: list[str]) -> DataFrame:
     sizes_a = a.groupBy(*by, "na").agg(F.count("*").alias("ca"))
     sizes_b = bounded(b.groupBy(*by, "nb").agg(F.count("*").alias("cb")))
     expected = F.pandas_udf(_expected_information, "double")
+    pairs = sizes_a.join(sizes_b, by).join(total, by)
+    # Work follows the number of terms, not of bytes: pairs are dealt evenly over a stated number of tasks.
     emi = (
-        sizes_a.join(sizes_b, by).join(total, by)
+        spread(pairs, ["na", "nb"])
         .groupBy(*by).agg(F.sum(F.col("ca") * F.col("cb") * expected("na", "nb", "total")).alias("emi"))
     )
     d = (

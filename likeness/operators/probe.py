@@ -1,41 +1,53 @@
-"""Linear probe: multinomial logistic regression, refitted in every fold."""
+"""Linear probe: multinomial logistic regression, refitted in every fold.
+
+Each fold's fit is a row of a model table: weights on raw vectors, the scaler folded in. Fits see a
+bounded sample (all rows up to ``fit_rows``); every test row is scored from the table in one pass.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from likeness.functions.vectors import standardise
-from likeness.operators.similarity import _arrow, matrix
+from likeness.operators.models import FIT_ROWS, apply_models, fit_models, fit_sample
+from likeness.operators.similarity import matrix
 from likeness.operators.splits import enrolled_folds
 from likeness.operators.templates import fold_scalers
-from likeness.session import bounded, one_thread_per_task, spread
+from likeness.session import one_thread_per_task
 
-TASK_ROWS = 20_000
+MODEL = "classes array<string>, w array<double>, dim int, n_fit long, n_train double, gradient double"
 
 
-def _fit_softmax(x: np.ndarray, y: np.ndarray, k: int, c: float, max_iter: int, tol: float = 1e-6) -> np.ndarray:
-    """Minimise mean cross-entropy + |w|^2 / (2·c·n) by L-BFGS; the intercept is free."""
-    n, d = x.shape
-    xb = np.hstack([x, np.ones((n, 1))])
+def _softmax_loss(x: np.ndarray, y: np.ndarray, k: int, c: float, weight: np.ndarray | None = None):
+    """A function from weights to (value, gradient)."""
+    weight = np.ones(len(x)) if weight is None else weight
+    n = weight.sum()
+    xb = np.hstack([x, np.ones((len(x), 1))])
     target = np.eye(k)[y]
-    ridge = np.full((d + 1, 1), 1.0 / (c * n))
+    ridge = np.full((x.shape[1] + 1, 1), 1.0 / (c * n))
     ridge[-1] = 0.0
+    share = (weight / n)[:, None]
 
     def loss(w):
         s = xb @ w
         s -= s.max(axis=1, keepdims=True)
         e = np.exp(s)
         z = e.sum(axis=1, keepdims=True)
-        value = float((np.log(z).ravel() - (s * target).sum(axis=1)).mean() + 0.5 * (ridge * w * w).sum())
-        return value, xb.T @ (e / z - target) / n + ridge * w
+        value = float((share * (np.log(z) - (s * target).sum(axis=1, keepdims=True))).sum() + 0.5 * (ridge * w * w).sum())
+        return value, xb.T @ (share * (e / z - target)) + ridge * w
+
+    return loss
 
-    w = np.zeros((d + 1, k))
+
+def _fit_softmax(x: np.ndarray, y: np.ndarray, k: int, c: float, max_iter: int, tol: float = 1e-6,
+                 weight: np.ndarray | None = None) -> np.ndarray:
+    """Minimise mean cross-entropy + |w|^2 / (2·c·n) by L-BFGS; the intercept is free. n is the sum of weights."""
+    loss = _softmax_loss(x, y, k, c, weight)
+    w = np.zeros((x.shape[1] + 1, k))
     f, g = loss(w)
     memory: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(max_iter):
@@ -68,74 +80,50 @@ def _fit_softmax(x: np.ndarray, y: np.ndarray, k: int, c: float, max_iter: int,
     return w
 
 
-def probe_predictions(df: DataFrame, by: list[str], label: str = "ind", q_cols: list[str] | None = None,
-                      v: str = "v", enrolment: str = "all", c: float = 1.0, max_iter: int = 1500,
-                      task_rows: int = TASK_ROWS) -> DataFrame:
-    """Predictions for the test rows of every fold: ``by, fold, q_cols, truth, pred``.
+def probe_models(df: DataFrame, by: list[str], label: str = "ind", item: list[str] | None = None, v: str = "v",
+                 enrolment: str = "all", c: float = 1.0, max_iter: int = 1500, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The model table: ``by, fold`` and, fitted on the other folds' rows, ``classes, w, dim, n_fit, n_train, gradient``.
 
-    A fit whose rows fit one task runs there, many fits at once. Larger fits run one after the
-    other as distributed jobs with the same objective.
+    ``w`` holds (dim + 1) x classes weights row by row, the intercepts last, for vectors as they are. ``gradient`` is
+    the largest entry of the loss's gradient at the end, on standardised vectors: 0 at the optimum.
     """
     one_thread_per_task(df)
-    q_cols = q_cols or ["item", "window"]
-    folds = bounded(fold_scalers(df, by, v).withColumnRenamed("fold", "fit"), max_rows=16_384)
+    item = item or ["item", "window"]
+    folds = fold_scalers(df, by, v).withColumnRenamed("fold", "fit")
     if enrolment == "all":
-        keep = enrolled_folds(df, by, label).withColumnRenamed("fold", "fit")
-        folds = folds.join(bounded(keep), [*by, "fit"], "left_semi")
+        folds = folds.join(enrolled_folds(df, by, label).withColumnRenamed("fold", "fit"), [*by, "fit"], "left_semi")
     elif enrolment != "none":
         raise ValueError(f"unknown enrolment {enrolment!r}")
-    rows = (
-        df.select(*by, "fold", *q_cols, F.col(label).cast("string").alias("truth"), F.col(v).alias("_v"))
-        .join(folds, by)
-        .select(*by, F.col("fit"), (F.col("fold") == F.col("fit")).alias("_test"), *q_cols, "truth",
-                standardise("_v", "mean", "sd").alias("_x"))
-    )
-    sizes = rows.groupBy(*by, "fit").agg(F.count("*").alias("_n"), F.count_if(~F.col("_test")).alias("_train"))
-    big = [r.asDict() for r in sizes.filter(F.col("_n") > task_rows).toLocalIterator()]
-    schema = T.StructType(
-        [df.schema[c_] for c_ in by] + [T.StructField("fold", T.IntegerType())]
-        + [df.schema[c_] for c_ in q_cols] + [T.StructField("truth", T.StringType()), T.StructField("pred", T.StringType())]
-    )
-    arrow_schema = _arrow(schema)
-
-    def fit(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.sort_by([(c_, "ascending") for c_ in q_cols])
-        x, test = matrix(group["_x"]), np.asarray(group["_test"])
-        truth = np.asarray(group["truth"].to_pandas())
-        classes, y = np.unique(truth[~test].astype(str), return_inverse=True)
-        if len(classes) == 0 or not test.any():
-            return arrow_schema.empty_table()
-        w = _fit_softmax(x[~test], y, len(classes), c, max_iter)
-        scores = x[test] @ w[:-1] + w[-1]
-        kept = group.filter(pa.array(test))
-        columns = {c_: [key[i].as_py()] * kept.num_rows for i, c_ in enumerate(by)}
-        columns["fold"] = [key[-1].as_py()] * kept.num_rows
-        columns |= {c_: kept[c_] for c_ in q_cols}
-        columns |= {"truth": kept["truth"], "pred": classes[scores.argmax(axis=1)].astype(object)}
-        return pa.table(columns, schema=arrow_schema)
-
-    small_rows = rows
-    if big:
-        fits = sizes.filter(F.col("_n") <= task_rows).select(*by, "fit")
-        small_rows = rows.join(bounded(fits), [*by, "fit"], "left_semi")
-    result = spread(small_rows, [*by, "fit"]).groupBy(*by, "fit").applyInArrow(fit, schema)
-    for unit in big:
-        result = result.unionByName(_distributed(rows, by, unit, q_cols, c, max_iter).select(*schema.fieldNames()))
-    return result
-
-
-def _distributed(rows: DataFrame, by: list[str], unit: dict, q_cols: list[str], c: float, max_iter: int) -> DataFrame:
-    part = rows
-    for col in [*by, "fit"]:
-        part = part.filter(F.col(col) == F.lit(unit[col]))
-    labels = sorted(r["truth"] for r in part.filter(~F.col("_test")).select("truth").distinct().toLocalIterator())
-    names = F.array(*[F.lit(x) for x in labels])
-    part = part.withColumn("features", array_to_vector("_x")).withColumn(
-        "label", (F.array_position(names, F.col("truth")) - 1).cast("double"))
-    train = part.filter(~F.col("_test")).persist()
-    model = LogisticRegression(family="multinomial", elasticNetParam=0.0, regParam=1.0 / (c * unit["_train"]),
-                               standardization=False, maxIter=max_iter, tol=1e-9).fit(train)
-    train.unpersist()
-    return model.transform(part.filter("_test")).select(
-        *by, F.col("fit").cast("int").alias("fold"), *q_cols, "truth",
-        F.get(names, F.col("prediction").cast("int")).alias("pred"))
+    rows = df.select(*by, "fold", *item, F.col(label).cast("string").alias("truth"), F.col(v).alias("_v"))
+    train = fit_sample(rows, by, "truth", item, "probe_fit", fit_rows).join(folds, by).where(
+        "fold <> fit").select(*by, F.col("fit").cast("int").alias("fold"), *item, "truth", "_weight", "mean", "sd",
+                              standardise("_v", "mean", "sd").alias("_x"))
+
+    def fit(group: pa.Table) -> dict | None:
+        group = group.sort_by([(i, "ascending") for i in item])
+        x, weight = matrix(group["_x"]), np.asarray(group["_weight"])
+        classes, y = np.unique(np.asarray(group["truth"].to_pandas()).astype(str), return_inverse=True)
+        w = _fit_softmax(x, y, len(classes), c, max_iter, weight=weight)
+        gradient = np.abs(_softmax_loss(x, y, len(classes), c, weight)(w)[1]).max()
+        mean, sd = (np.asarray(group[m][0].as_py()) for m in ("mean", "sd"))
+        slope = w[:-1] / np.where(sd == 0, 1.0, sd)[:, None]
+        raw = np.vstack([slope, w[-1] - mean @ slope])
+        return {"classes": classes.tolist(), "w": raw.ravel().tolist(), "dim": x.shape[1], "n_fit": len(x),
+                "n_train": float(weight.sum()), "gradient": float(gradient)}
+
+    return fit_models(train, [*by, "fold"], T._parse_datatype_string(MODEL).fields, fit)
+
+
+def probe_predictions(df: DataFrame, by: list[str], label: str = "ind", q_cols: list[str] | None = None,
+                      v: str = "v", enrolment: str = "all", **model_options) -> DataFrame:
+    """Predictions for the test rows of every fold: ``by, fold, q_cols, truth, pred``."""
+    q_cols = q_cols or ["item", "window"]
+    models = probe_models(df, by, label, q_cols, v, enrolment, **model_options)
+    rows = df.select(*by, F.col("fold").cast("int").alias("fold"), *q_cols, F.col(label).cast("string").alias("truth"), F.col(v).alias("_v"))
+
+    def score(block: pa.Table, model: dict) -> dict:
+        w = np.reshape(model["w"], (model["dim"] + 1, -1))
+        best = (matrix(block["_v"]) @ w[:-1] + w[-1]).argmax(axis=1)
+        return {"pred": np.asarray(model["classes"], object)[best]}
+
+    return apply_models(rows, models, [*by, "fold"], q_cols, [T.StructField("pred", T.StringType())], score)

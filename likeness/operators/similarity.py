@@ -1,8 +1,9 @@
 """Nearest references and pair-score histograms as blocked matrix products.
 
-Spark owns the partitioning: vectors are cut into hash blocks (a hot label or group is spread
-evenly), block pairs are the shuffle key, and NumPy multiplies one block pair per task. Tasks
-return top-k candidates or score counts, never the pairs themselves.
+Spark owns the partitioning: vectors are hashed into strips (a hot label or group is spread evenly),
+pairs of strips are the shuffle key, and NumPy multiplies two strips per task, tile by tile. P tasks
+need about sqrt(2 P) strips, so each vector is copied that often; only strips too large for a task
+add copies. Tasks return top-k candidates or one histogram of scores, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from likeness.functions.vectors import l2, vector_sum
-from likeness.session import bounded, is_small, one_thread_per_task, small_table, spread
+from likeness.session import bounded, is_small, one_thread_per_task, spread
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512
 PAIR_CHUNK_ROWS = 1024
+STRIP_BYTES = 64 << 20
 SLICE_BINS = 4096
 SCORE_DECIMALS = 9
 PAIR_DECIMALS = 6
@@ -47,33 +49,57 @@ def _top_positions(q: np.ndarray, r: np.ndarray, k: int, decimals: int):
     """Positions and scores of the k best references per query; ties go to the earlier row.
 
     Scores are rounded first: matrix products differ in the last bits with the block shape, and
-    a tie must not depend on how rows were partitioned.
+    a tie must not depend on how rows were partitioned. References are taken tile by tile; the
+    best so far stand before a tile's own, so the earlier row still wins.
     """
     k = min(k, len(r))
     positions, scores = [], []
     for start in range(0, len(q), CHUNK_ROWS):
-        s = np.round(q[start:start + CHUNK_ROWS] @ r.T, decimals) + 0.0
-        rows = np.arange(len(s))
-        p, c = [], []
-        for _ in range(k):
-            best = s.argmax(axis=1)
-            p.append(best)
-            c.append(s[rows, best].copy())
-            s[rows, best] = -np.inf
-        positions.append(np.stack(p, axis=1))
-        scores.append(np.stack(c, axis=1))
+        part = q[start:start + CHUNK_ROWS]
+        rows, p, c = np.arange(len(part)), None, None
+        for tile in range(0, len(r), BLOCK_ROWS):
+            s = np.round(part @ r[tile:tile + BLOCK_ROWS].T, decimals) + 0.0
+            at = np.broadcast_to(np.arange(tile, tile + s.shape[1]), s.shape)
+            if p is not None:
+                s, at = np.hstack([c, s]), np.hstack([p, at])
+            p, c = [], []
+            for _ in range(min(k, s.shape[1])):
+                best = s.argmax(axis=1)
+                p.append(at[rows, best])
+                c.append(s[rows, best].copy())
+                s[rows, best] = -np.inf
+            p, c = np.stack(p, axis=1), np.stack(c, axis=1)
+        positions.append(p)
+        scores.append(c)
     return np.concatenate(positions), np.concatenate(scores)
 
 
+def _strips(df: DataFrame, v: str, block_rows: int, strip_bytes: int):
+    """Aggregates: the least number of strips that fit a task, and the most that are still worth a tile."""
+    n, width = F.count("*"), F.max(F.size(v)) * 8
+    return F.ceil(n * width / strip_bytes).alias("_least"), F.ceil(n / block_rows).alias("_most")
+
+
+def _side_for(tasks: int):
+    """Strips per cell so that all pairs of strips make about ``tasks`` tasks."""
+    return F.greatest(F.col("_least"), F.least(F.col("_most"), F.lit(int(np.ceil(np.sqrt(2 * tasks)))))).cast("int")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks that keep the session's cores busy to the end."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str], r_cols: list[str],
             k: int = 1, q_vec: str = "v", r_vec: str = "t", decimals: int = SCORE_DECIMALS,
             broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, strip_bytes: int = STRIP_BYTES) -> DataFrame:
     """The ``k`` best references per query by dot product, within equal ``on`` keys.
 
     Output: ``on, q_cols, r_cols, score, rank``. ``r_cols`` orders ties (ascending) and must
-    identify a reference. References within the byte bound are shipped to the tasks and queries
-    are not shuffled at all; beyond it both sides are shuffled as block pairs.
+    identify a reference. References whose count and bytes were found small are shipped to the tasks and
+    queries are not shuffled at all; otherwise both sides are shuffled as pairs of strips.
     """
     one_thread_per_task(queries)
     queries = queries.select(*on, *q_cols, F.col(q_vec).alias("_q"))
@@ -95,8 +121,8 @@ def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str
         out["rank"] = np.tile(np.arange(1, width + 1, dtype="int32"), len(positions))
         return out[names]
 
-    table = small_table(refs, broadcast_rows, broadcast_bytes) if broadcast_rows else None
-    if table is not None:
+    if broadcast_rows and _fits(refs, broadcast_rows, broadcast_bytes):
+        table = refs.toArrow()
         ref_keys = table.select(on + r_cols).to_pandas()
         order = ref_keys.sort_values(r_cols, kind="stable").index
         cells: dict[tuple, tuple] = {}
@@ -123,20 +149,20 @@ def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str
         arrow_schema = _arrow(schema)
         return queries.mapInArrow(scan, schema)
 
-    nq = queries.groupBy(*on).agg(F.count("*").alias("_nq"))
-    nr = refs.groupBy(*on).agg(F.count("*").alias("_nr"))
-    blocks = bounded(nq.join(nr, on).select(
-        *on, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_q_blocks"),
-        F.ceil(F.col("_nr") / block_rows).cast("int").alias("_r_blocks")))
+    tasks = _tasks(queries)
+    nq = queries.groupBy(*on).agg(*_strips(queries, "_q", block_rows, strip_bytes)).select(*on, _side_for(tasks).alias("_q_strips"))
+    nr = refs.groupBy(*on).agg(*_strips(refs, "_v", block_rows, strip_bytes)).select(*on, _side_for(tasks).alias("_r_strips"))
+    strips = nq.join(nr, on) if on else nq.crossJoin(nr)        # one row each without keys
+    strips = bounded(strips)
     q = (
-        queries.join(blocks, on)
-        .withColumn("_qb", F.pmod(F.xxhash64(*q_cols), F.col("_q_blocks")).cast("int"))
-        .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_r_blocks") - 1))).drop("_q_blocks", "_r_blocks")
+        (queries.join(strips, on) if on else queries.crossJoin(strips))
+        .withColumn("_qb", F.pmod(F.xxhash64(*q_cols), F.col("_q_strips")).cast("int"))
+        .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_r_strips") - 1))).drop("_q_strips", "_r_strips")
     )
     r = (
-        refs.join(blocks, on)
-        .withColumn("_rb", F.pmod(F.xxhash64(*r_cols), F.col("_r_blocks")).cast("int"))
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_q_blocks") - 1))).drop("_q_blocks", "_r_blocks")
+        (refs.join(strips, on) if on else refs.crossJoin(strips))
+        .withColumn("_rb", F.pmod(F.xxhash64(*r_cols), F.col("_r_strips")).cast("int"))
+        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_q_strips") - 1))).drop("_q_strips", "_r_strips")
     )
     arrow_schema = _arrow(schema)
 
@@ -151,17 +177,23 @@ def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str
 
     q, r = q.toDF(*q.columns), r.toDF(*r.columns)   # queries and references may be one frame
     key = [*on, "_qb", "_rb"]
-    units = _units(blocks, F.col("_q_blocks") * F.col("_r_blocks"))
+    units = _units(strips, F.col("_q_strips") * F.col("_r_strips"))
     found = spread(q, key, units).groupBy(*key).cogroup(spread(r, key, units).groupBy(*key)).applyInArrow(block, schema)
     w = Window.partitionBy(*on, *q_cols).orderBy(F.desc("score"), *r_cols)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _units(blocks: DataFrame, per_cell) -> int:
-    """Number of block pairs, if the block table is at hand; it only sets the number of tasks."""
-    if not is_small(blocks):
+def _fits(refs: DataFrame, rows: int, nbytes: int) -> bool:
+    """Count and bytes are added up before a single vector leaves its task."""
+    n, width = refs.agg(F.count("*"), F.max(F.size("_v"))).first()
+    return n <= rows and n * 8 * (width or 0) <= nbytes
+
+
+def _units(strips: DataFrame, per_cell) -> int:
+    """Number of strip pairs, if the strip table is at hand; it only sets the number of tasks."""
+    if not is_small(strips):
         return 0
-    return int(blocks.agg(F.sum(per_cell.cast("double"))).first()[0] or 0)
+    return int(strips.agg(F.sum(per_cell.cast("double"))).first()[0] or 0)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -172,7 +204,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 def pair_histogram(df: DataFrame, by: list[str], item: list[str] | None = None, label: str = "ind",
                    grp: str = "grp", v: str = "v", decimals: int = PAIR_DECIMALS,
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS, strip_bytes: int = STRIP_BYTES) -> DataFrame:
     """Cosine scores of all item pairs, counted: ``by, bin, pos, neg`` with score = bin / 10**decimals.
 
     pos: same individual, different group. neg: different individuals. Pairs inside one group of
@@ -184,11 +216,11 @@ def pair_histogram(df: DataFrame, by: list[str], item: list[str] | None = None,
     one_thread_per_task(df)
     item = item or ["item", "window"]
     rows = df.select(*by, *item, F.col(label).alias("_l"), F.col(grp).alias("_g"), l2(v).alias("_v"))
-    blocks = bounded(df.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks")))
+    strips = bounded(df.groupBy(*by).agg(*_strips(df, v, block_rows, strip_bytes)).select(*by, _side_for(_tasks(df)).alias("_strips")))
     rows = (
-        rows.join(blocks, by)
-        .withColumn("_b", F.pmod(F.xxhash64(*item), F.col("_blocks")).cast("int"))
-        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        rows.join(strips, by)
+        .withColumn("_b", F.pmod(F.xxhash64(*item), F.col("_strips")).cast("int"))
+        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_strips") - 1)))
         .withColumn("_lo", F.least("_b", "_o")).withColumn("_hi", F.greatest("_b", "_o"))
         .select(*by, "_lo", "_hi", "_b", "_l", "_g", "_v")
     )
@@ -227,11 +259,12 @@ def pair_histogram(df: DataFrame, by: list[str], item: list[str] | None = None,
         b = a if lo == hi else np.flatnonzero(side == hi)
         for start in range(0, len(a), PAIR_CHUNK_ROWS):
             part = a[start:start + PAIR_CHUNK_ROWS]
+            first = 0
             if lo == hi:
                 tally(part, part, np.triu(np.ones((len(part), len(part)), bool), 1))
-                tally(part, a[start + PAIR_CHUNK_ROWS:])
-            else:
-                tally(part, b)
+                first = start + PAIR_CHUNK_ROWS
+            for tile in range(first, len(b), block_rows):
+                tally(part, b[tile:tile + block_rows])
         # One row per slice of bins: far fewer rows to add up than one per bin.
         pos, neg = [np.pad(c, (0, -size % SLICE_BINS)).reshape(-1, SLICE_BINS) for c in (pos, neg)]
         keep = np.flatnonzero((pos + neg).any(axis=1))
@@ -239,7 +272,7 @@ def pair_histogram(df: DataFrame, by: list[str], item: list[str] | None = None,
         return pa.table({**cells, "_slice": keep, "pos": list(pos[keep].astype(float)), "neg": list(neg[keep].astype(float))},
                         schema=arrow_schema)
 
-    rows = spread(rows, [*by, "_lo", "_hi"], _units(blocks, F.col("_blocks") * (F.col("_blocks") + 1) / 2))
+    rows = spread(rows, [*by, "_lo", "_hi"], _units(strips, F.col("_strips") * (F.col("_strips") + 1) / 2))
     counted = rows.groupBy(*by, "_lo", "_hi").applyInArrow(count, schema)
     total = counted.groupBy(*by, "_slice").agg(vector_sum("pos").alias("pos"), vector_sum("neg").alias("neg"))
     bins = total.select(*by, "_slice", F.posexplode(F.arrays_zip("pos", "neg")).alias("_i", "_c"))

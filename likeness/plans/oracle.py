@@ -23,7 +23,8 @@ HALVES = """w AS (
 
 
 def sql(*ctes: str, select: str) -> str:
-    recursive = "RECURSIVE " if any("UNION ALL SELECT go." in " ".join(c.split()) for c in ctes) else ""
+    flat = [" ".join(c.split()) for c in ctes]
+    recursive = "RECURSIVE " if any("UNION ALL SELECT go." in c or "UNION ALL SELECT step." in c for c in flat) else ""
     return f"WITH {recursive}" + ",\n".join(ctes) + "\n" + select
 
 
@@ -88,6 +89,59 @@ def template_predictions(src: str, out: str, p: str = "", label: str = "ind", qu
   WHERE rk = 1)"""
 
 
+def probe_predictions(src: str, out: str, p: str = "", label: str = "ind", rule: str = "all", rate: float = 0.9,
+                      steps: int = 300) -> str:
+    """Multinomial logistic regression by accelerated gradient descent, per cell and fold on the other folds.
+
+    ``src(cell, fold, item, win, label, v)``. Mean cross-entropy plus |w|^2 / (2 n), the intercept free, on vectors
+    standardised on the train rows. All products are whole-list dot products, by row for the scores and by
+    dimension for the gradient. ``rate`` must not exceed 2 over the largest eigenvalue of the train rows' second
+    moments.
+    """
+    keep = f"""JOIN (SELECT t.cell FROM {p}tr t JOIN {p}fit f ON f.cell = t.cell
+    JOIN (SELECT cell, count(DISTINCT {label}) AS k FROM {src} GROUP BY cell) l ON l.cell = f.part
+    GROUP BY t.cell, l.k HAVING count(DISTINCT t.lab) = l.k) k ON k.cell = x.cell""" if rule == "all" else ""
+    return f"""{p}fit AS MATERIALIZED (
+  SELECT DISTINCT cell AS part, fold, cell || '/' || fold AS cell FROM {src}),
+{p}fx AS MATERIALIZED (
+  SELECT f.cell, s.item, s.win, s.{label} AS lab, s.fold <> f.fold AS is_train, s.v FROM {p}fit f JOIN {src} s ON s.cell = f.part),
+{standard(p + "fx", p + "zz", keep="item, win, lab, is_train")},
+{p}z AS MATERIALIZED (SELECT cell, item, win, lab, is_train, list_append(x, 1.0) AS x FROM {p}zz),
+{p}tr AS MATERIALIZED (
+  SELECT cell, lab, x, row_number() OVER (PARTITION BY cell ORDER BY item, win) AS i, count(*) OVER (PARTITION BY cell) AS n FROM {p}z WHERE is_train),
+{p}cols AS MATERIALIZED (
+  SELECT cell, d, n, max(d) OVER (PARTITION BY cell) AS top, col FROM (
+    SELECT cell, d, max(n) AS n, list(xv ORDER BY i) AS col
+    FROM (SELECT cell, i, n, unnest(range(1, len(x) + 1)) AS d, unnest(x) AS xv FROM {p}tr) GROUP BY cell, d)),
+{p}gd AS (
+  SELECT CAST(0 AS BIGINT) AS it, y.cell, y.lab, list_transform(range(c.top), lambda j: CAST(0 AS DOUBLE)) AS w,
+         list_transform(range(c.top), lambda j: CAST(0 AS DOUBLE)) AS b
+  FROM (SELECT DISTINCT cell, lab FROM {p}tr) y JOIN (SELECT DISTINCT cell, top FROM {p}cols) c ON c.cell = y.cell
+  UNION ALL
+  SELECT step.it, step.cell, step.lab, step.w,
+         list_transform(step.w, lambda x, j: x + step.it / (step.it + 3.0) * (x - step.old[j])) AS b
+  FROM (
+    SELECT max(g.it) + 1 AS it, g.cell, g.lab, any_value(g.w) AS old,
+           list(g.b[c.d] - {rate} * (list_dot_product(c.col, r.r) / c.n + CASE WHEN c.d < c.top THEN g.b[c.d] / c.n ELSE 0 END) ORDER BY c.d) AS w
+    FROM (
+      SELECT cell, lab, list(e / total - own ORDER BY i) AS r
+      FROM (
+        SELECT cell, lab, i, own, e, sum(e) OVER (PARTITION BY cell, i) AS total
+        FROM (
+          SELECT cell, lab, i, own, exp(s - max(s) OVER (PARTITION BY cell, i)) AS e
+          FROM (SELECT g.cell, g.lab, t.i, CASE WHEN t.lab = g.lab THEN 1.0 ELSE 0.0 END AS own, list_dot_product(t.x, g.b) AS s
+                FROM {p}gd g JOIN {p}tr t ON t.cell = g.cell WHERE g.it < {steps})))
+      GROUP BY cell, lab) r
+    JOIN {p}gd g ON g.cell = r.cell AND g.lab = r.lab
+    JOIN {p}cols c ON c.cell = g.cell GROUP BY g.cell, g.lab) step),
+{out} AS (
+  SELECT cell, fold, item, win, truth, pred FROM (
+    SELECT f.part AS cell, f.fold, x.item, x.win, x.lab AS truth, g.lab AS pred,
+           row_number() OVER (PARTITION BY x.cell, x.item, x.win ORDER BY list_dot_product(x.x, g.w) DESC, g.lab) AS rk
+    FROM {p}z x JOIN {p}gd g ON g.cell = x.cell AND g.it = {steps} JOIN {p}fit f ON f.cell = x.cell {keep} WHERE NOT x.is_train)
+  WHERE rk = 1)"""
+
+
 def class_scores(src: str, out: str, keys: str) -> str:
     on = " AND ".join(f"c.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
     ck = ", ".join(f"c.{k.strip()}" for k in keys.split(","))
@@ -280,11 +334,13 @@ KNN = """kv AS (SELECT cell, fold, item, win, truth, pred, count(*) AS n FROM nb
 kp AS (SELECT cell, fold, item, win, truth, pred FROM (
   SELECT *, row_number() OVER (PARTITION BY cell, fold, item, win ORDER BY n DESC, pred) AS rk FROM kv) WHERE rk = 1)"""
 ORACLE["nearest_neighbours"] = sql(*NEIGHBOURS, select="SELECT fold, item, ref, round(score, 6) AS score, rank FROM nb")
+ORACLE["nearest_blocked"] = ORACLE["nearest_neighbours"]
 ORACLE["knn_vote"] = sql(*NEIGHBOURS, KNN, select="SELECT fold, item, truth, pred FROM kp")
 
 # Verification ---------------------------------------------------------------------------------
 ORACLE["verification_auc"] = sql(
     EMB, unit("e", "p"), pair_hist("p", "h"), roc("h", "r"), select="SELECT n_pos, n_neg, round(auc, 6) AS auc FROM r")
+ORACLE["verification_blocked"] = ORACLE["verification_auc"]
 ORACLE["verification_eer"] = sql(
     EMB, unit("e", "p0"), "p AS (SELECT kind AS cell, item, win, ind, grp, u FROM p0)", pair_hist("p", "h"), roc("h", "r"),
     select="SELECT cell AS kind, round(eer, 6) AS eer FROM r")
@@ -372,6 +428,129 @@ ORACLE["leave_individuals_out_frozen"] = sql(
 FROM orc o JOIN nr n ON n.cell = o.cell JOIN fs a ON a.cell = o.cell AND a.shot = 1 JOIN fs b ON b.cell = o.cell AND b.shot = 5
 JOIN (SELECT CAST(rep AS VARCHAR) AS cell, string_agg(ind, '|' ORDER BY ind) AS held_out FROM held GROUP BY rep) h ON h.cell = o.cell""")
 
+# Probe ------------------------------------------------------------------------------------------
+PROBE_FOLDS = """SELECT CAST(fold AS BIGINT) AS fold, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
+  round(balanced_accuracy, 6) AS balanced_accuracy FROM sc"""
+ORACLE["probe_by_group"] = sql(EMB, group_folds("e", "f"), probe_predictions("f", "pr"), class_scores("pr", "sc", "fold"), select=PROBE_FOLDS)
+ORACLE["probe_random"] = sql(EMB, dealt_folds("e", "f"), probe_predictions("f", "pr"), class_scores("pr", "sc", "fold"), select=PROBE_FOLDS)
+ORACLE["probe_ceiling"] = sql(
+    EMB, group_folds("e", "f"), probe_predictions("f", "pr", rule="none"), class_scores("pr", "sc", "fold"),
+    select="SELECT 'emb' AS model, round(avg(accuracy), 6) AS probe_ceiling FROM sc")
+ORACLE["probe_models"] = sql(
+    EMB, group_folds("e", "f"),
+    select="""SELECT CAST(t.fold AS BIGINT) AS fold, count(DISTINCT f.ind) AS n_classes, CAST(max(len(f.v)) AS BIGINT) AS dim, count(*) AS n_fit,
+  true AS optimal FROM (SELECT DISTINCT fold FROM f) t JOIN f ON f.fold <> t.fold GROUP BY t.fold""")
+
+# KMeans -----------------------------------------------------------------------------------------
+# Ten restarts: draws by squared distance, then Lloyd's steps until no centroid moves by more than 1e-4.
+KMEANS = (
+    EMB, unit("e", "eu"),
+    "x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item, win) AS i, count(*) OVER () AS n, ind, grp, u FROM eu)",
+    "kk AS (SELECT greatest(count(DISTINCT ind), 2) AS k FROM x)",
+    """dr AS MATERIALIZED (
+  SELECT r.run, j.j, (CAST('0x' || left(md5('42|' || r.run || '|' || j.j), 12) AS BIGINT) + 1) / CAST(281474976710657 AS DOUBLE) AS p
+  FROM (SELECT unnest(range(10)) AS run) r, (SELECT unnest(range(k)) AS j FROM kk) j)""",
+    """sd AS (
+  SELECT d.run, CAST(0 AS BIGINT) AS j, a.i AS pick, x.i, pow(list_distance(x.u, a.u), 2) AS near
+  FROM dr d JOIN x a ON d.j = 0 AND a.i = CAST(floor(d.p * a.n) AS BIGINT) % a.n + 1, x
+  UNION ALL
+  SELECT step.run, step.j, step.pick, x.i, least(step.near, pow(list_distance(x.u, a.u), 2))
+  FROM (
+    SELECT s.run, s.j + 1 AS j, t.pick, s.i, s.near
+    FROM sd s JOIN (
+      SELECT c.run, coalesce(min(c.i) FILTER (WHERE c.cum >= d.p * c.tot), max(c.i)) AS pick
+      FROM (SELECT run, j, i, sum(near) OVER (PARTITION BY run ORDER BY i) AS cum, sum(near) OVER (PARTITION BY run) AS tot FROM sd) c
+      JOIN dr d ON d.run = c.run AND d.j = c.j + 1 GROUP BY c.run) t ON t.run = s.run) step
+  JOIN x ON x.i = step.i JOIN x a ON a.i = step.pick)""",
+    """ll AS (
+  SELECT CAST(0 AS BIGINT) AS it, s.run, s.j AS c, x.u AS m, CAST(1 AS DOUBLE) AS moved
+  FROM (SELECT DISTINCT run, j, pick FROM sd) s JOIN x ON x.i = s.pick
+  UNION ALL
+  SELECT step.it, step.run, step.c, step.m, max(list_distance(step.m, step.old)) OVER (PARTITION BY step.run) AS moved
+  FROM (
+    SELECT l.it + 1 AS it, l.run, l.c, l.m AS old, coalesce(w.m, l.m) AS m
+    FROM ll l LEFT JOIN (
+      SELECT run, c, list(v ORDER BY d) AS m FROM (
+        SELECT run, c, d, avg(v) AS v FROM (
+          SELECT b.run, b.c, unnest(range(64)) AS d, unnest(x.u) AS v FROM (
+            SELECT run, i, c FROM (
+              SELECT l.run, x.i, l.c, row_number() OVER (PARTITION BY l.run, x.i ORDER BY
+                greatest(round(list_dot_product(x.u, x.u) - 2 * list_dot_product(x.u, l.m) + list_dot_product(l.m, l.m), 12), 0), l.c) AS rk
+              FROM ll l, x WHERE l.moved > 1e-4) WHERE rk = 1) b JOIN x ON x.i = b.i)
+        GROUP BY run, c, d) GROUP BY run, c) w ON w.run = l.run AND w.c = l.c
+    WHERE l.moved > 1e-4 AND l.it < 300) step)""",
+    "le AS MATERIALIZED (SELECT l.* FROM ll l JOIN (SELECT run, max(it) AS it FROM ll GROUP BY run) t ON t.run = l.run AND t.it = l.it)",
+    """ka AS MATERIALIZED (SELECT run, i, c, d FROM (
+  SELECT *, row_number() OVER (PARTITION BY run, i ORDER BY d, c) AS rk FROM (
+    SELECT l.run, x.i, l.c, greatest(round(list_dot_product(x.u, x.u) - 2 * list_dot_product(x.u, l.m) + list_dot_product(l.m, l.m), 12), 0) AS d
+    FROM le l, x)) WHERE rk = 1)""",
+    "kb AS (SELECT run FROM ka GROUP BY run ORDER BY round(sum(d), 9), run LIMIT 1)",
+    "km AS MATERIALIZED (SELECT x.ind, x.grp, CAST(ka.c AS VARCHAR) AS cluster FROM ka JOIN kb ON kb.run = ka.run JOIN x ON x.i = ka.i)")
+
+
+def clustering_scores(src: str, truth: str, p: str) -> str:
+    """``{p}o``: one row of ari, nmi, ami of ``src(truth, cluster)``, by the pair-count and lgamma forms."""
+    return f"""{p}ct AS (SELECT {truth} AS a, cluster AS b, count(*) AS n FROM {src} GROUP BY {truth}, cluster),
+{p}ma AS (SELECT a, sum(n) AS na FROM {p}ct GROUP BY a), {p}mb AS (SELECT b, sum(n) AS nb FROM {p}ct GROUP BY b),
+{p}tt AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM {p}ct),
+{p}s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM {p}ct) AS sij, (SELECT sum(na * (na - 1) / 2) FROM {p}ma) AS sa,
+  (SELECT sum(nb * (nb - 1) / 2) FROM {p}mb) AS sb, t * (t - 1) / 2 AS st FROM {p}tt),
+{p}mi AS (SELECT sum(n / t * ln(n * t / (CAST(na AS DOUBLE) * nb))) AS mi FROM {p}ct JOIN {p}ma USING (a) JOIN {p}mb USING (b), {p}tt),
+{p}hh AS (SELECT (SELECT -sum(na / t * ln(na / t)) FROM {p}ma, {p}tt) AS ha, (SELECT -sum(nb / t * ln(nb / t)) FROM {p}mb, {p}tt) AS hb),
+{p}em AS (
+  SELECT sum(k / t * ln(t * k / (na * nb)) * exp(
+      lgamma(na + 1) + lgamma(nb + 1) + lgamma(t - na + 1) + lgamma(t - nb + 1)
+      - lgamma(t + 1) - lgamma(k + 1) - lgamma(na - k + 1) - lgamma(nb - k + 1) - lgamma(t - na - nb + k + 1))) AS emi
+  FROM (SELECT CAST(na AS DOUBLE) AS na, CAST(nb AS DOUBLE) AS nb, t,
+               unnest(range(CAST(greatest(1, na + nb - t) AS BIGINT), CAST(least(na, nb) AS BIGINT) + 1)) AS k FROM {p}ma, {p}mb, {p}tt)),
+{p}o AS (SELECT (sij - sa * sb / st) / ((sa + sb) / 2 - sa * sb / st) AS ari, mi / ((ha + hb) / 2) AS nmi,
+  (mi - emi) / ((ha + hb) / 2 - emi) AS ami FROM {p}s, {p}mi, {p}hh, {p}em)"""
+
+
+ORACLE["kmeans_scores"] = sql(
+    *KMEANS, clustering_scores("km", "ind", "i_"), clustering_scores("km", "grp", "g_"),
+    select="""SELECT 'emb' AS model, round(i.ari, 6) AS cluster_ari, round(i.ami, 6) AS cluster_ami, round(i.nmi, 6) AS cluster_nmi,
+  round(g.ari, 6) AS cluster_ari_recording FROM i_o i, g_o g""")
+
+ORACLE["score_frozen"] = sql(
+    *KMEANS, clustering_scores("km", "ind", "i_"), clustering_scores("km", "grp", "g_"),
+    group_folds("e", "g0"), unit("g0", "gu"), dealt_folds("e", "r0"), unit("r0", "ru"),
+    probe_predictions("g0", "gp", "pg_"), probe_predictions("r0", "rp", "pr_"),
+    "bp AS (SELECT 'g' AS split, truth, pred FROM gp UNION ALL SELECT 'r', truth, pred FROM rp)", class_scores("bp", "bs", "split"),
+    class_scores("gp", "ps", "fold"),
+    template_predictions("gu", "cg", "cg_"), class_scores("cg", "cgs", "fold"),
+    template_predictions("ru", "cr", "cr_"), class_scores("cr", "crs", "fold"),
+    pooled("gu", "q"), template_predictions("gu", "ep", "en_", query="q", query_key="grp"), class_scores("ep", "es", "fold"),
+    unit("e", "vp"), pair_hist("vp", "vh"), roc("vh", "vr"),
+    "ci AS (SELECT ind, count(DISTINCT item) AS n FROM e GROUP BY ind)",
+    """f AS (SELECT max(accuracy) FILTER (WHERE split = 'g') AS ag, max(accuracy) FILTER (WHERE split = 'r') AS ar,
+         max(macro_f1) FILTER (WHERE split = 'g') AS fg, max(macro_f1) FILTER (WHERE split = 'r') AS fr FROM bs)""",
+    select="""SELECT 'emb' AS model, (SELECT count(DISTINCT item) FROM e) AS n_items, (SELECT count(*) FROM e) AS n_windows,
+  (SELECT count(DISTINCT ind) FROM e) AS n_individuals, (SELECT count(DISTINCT grp) FROM e) AS n_groups, (SELECT max(len(v)) FROM e) AS dim,
+  (SELECT round(1.0 / CAST(count(*) AS DOUBLE), 6) FROM ci) AS chance_inverse_n_individuals, (SELECT round(max(n) / sum(n), 6) FROM ci) AS chance_majority_class,
+  round(f.ag, 6) AS accuracy_group, round(f.ar, 6) AS accuracy_random, round(f.fg, 6) AS macro_f1_group, round(f.fr, 6) AS macro_f1_random,
+  round(f.ar - f.ag, 6) AS accuracy_leakage_delta, round(f.fr - f.fg, 6) AS macro_f1_leakage_delta,
+  (SELECT round(avg(accuracy), 6) FROM ps) AS accuracy_group_window_level, (SELECT round(stddev_pop(accuracy), 6) FROM ps) AS accuracy_group_sd,
+  (SELECT round(avg(accuracy), 6) FROM cgs) AS centroid_accuracy_group, (SELECT round(avg(accuracy), 6) FROM crs) AS centroid_accuracy_random,
+  (SELECT round(avg(macro_f1), 6) FROM cgs) AS centroid_macro_f1_group, (SELECT round(avg(accuracy), 6) FROM es) AS encounter_accuracy,
+  (SELECT round(auc, 6) FROM vr) AS verification_auc, (SELECT round(eer, 6) FROM vr) AS verification_eer,
+  round(i.ari, 6) AS cluster_ari, round(i.ami, 6) AS cluster_ami, round(i.nmi, 6) AS cluster_nmi, round(g.ari, 6) AS cluster_ari_recording
+FROM f, i_o i, g_o g""")
+
+# Properties of fits that have no closed form ------------------------------------------------------
+ORACLE["kmeans_assignment"] = """SELECT count(*) AS n, count(DISTINCT label) AS n_clusters, CAST(0 AS BIGINT) AS misassigned FROM embeddings"""
+ORACLE["pca_components"] = sql(
+    EMB, group_folds("e", "f"),
+    """x AS (SELECT t.fold AS fit, unnest(range(len(f.v))) AS d, unnest(f.v) AS x FROM (SELECT DISTINCT fold FROM f) t JOIN f ON f.fold <> t.fold)""",
+    "m AS (SELECT fit, d, count(*) AS n, stddev_pop(x) > 0 AS moves FROM x GROUP BY fit, d)",
+    select="""SELECT CAST(fit AS BIGINT) AS fit, max(n) AS n_train, CAST(8 AS BIGINT) AS kept,
+  round(sum(CAST(moves AS INT)) * max(n) / CAST(max(n) - 1 AS DOUBLE), 6) AS total_variance, true AS falling, true AS uncorrelated, true AS as_stated
+FROM m GROUP BY fit""")
+ORACLE["head_models"] = sql(
+    EMB, group_folds("e", "f"), "l AS (SELECT 'proto' AS loss UNION ALL SELECT 'supcon')",
+    select="""SELECT l.loss, CAST(t.fold AS BIGINT) AS fold, count(*) AS n_fit, CAST(max(len(f.v)) AS BIGINT) AS dim, true AS within_epochs, true AS better_than_start
+FROM l, (SELECT DISTINCT fold FROM f) t JOIN f ON f.fold <> t.fold GROUP BY l.loss, t.fold""")
+
 # Clustering scores -----------------------------------------------------------------------------
 CONT = """ct AS (SELECT lang AS a, source AS b, count(*) AS n FROM documents GROUP BY lang, source),
 ma AS (SELECT a, sum(n) AS na FROM ct GROUP BY a), mb AS (SELECT b, sum(n) AS nb FROM ct GROUP BY b),
@@ -407,6 +586,12 @@ sh AS (SELECT u.ind, u.ng AS n_groups, CAST(u.ni AS BIGINT) AS n_items, avg(a) A
   FROM un u JOIN fa ON fa.cell = u.ind GROUP BY u.ind, u.ng, u.ni)""")
 ORACLE["domain_shift_centroid"] = sql(*SHIFT, select="""SELECT ind, n_groups, n_items, round(accuracy, 6) AS accuracy,
   round(CAST(chance AS DOUBLE), 6) AS chance, round(accuracy / chance, 6) AS lift_over_chance FROM sh""")
+ORACLE["domain_shift_probe"] = sql(
+    *SHIFT[:2], dealt_folds("sr", "s0", "shift_fold", "rec", "k"), probe_predictions("s0", "pr", label="rec", rule="none", rate=0.35),
+    """fa AS (SELECT cell, fold, avg(CAST(truth = pred AS INT)) AS a FROM pr GROUP BY cell, fold)""",
+    select="""SELECT u.ind, u.ng AS n_groups, CAST(u.ni AS BIGINT) AS n_items, round(avg(a), 6) AS accuracy,
+  round(CAST(1.0 / u.ng AS DOUBLE), 6) AS chance, round(avg(a) * u.ng, 6) AS lift_over_chance
+FROM un u JOIN fa ON fa.cell = u.ind GROUP BY u.ind, u.ng, u.ni""")
 ORACLE["domain_shift_mean_lift"] = sql(
     *SHIFT, select="SELECT 'emb' AS model, round(avg(accuracy / chance), 6) AS mean_lift, count(*) AS n_individuals FROM sh")
 ORACLE["within_stratum"] = sql(
@@ -485,6 +670,12 @@ n AS (SELECT cell, count(DISTINCT item) AS n FROM s GROUP BY cell)""",
   round(max(a) FILTER (WHERE cell = 'all'), 6) AS all_accuracy, round(max(sd) FILTER (WHERE cell = 'all'), 6) AS all_sd,
   round(max(a) FILTER (WHERE cell = 'all') - max(a) FILTER (WHERE cell = 'base'), 6) AS gain FROM x JOIN n USING (cell)""")
 
+ORACLE["item_set_gain_probe"] = ORACLE["item_set_gain"].replace(
+    unit("f0", "f") + ",\n" + template_predictions("f", "pr"), probe_predictions("f0", "pr"))
+THIN_ALL = THIN.replace("UNION ALL SELECT 3, 4", "UNION ALL SELECT 3, 4 UNION ALL SELECT 2, 6")
+EMB_8 = EMB.replace("vec_id % 25", "vec_id % 8")
+ORACLE["thinning_all_conditions"] = ORACLE["thinning_experiment"].replace(THIN, THIN_ALL).replace(EMB, EMB_8)
+
 # Frames and vectors ---------------------------------------------------------------------------
 FRAMES = """fr AS (SELECT event_id // 200 AS clip, event_id % 200 AS frame, user_id AS grp, event_type AS coeff, value FROM events)"""
 WAVES = """wv AS (SELECT event_id // 4000 AS clip, list(value ORDER BY event_id) AS s FROM events GROUP BY clip)"""
@@ -501,6 +692,32 @@ ORACLE["frame_delta"] = sql(
     "c AS (SELECT *, least(greatest(frame, h), t - 1 - h) AS centre FROM h)",
     select="""SELECT a.clip, a.frame, round(regr_slope(b.value, CAST(b.frame AS DOUBLE)), 6) + 0.0 AS delta
 FROM c a JOIN c b ON b.clip = a.clip AND b.frame BETWEEN a.centre - a.h AND a.centre + a.h GROUP BY a.clip, a.frame""")
+# Every step by its formula: windows of 400 samples each 160, Fourier sums, triangular mel filters, decibels, cosine sums.
+ORACLE["spectral_coefficients"] = """WITH w AS (
+  SELECT event_id // 4000 AS clip, list(CAST(value AS DOUBLE) ORDER BY event_id) AS x FROM events GROUP BY clip),
+z AS (SELECT list_transform(range(800), lambda i: CAST(0 AS DOUBLE)) AS zeros),
+p AS (SELECT clip, zeros[1:200] || x || zeros[1:greatest(800 - len(x), 0)] || zeros[1:200] AS x FROM w, z),
+hann AS (SELECT list_transform(range(400), lambda i: 0.5 - 0.5 * cos(2 * pi() * i / 400)) AS h),
+fr AS (
+  SELECT clip, t, list_transform(list_zip(x[160 * t + 1:160 * t + 400], h), lambda q: q[1] * q[2]) AS y
+  FROM (SELECT clip, x, unnest(range((len(x) - 400) // 160 + 1)) AS t FROM p), hann),
+tone AS (
+  SELECT k, list_transform(range(400), lambda i: cos(2 * pi() * k * i / 400)) AS c, list_transform(range(400), lambda i: sin(2 * pi() * k * i / 400)) AS s
+  FROM (SELECT unnest(range(201)) AS k)),
+pw AS (
+  SELECT clip, t, list(pow(list_dot_product(y, c), 2) + pow(list_dot_product(y, s), 2) ORDER BY k) AS power FROM fr, tone GROUP BY clip, t),
+edge AS (
+  SELECT j, CASE WHEN mel < 15 THEN mel * 200 / 3 ELSE 1000 * exp((mel - 15) * ln(6.4) / 27) END AS hz
+  FROM (SELECT j, 500 * 3 / 200.0 + j * ((15 + ln(8000 / 1000.0) * 27 / ln(6.4)) - 500 * 3 / 200.0) / 41 AS mel FROM (SELECT unnest(range(42)) AS j))),
+filt AS (
+  SELECT a.j AS m, list_transform(range(201), lambda k: greatest(0.0, least((k * 40.0 - a.hz) / (b.hz - a.hz), (c.hz - k * 40.0) / (c.hz - b.hz))) * 2.0 / (c.hz - a.hz)) AS f
+  FROM edge a JOIN edge b ON b.j = a.j + 1 JOIN edge c ON c.j = a.j + 2),
+db AS (SELECT clip, t, m, 10 * log10(greatest(list_dot_product(power, f), 1e-10)) AS d FROM pw, filt),
+fl AS (SELECT clip, t, list(greatest(d, top - 80.0) ORDER BY m) AS d FROM (SELECT *, max(d) OVER (PARTITION BY clip) AS top FROM db) GROUP BY clip, t),
+basis AS (
+  SELECT c, list_transform(range(40), lambda n: cos(pi() * c * (2 * n + 1) / 80) * sqrt(2.0 / 40) / CASE WHEN c = 0 THEN sqrt(2.0) ELSE 1 END) AS b
+  FROM (SELECT unnest(range(20)) AS c))
+SELECT clip, CAST(t AS BIGINT) AS frame, CAST(c AS BIGINT) AS coeff, round(list_dot_product(d, b), 6) + 0.0 AS value FROM fl, basis"""
 ORACLE["pad_series"] = sql(
     WAVES, "p AS (SELECT clip, s || list_transform(range(greatest(0, 4500 - len(s))), lambda i: 0.0) AS s FROM wv)",
     select="SELECT clip, len(s) AS n, s[1] AS head, s[len(s)] AS tail, round(list_sum(s), 4) AS total FROM p")
@@ -604,6 +821,9 @@ for _t, _c in {"documents": ["doc_id", "text", "lang", "source", "n_chars"], "la
 ORACLE["manifest"] = "\nUNION ALL ".join(_parts)
 ORACLE["package_digest"] = """SELECT env, md5(string_agg(line, chr(10) ORDER BY line)) AS env_hash FROM (
   SELECT DISTINCT p_brand AS env, lower(regexp_replace(p_name, '[-_.]+', '-', 'g')) || '==' || p_size AS line FROM part) GROUP BY env"""
+ORACLE["merkle_digest"] = """WITH l AS (SELECT DISTINCT l_returnflag, md5(l_orderkey || '-' || l_linenumber) AS h FROM lineitem),
+s AS (SELECT l_returnflag, left(h, 3) AS slice, md5(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM l GROUP BY l_returnflag, slice)
+SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS n_lines, md5(string_agg(slice || '=' || d, chr(10) ORDER BY slice)) AS digest FROM s GROUP BY l_returnflag"""
 ORACLE["lineage_gate"] = sql(
     EMB, "s AS (SELECT stratum, CASE WHEN ind IN ('3', '7') THEN 'env-b' ELSE 'env-a' END AS env FROM e)",
     select="""SELECT stratum, count(*) AS n_sets, count(DISTINCT env) AS n_lineages, CAST(0 AS BIGINT) AS n_unstamped,

@@ -20,11 +20,12 @@ from likeness.operators import classify as C
 from likeness.operators import diagnostics as D
 from likeness.operators import diff, features, lineage, quality, splits
 from likeness.operators import metrics as M
-from likeness.operators.cluster import clustering
-from likeness.operators.head import head_vectors
+from likeness.operators.cluster import clustering, kmeans_assign
+from likeness.operators.head import head_models as head_fits
 from likeness.operators.inference import encode
+from likeness.operators.probe import probe_models as probe_fits
 from likeness.operators.probe import probe_predictions
-from likeness.operators.reduce import principal_components
+from likeness.operators.reduce import component_models, principal_components
 from likeness.operators.similarity import nearest
 from likeness.operators.templates import fold_scalers, item_means
 from likeness.plans import frozen, learned
@@ -240,9 +241,16 @@ def _fold_refs(f: DataFrame) -> DataFrame:
         *BY, F.col("_f").alias("fold"), F.col("item").alias("ref"), F.col("ind").alias("pred"), F.col("v").alias("t"))
 
 
-def _neighbours(f: DataFrame) -> DataFrame:
+def _neighbours(f: DataFrame, **options) -> DataFrame:
     return nearest(f.withColumn("truth", F.col("ind")), _fold_refs(f), [*BY, "fold"], ["item", "truth"],
-                   ["ref", "pred"], k=S.KNN_K)
+                   ["ref", "pred"], k=S.KNN_K, **options)
+
+
+@query
+def nearest_blocked(spark, sf):
+    """The same neighbours with both sides shuffled as strips."""
+    f = splits.group_folds(identity(spark, sf), BY).withColumn("v", V.l2("v"))
+    return rounded(_neighbours(f, broadcast_rows=0, block_rows=64).select("fold", "item", "ref", "score", "rank"))
 
 
 @query
@@ -258,6 +266,12 @@ def verification_auc(spark, sf):
     return rounded(C.verification(identity(spark, sf), BY).select("n_pos", "n_neg", "auc"))
 
 
+@query
+def verification_blocked(spark, sf):
+    """The same pairs over many strips."""
+    return rounded(C.verification(identity(spark, sf), BY, block_rows=64).select("n_pos", "n_neg", "auc"))
+
+
 @query
 def verification_eer(spark, sf):
     return rounded(C.verification(identity(spark, sf), ["kind"]).select("kind", "eer"))
@@ -317,6 +331,13 @@ def probe_random(spark, sf):
     return rounded(C.fold_scores(probe_predictions(f, BY), BY).drop("model"))
 
 
+@query
+def probe_models(spark, sf):
+    """The model table's shape, and whether each fit ended where the loss is flat."""
+    models = probe_fits(frozen.with_split(identity(spark, sf), BY, "group"), BY)
+    return rounded(models.select("fold", F.size("classes").alias("n_classes"), "dim", "n_fit", (F.col("gradient") < 1e-5).alias("optimal")))
+
+
 @query
 def probe_ceiling(spark, sf):
     return rounded(learned.probe_ceiling(identity(spark, sf), BY))
@@ -327,6 +348,19 @@ def kmeans_scores(spark, sf):
     return rounded(clustering(identity(spark, sf), BY))
 
 
+@query
+def kmeans_assignment(spark, sf):
+    """Rows that another cluster's mean is clearly nearer to: none once Lloyd's steps have ended."""
+    rows = kmeans_assign(identity(spark, sf), BY).select("item", "cluster", V.l2("v").alias("u"))
+    means = rows.groupBy("cluster").agg(V.vector_mean("u").alias("m"))
+    every = F.broadcast(means.agg(F.collect_list(F.struct("cluster", "m")).alias("_m")))     # one row of k means
+    far = lambda m: F.sqrt(F.aggregate(F.zip_with("u", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    judged = rows.crossJoin(every).select("cluster", F.transform("_m", lambda c: F.struct(c["cluster"].alias("c"), far(c["m"]).alias("d"))).alias("_d"))
+    own = F.filter("_d", lambda x: x["c"] == F.col("cluster"))[0]["d"]
+    least = F.array_min(F.transform("_d", lambda x: x["d"]))
+    return judged.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("n_clusters"), F.count_if(own > least + 1e-3).alias("misassigned"))
+
+
 @query
 def score_frozen(spark, sf):
     row, _ = frozen.score(identity(spark, sf), BY)
@@ -339,6 +373,20 @@ def _head(spark, sf, loss):
     return rounded(acc)
 
 
+@query
+def head_models(spark, sf):
+    """The model tables of both losses, and whether training ended below the loss of its first step."""
+    out = None
+    for loss in S.LOSSES:
+        rows = learned.closed_set_rows(identity(spark, sf), BY)
+        start = head_fits(rows, [*BY, "fold"], loss, max_epochs=1).select("fold", F.col("loss").alias("_start"))
+        one = head_fits(rows, [*BY, "fold"], loss).join(start, "fold").select(
+            F.lit(loss).alias("loss"), "fold", "n_fit", "dim", (F.col("epochs") <= S.MAX_EPOCHS).alias("within_epochs"),
+            (F.col("loss") <= F.col("_start")).alias("better_than_start"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @query
 def head_proto(spark, sf):
     return _head(spark, sf, "proto")
@@ -349,16 +397,60 @@ def head_supcon(spark, sf):
     return _head(spark, sf, "supcon")
 
 
-@query
-def pca_projection(spark, sf):
+def _fold_rows(spark, sf):
     folds = splits.group_folds(identity(spark, sf), BY)
-    stats = F.broadcast(fold_scalers(folds, BY).withColumnRenamed("fold", "fit"))
-    rows = folds.join(stats, BY).select(
+    return folds.join(fold_scalers(folds, BY).withColumnRenamed("fold", "fit"), BY).select(
         "fit", (F.col("fold") != F.col("fit")).alias("is_train"), "item", V.standardise("v", "mean", "sd").alias("x"))
-    p = principal_components(rows, ["fit"], 8)
+
+
+@query
+def closed_set_heads(spark, sf):
+    """Evaluation A of both heads, clusters included."""
+    out = None
+    for loss in S.LOSSES:
+        one = learned.closed_set(identity(spark, sf), BY, loss, n_init=2)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query
+def leave_individuals_out_heads(spark, sf):
+    """Evaluation B of both heads, clusters included: one row per repeat."""
+    out = None
+    for loss in S.LOSSES:
+        one = learned.leave_individuals_out(identity(spark, sf), BY, loss, n_init=2)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query
+def pca_projection(spark, sf):
+    p = principal_components(_fold_rows(spark, sf), ["fit"], 8)
     return rounded(p.groupBy("fit").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim")))
 
 
+@query
+def pca_components(spark, sf):
+    """Variances of the projected train rows: their total over all components, order, correlations, agreement with the table."""
+    rows = _fold_rows(spark, sf)
+    models = component_models(rows, ["fit"], 8)
+    whole = component_models(rows, ["fit"], 1 << 20).select("fit", F.aggregate("variances", F.lit(0.0), lambda s, x: s + x).alias("total_variance"))
+    p = principal_components(rows, ["fit"], 8).where("is_train")
+    pairs = F.explode(F.flatten(F.transform("x", lambda a, i: F.transform("x", lambda b, j: F.struct(
+        i.alias("i"), j.alias("j"), (a * b).alias("ab"))))))
+    second = p.select("fit", pairs.alias("_p")).groupBy("fit", "_p.i", "_p.j").agg((F.sum("_p.ab") / (F.count("*") - 1)).alias("c"), F.count("*").alias("n"))
+    stated = models.select("fit", F.posexplode("variances").alias("i", "stated"))
+    seen = second.join(stated, ["fit", "i"]).groupBy("fit").agg(
+        F.max("n").alias("n_train"), F.countDistinct("i").alias("kept"),
+        F.max(F.when(F.col("i") != F.col("j"), F.abs("c")).otherwise(0.0)).alias("_off"),
+        F.max(F.when(F.col("i") == F.col("j"), F.abs(F.col("c") - F.col("stated"))).otherwise(0.0)).alias("_miss"),
+        F.array_sort(F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", "c")))).alias("_d"))
+    falling = F.forall(F.sequence(F.lit(1), F.size("_d") - 1), lambda i: F.get("_d", i - 1)["c"] >= F.get("_d", i)["c"] - 1e-9)
+    return rounded(seen.join(whole, "fit").select(
+        "fit", "n_train", "kept", "total_variance", falling.alias("falling"), (F.col("_off") < 1e-6).alias("uncorrelated"),
+        (F.col("_miss") < 1e-6).alias("as_stated")))
+
+
 @query
 def batch_encode(spark, sf):
     def make():
@@ -446,6 +538,18 @@ def item_set_gain(spark, sf):
     return rounded(D.item_set_gain(identity(spark, sf), BY).drop("model"))
 
 
+@query
+def item_set_gain_probe(spark, sf):
+    return rounded(D.item_set_gain(identity(spark, sf), BY, classifier="probe").drop("model"))
+
+
+@query
+def thinning_all_conditions(spark, sf):
+    """All four conditions and twelve draws, on eight source groups per individual."""
+    coarse = identity(spark, sf).withColumn("grp", (F.col("item") % 8).cast("string"))
+    return rounded(D.leakage_experiment(coarse, BY).drop("model"))
+
+
 # Frames and vectors ---------------------------------------------------------------------------
 @query
 def group_normalise(spark, sf):
@@ -489,6 +593,11 @@ def spectral_vectors(spark, sf):
     return out.select("clip", "model", F.size("v").alias("dim"), V.is_finite("v").alias("finite"))
 
 
+@query
+def spectral_coefficients(spark, sf):
+    return rounded(features.spectral_frames(waves(spark, sf), ["clip"], 20))
+
+
 @query
 def item_mean_vectors(spark, sf):
     m = item_means(windows(spark, sf), [*BY, "item"])
@@ -657,6 +766,14 @@ def package_digest(spark, sf):
     return lineage.package_digest(p, ["env"])
 
 
+@query
+def merkle_digest(spark, sf):
+    """Digest of every distinct order line reference per return flag."""
+    lines = table(spark, sf, "lineitem")
+    line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return rounded(lineage.merkle_digest(lines, line, ["l_returnflag"]))
+
+
 @query
 def lineage_gate(spark, sf):
     env = F.when(F.col("ind").isin("3", "7"), "env-b").otherwise("env-a")

@@ -17,9 +17,10 @@ from likeness.operators import lineage, quality
 from likeness.operators.templates import item_means
 from likeness.plans import frozen, learned
 from likeness.session import bounded, durable
-from likeness.sources.sinks import append_rows
+from likeness.sources import versioned
+from likeness.sources.sinks import append_rows, replace_table
 from likeness.sources.tables import path_exists
-from likeness.streaming.incremental import pending, replace_parts
+from likeness.streaming.incremental import pending
 
 KEYS = ["dataset", "subset", "item_set", "model"]
 
@@ -32,6 +33,10 @@ class Run:
     env_hash: str
     config_hash: str
 
+    @property
+    def lineage(self) -> tuple[str, str]:
+        return self.env_hash, self.config_hash
+
     def stamp(self, df: DataFrame) -> DataFrame:
         return lineage.stamp(df, self.run_id, self.env_hash, self.config_hash)
 
@@ -89,31 +94,38 @@ def score(df: DataFrame, path: str, run: Run, predictions: str | None = None, n_
     spark = df.sparkSession
     done = spark.read.parquet(path) if path_exists(spark, path) else None
     if done is not None:
-        lineage.check_table(done, run.env_hash, run.config_hash)
+        lineage.check_table(done, *run.lineage)
     todo = bounded(pending(df, done, KEYS))
     rows = df.join(todo, KEYS, "left_semi")
     if not rows.limit(1).count():
         return None
     result, preds = frozen.score(rows, KEYS, n_init)
-    result = run.stamp(durable(result))
-    append_rows(result, path, expected=(run.env_hash, run.config_hash))
     if predictions:
-        append_rows(run.stamp(preds), predictions)
+        # Predictions go first and are resumed by their own keys: a run that dies between the two writes leaves
+        # cells without a result row, and the next run scores them without writing their predictions twice.
+        old = spark.read.parquet(predictions) if path_exists(spark, predictions) else None
+        fresh = preds if old is None else preds.join(bounded(pending(preds, old, KEYS)), KEYS, "left_semi")
+        append_rows(run.stamp(fresh), predictions, expected=run.lineage)
+    result = run.stamp(durable(result))
+    append_rows(result, path, expected=run.lineage)
     return result
 
 
 def learn(df: DataFrame, path: str, run: Run, methods: list[str] | None = None, **options) -> None:
-    """Both evaluations of every method; a model's part is replaced as a whole."""
+    """Both evaluations of every method; each table publishes a version that replaces the parts of the given models.
+
+    Read them with ``versioned.read``.
+    """
     by = ["dataset", "subset", "model"]
     for method in methods or [learned.FROZEN, *S.LOSSES]:
         closed = learned.closed_set(df, by, method, with_probe=method == learned.FROZEN, **options)
-        replace_parts(run.stamp(closed), f"{path}/closed_set/method={method}")
+        versioned.commit(run.stamp(closed), f"{path}/closed_set/{method}", run.lineage, "model")
         repeats = durable(learned.leave_individuals_out(df, by, method, **options))
-        replace_parts(run.stamp(repeats), f"{path}/repeats/method={method}")
+        versioned.commit(run.stamp(repeats), f"{path}/repeats/{method}", run.lineage, "model")
         cols = ["eer", "ari", "ami", "open_set_auroc", *[f"few_shot_{n}" for n in S.FEW_SHOT_SHOTS]]
         cols = [c for c in cols if c in repeats.columns]
         summary = learned.summarise_repeats(repeats, by, cols).drop("method")
-        replace_parts(run.stamp(summary), f"{path}/leave_individuals_out/method={method}")
+        versioned.commit(run.stamp(summary), f"{path}/leave_individuals_out/{method}", run.lineage, "model")
 
 
 def diagnose(df: DataFrame, path: str, run: Run, classifier: str = "probe") -> None:
@@ -128,11 +140,14 @@ def diagnose(df: DataFrame, path: str, run: Run, classifier: str = "probe") -> N
         "split_structure": D.split_structure(df.select("dataset", "item", "ind", "grp").distinct(), ["dataset"]),
     }
     for name, t in tables.items():
-        run.stamp(t).write.mode("overwrite").parquet(f"{path}/{name}")
+        replace_table(run.stamp(t), f"{path}/{name}", expected=run.lineage)
 
 
-def finish(spark: SparkSession, tables: dict[str, str], path: str) -> DataFrame:
-    """Write and return the manifest of result tables."""
-    result = durable(lineage.manifest({name: spark.read.parquet(p) for name, p in tables.items()}))
+def finish(spark: SparkSession, tables: dict[str, str], path: str, run: Run | None = None) -> DataFrame:
+    """Write and return the manifest of result tables; with ``run``, a table of another lineage stops it."""
+    found = {name: spark.read.parquet(p) for name, p in tables.items()}
+    for df in found.values() if run else []:
+        lineage.check_table(df, *run.lineage)
+    result = durable(lineage.manifest(found))
     result.write.mode("overwrite").parquet(path)
     return result

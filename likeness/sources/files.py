@@ -6,6 +6,7 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +43,35 @@ def model_dirs(spark: SparkSession, roots: list[str]) -> DataFrame:
         F.max_by("dir", F.struct("_o", "dir")).alias("dir"))
 
 
+DECODED_ROWS = 4096
 VECTOR_SCHEMA = "path string, window int, v array<float>, error string"
 
 
 def _decode(batches):
-    for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+    """One batch of rows per file, and several for a long one: no list grows with the number of files."""
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1)):
+            path = path.as_py()
             try:
-                m = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False))
+                m = np.atleast_2d(np.load(io.BytesIO(content.as_buffer()), allow_pickle=False))
+                if m.ndim != 2:
+                    raise ValueError(f"expected a matrix, found {m.ndim} dimensions")
+                m = m.astype("float32")
             except Exception as e:  # an unreadable file is reported, not fatal
-                out.append((path, None, None, f"{type(e).__name__}: {e}"))
+                error = str(e) if str(e).startswith("expected a matrix") else f"{type(e).__name__}: {e}"
+                yield _vector_batch([path], [None], pa.nulls(1, pa.list_(pa.float32())), [error])
                 continue
-            if m.ndim != 2:
-                out.append((path, None, None, f"expected a matrix, found {m.ndim} dimensions"))
-                continue
-            out += [(path, i, row.astype("float32"), None) for i, row in enumerate(m)]
-        yield pd.DataFrame(out, columns=["path", "window", "v", "error"]).astype({"window": "Int32"})
+            for start in range(0, len(m), DECODED_ROWS):
+                part = m[start:start + DECODED_ROWS]
+                ends = np.arange(len(part) + 1, dtype="int32") * m.shape[1]
+                v = pa.ListArray.from_arrays(pa.array(ends), pa.array(part.ravel()))
+                yield _vector_batch([path] * len(part), range(start, start + len(part)), v, [None] * len(part))
+
+
+def _vector_batch(path, window, v, error):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(path, pa.string()), pa.array(window, pa.int32()), v, pa.array(error, pa.string())],
+        names=["path", "window", "v", "error"])
 
 
 def read_vectors(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -71,7 +84,7 @@ def read_vectors(spark: SparkSession, roots: list[str]) -> DataFrame:
     files = scan(spark, roots, "*.npy").select("path", "content").withColumn("model", model_from_dir("path"))
     owner = F.regexp_extract("path", r"^(.*?/[^/]*___[^/]*-[^-/]+)/", 1)
     files = files.withColumn("dir", owner).join(dirs, ["model", "dir"], "left_semi")
-    rows = files.select("path", "content").mapInPandas(_decode, VECTOR_SCHEMA)
+    rows = files.select("path", "content").mapInArrow(_decode, VECTOR_SCHEMA)
     rows = rows.withColumn("model", model_from_dir("path"))
     return rows.select(
         "model", item_from_file("path", F.col("model")).alias("item"), "window", "v",
@@ -194,24 +207,35 @@ def audio_status(files: DataFrame) -> DataFrame:
 
 
 def read_audio(files: DataFrame) -> DataFrame:
-    """``path, rate, channels ARRAY<ARRAY<DOUBLE>>`` of readable files."""
+    """``path, rate, channels ARRAY<ARRAY<DOUBLE>>, error``; a file that cannot be read has only its error."""
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame(
-                [(p, _header(c)[2], list(_samples(c))) for p, c in zip(pdf["path"], pdf["content"])],
-                columns=["path", "rate", "channels"])
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    row = (path, _header(content)[2], list(_samples(content)), None)
+                except Exception as e:
+                    row = (path, None, None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["path", "rate", "channels", "error"]).astype({"rate": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, rate int, channels array<array<double>>")
+    return files.select("path", "content").mapInPandas(
+        run, "path string, rate int, channels array<array<double>>, error string")
 
 
 def pad_audio(files: DataFrame, min_seconds: float) -> DataFrame:
-    """``path, content, added``: format and sample width are kept; long files are byte-identical."""
+    """``path, content, added, error``: format and sample width are kept; long files are byte-identical.
+
+    A file that cannot be read comes back without content and with its error.
+    """
     def run(batches):
         for pdf in batches:
-            done = [_pad(c, min_seconds) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "content": [c for c, _ in done], "added": [n for _, n in done]})
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    row = (path, *_pad(content, min_seconds), None)
+                except Exception as e:
+                    row = (path, None, None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["path", "content", "added", "error"]).astype({"added": "Int64"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, content binary, added long")
+    return files.select("path", "content").mapInPandas(run, "path string, content binary, added long, error string")
 
 
 def pad_outcome(items: DataFrame, sources: DataFrame, present: DataFrame, padded: DataFrame) -> DataFrame:

@@ -16,6 +16,14 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet", expected: tuple[
     df.write.mode("append").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
 
 
+def replace_table(df: DataFrame, path: str, expected: tuple[str, str]) -> None:
+    """Overwrite a table of the same lineage; rows of another one, on either side, stop it."""
+    check_table(df, *expected)
+    if path_exists(df.sparkSession, path):
+        check_table(df.sparkSession.read.parquet(path), *expected)
+    df.write.mode("overwrite").parquet(path)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """A result table as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)

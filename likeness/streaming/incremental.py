@@ -19,7 +19,8 @@ def pending(work: DataFrame, done: DataFrame | None, keys: list[str]) -> DataFra
 def replace_parts(df: DataFrame, path: str, key: str = "model", emptied: list[str] | None = None) -> None:
     """Replace the part of every key in ``df``; other parts stay. Keys in ``emptied`` lose theirs.
 
-    The write is committed as a whole, so a reader never sees half a part.
+    Parts become visible one after the other and emptied ones go last; ``sources.versioned.commit`` publishes all
+    of them at once.
     """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
     spark = df.sparkSession

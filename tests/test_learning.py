@@ -4,22 +4,45 @@ from pyspark.sql import functions as F
 
 from likeness.operators import head
 from likeness.operators.cluster import clustering, kmeans_assign
-from likeness.operators.probe import probe_predictions
+from likeness.operators.models import fit_sample
+from likeness.operators.probe import probe_models, probe_predictions
 from likeness.operators.splits import group_folds
 from likeness.plans import frozen, learned
 
 BY = ["model"]
 
 
-def test_probe_in_task_and_distributed_agree(people):
+def test_probe_scores_every_test_row_from_the_table(people):
     f = group_folds(people, BY).persist()
-    small = probe_predictions(f, BY)
-    large = probe_predictions(f, BY, task_rows=10)
-    a = {(r.fold, r.item): r.pred for r in small.collect()}
-    b = {(r.fold, r.item): r.pred for r in large.collect()}
-    assert a == b
-    assert np.mean([k is not None and a[k] == t for k, t in
-                    ((((r.fold, r.item)), r.truth) for r in small.collect())]) > 0.8
+    whole = {(r.fold, r.item): r for r in probe_predictions(f, BY).collect()}
+    assert len(whole) == f.count()
+    assert np.mean([r.truth == r.pred for r in whole.values()]) > 0.8
+    # The table applied by hand gives the same labels.
+    models = {r.fold: r for r in probe_models(f, BY).collect()}
+    for r in f.collect():
+        m = models[r.fold]
+        w = np.reshape(m.w, (m.dim + 1, -1))
+        assert whole[r.fold, r.item].pred == m.classes[int((np.array(r.v) @ w[:-1] + w[-1]).argmax())]
+    assert all(m.n_fit == m.n_train == f.where(f"fold <> {k}").count() and m.gradient < 1e-5 for k, m in models.items())
+
+
+def test_a_bounded_fit_still_scores_all_rows(people):
+    f = group_folds(people, BY).persist()
+    models = probe_models(f, BY, fit_rows=60).collect()
+    assert all(m.n_fit <= 110 for m in models)
+    with_bound = probe_predictions(f, BY, fit_rows=60)
+    assert with_bound.count() == f.count()
+
+
+def test_fit_sample_is_bounded_and_keeps_rare_classes(spark):
+    rows = spark.range(40_000).select(F.lit("m").alias("model"), F.col("id").alias("item"),
+                                      F.when(F.col("id") < 30, "rare").otherwise((F.col("id") % 3).cast("string")).alias("ind"))
+    kept = fit_sample(rows, BY, "ind", ["item"], "test", 3000).groupBy("ind").agg(
+        F.count("*").alias("n"), F.sum("_weight").alias("w")).collect()
+    n = {r.ind: r.n for r in kept}
+    assert n["rare"] == 30 and sum(n.values()) < 3300
+    assert sum(r.w for r in kept) == pytest.approx(40_000, rel=0.05)
+    assert fit_sample(rows, BY, "ind", ["item"], "test", 40_000).where("_weight = 1").count() == 40_000
 
 
 def test_softmax_gradient_is_zero_at_the_optimum():
@@ -55,16 +78,27 @@ def test_head_gradients_match_finite_differences(loss):
         assert (f(w + d)[0] - f(w - d)[0]) / 2e-6 == pytest.approx(g[i, j], rel=1e-4, abs=1e-7)
 
 
+def test_supcon_loss_does_not_depend_on_the_chunk():
+    rng = np.random.default_rng(2)
+    x, y, w = rng.normal(size=(37, 6)), rng.integers(0, 5, 37), rng.normal(size=(7, 4))
+    one, many = head._supcon_loss(x, y, w, True), head._supcon_loss(x, y, w, True, chunk=5)
+    assert one[0] == pytest.approx(many[0]) and np.allclose(one[1], many[1])
+
+
 @pytest.mark.parametrize("loss", ["proto", "supcon"])
-def test_distributed_training_equals_in_task(people, loss, monkeypatch):
+def test_heads_are_rows_and_project_all_rows(people, loss):
     rows = people.withColumn("is_train", F.col("item") % 5 != 0).withColumn("x", F.col("v"))
-    a = head.head_vectors(rows, BY, loss, max_epochs=3)
-    monkeypatch.setattr(head._DistributedSupcon.__init__, "__defaults__", (40,))
-    b = head.head_vectors(rows, BY, loss, max_epochs=3, task_rows=10)
-    za = {r.item: np.array(r.z) for r in a.collect()}
-    zb = {r.item: np.array(r.z) for r in b.collect()}
-    assert za.keys() == zb.keys()
-    assert max(np.abs(za[k] - zb[k]).max() for k in za) < 1e-6
+    models = head.head_models(rows, BY, loss, max_epochs=3)
+    m = models.first()
+    w = np.reshape(m.w, (m.dim + 1, -1))
+    assert (m.epochs, m.n_fit) == (3, rows.where("is_train").count())
+    got = head.head_vectors(rows, BY, loss, max_epochs=3).collect()
+    assert len(got) == rows.count()
+    x = {r.item: np.array(r.x) for r in rows.collect()}
+    for r in got:
+        z = x[r.item] @ w[:-1] + w[-1]
+        assert np.allclose(r.z, z / np.linalg.norm(z))
+    assert head.head_models(rows, BY, loss, max_epochs=1, fit_rows=40).first().n_fit < 100
 
 
 def test_head_separates(people):

@@ -189,3 +189,25 @@ def test_wide_vectors_refuse_other_lengths(spark):
     assert [tuple(r) for r in sinks.wide_vectors(df, 2).orderBy("item").collect()] == [("a", 1.0, 2.0), ("b", None, None)]
     with pytest.raises(Exception, match="expected 3 components, found 2"):
         sinks.wide_vectors(df, 3).collect()
+
+
+def test_unreadable_audio_is_reported_not_fatal(spark, tmp_path):
+    put(tmp_path, "ok.wav", wav(np.zeros(10)))
+    put(tmp_path, "bad.wav", b"RIFFxxxxnope")
+    scan = files.scan(spark, str(tmp_path), "*.wav")
+    read = {r.path.split("/")[-1]: r for r in files.read_audio(scan).collect()}
+    assert read["ok.wav"].error is None and read["bad.wav"].channels is None and "ValueError" in read["bad.wav"].error
+    padded = {r.path.split("/")[-1]: r for r in files.pad_audio(scan, 1.0).collect()}
+    assert padded["ok.wav"].added > 0 and padded["bad.wav"].content is None and "ValueError" in padded["bad.wav"].error
+
+
+def test_long_vector_files_come_in_several_batches(spark, tmp_path, monkeypatch):
+    import io
+
+    monkeypatch.setattr(files, "DECODED_ROWS", 3)
+    m, out = np.arange(20, dtype="float32").reshape(10, 2), io.BytesIO()
+    np.save(out, m)
+    rows = list(files._decode([__import__("pyarrow").RecordBatch.from_pydict({"path": ["a", "b"], "content": [out.getvalue(), b"no"]})]))
+    assert [b.num_rows for b in rows] == [3, 3, 3, 1, 1]
+    assert np.array_equal(np.array([v for b in rows[:4] for v in b.column(2).to_pylist()]), m)
+    assert rows[-1].column(3)[0].as_py() is not None
