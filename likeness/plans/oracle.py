@@ -90,7 +90,7 @@ def template_predictions(src: str, out: str, p: str = "", label: str = "ind", qu
 
 
 def probe_predictions(src: str, out: str, p: str = "", label: str = "ind", rule: str = "all", rate: float = 0.9,
-                      steps: int = 300) -> str:
+                      steps: int = 400) -> str:
     """Multinomial logistic regression by accelerated gradient descent, per cell and fold on the other folds.
 
     ``src(cell, fold, item, win, label, v)``. Mean cross-entropy plus |w|^2 / (2 n), the intercept free, on vectors
@@ -113,32 +113,42 @@ def probe_predictions(src: str, out: str, p: str = "", label: str = "ind", rule:
   SELECT cell, d, n, max(d) OVER (PARTITION BY cell) AS top, col FROM (
     SELECT cell, d, max(n) AS n, list(xv ORDER BY i) AS col
     FROM (SELECT cell, i, n, unnest(range(1, len(x) + 1)) AS d, unnest(x) AS xv FROM {p}tr) GROUP BY cell, d)),
+{p}y AS MATERIALIZED (
+  SELECT t.cell, t.i, t.n, t.x, list_position(l.labs, t.lab) AS own, len(l.labs) AS k
+  FROM {p}tr t JOIN (SELECT cell, list_sort(list(DISTINCT lab)) AS labs FROM {p}tr GROUP BY cell) l ON l.cell = t.cell),
 {p}gd AS (
-  SELECT CAST(0 AS BIGINT) AS it, y.cell, y.lab, list_transform(range(c.top), lambda j: CAST(0 AS DOUBLE)) AS w,
-         list_transform(range(c.top), lambda j: CAST(0 AS DOUBLE)) AS b
-  FROM (SELECT DISTINCT cell, lab FROM {p}tr) y JOIN (SELECT DISTINCT cell, top FROM {p}cols) c ON c.cell = y.cell
+  SELECT CAST(0 AS BIGINT) AS it, cell, list_transform(range(max(k)), lambda c: list_transform(range(max(len(x))), lambda j: CAST(0 AS DOUBLE))) AS w,
+         list_transform(range(max(k)), lambda c: list_transform(range(max(len(x))), lambda j: CAST(0 AS DOUBLE))) AS b
+  FROM {p}y GROUP BY cell
   UNION ALL
-  SELECT step.it, step.cell, step.lab, step.w,
-         list_transform(step.w, lambda x, j: x + step.it / (step.it + 3.0) * (x - step.old[j])) AS b
+  SELECT step.it, step.cell, step.w,
+         list_transform(step.w, lambda v, c: list_transform(v, lambda x, j: x + step.it / (step.it + 3.0) * (x - step.old[c][j]))) AS b
   FROM (
-    SELECT max(g.it) + 1 AS it, g.cell, g.lab, any_value(g.w) AS old,
-           list(g.b[c.d] - {rate} * (list_dot_product(c.col, r.r) / c.n + CASE WHEN c.d < c.top THEN g.b[c.d] / c.n ELSE 0 END) ORDER BY c.d) AS w
-    FROM (
-      SELECT cell, lab, list(e / total - own ORDER BY i) AS r
-      FROM (
-        SELECT cell, lab, i, own, e, sum(e) OVER (PARTITION BY cell, i) AS total
+    SELECT q.it + 1 AS it, q.cell, q.w AS old,
+           list_transform(q.b, lambda v, c: list_transform(v, lambda x, j: x - {rate} * (r.g[j][c] + CASE WHEN j < len(v) THEN x / r.n ELSE 0 END))) AS w
+    FROM {p}gd q JOIN (
+      SELECT c.cell, max(c.n) AS n, list(list_transform(e.r, lambda v: list_dot_product(c.col, v) / c.n) ORDER BY c.d) AS g
+      FROM {p}cols c JOIN (
+        SELECT cell, list_transform(range(1, len(any_value(e)) + 1), lambda c: list(e ORDER BY i).list_transform(lambda v: v[c])) AS r
         FROM (
-          SELECT cell, lab, i, own, exp(s - max(s) OVER (PARTITION BY cell, i)) AS e
-          FROM (SELECT g.cell, g.lab, t.i, CASE WHEN t.lab = g.lab THEN 1.0 ELSE 0.0 END AS own, list_dot_product(t.x, g.b) AS s
-                FROM {p}gd g JOIN {p}tr t ON t.cell = g.cell WHERE g.it < {steps})))
-      GROUP BY cell, lab) r
-    JOIN {p}gd g ON g.cell = r.cell AND g.lab = r.lab
-    JOIN {p}cols c ON c.cell = g.cell GROUP BY g.cell, g.lab) step),
+          SELECT cell, i, list_transform(z, lambda v, c: v / total - CASE WHEN c = own THEN 1.0 ELSE 0.0 END) AS e
+          FROM (
+            SELECT cell, i, own, z, list_sum(z) AS total FROM (
+              SELECT cell, i, own, list_transform(s, lambda v: exp(v - top)) AS z FROM (
+                SELECT cell, i, own, s, list_max(s) AS top FROM (
+                  SELECT t.cell, t.i, t.own, list_transform(g.b, lambda v: list_dot_product(t.x, v)) AS s
+                  FROM {p}gd g JOIN {p}y t ON t.cell = g.cell WHERE g.it < {steps})))))
+        GROUP BY cell) e ON e.cell = c.cell
+      GROUP BY c.cell) r ON r.cell = q.cell) step),
+{p}wt AS MATERIALIZED (
+  SELECT cell, lab, w[j] AS w FROM (
+    SELECT g.cell, g.w, l.labs, unnest(range(1, len(l.labs) + 1)) AS j, unnest(l.labs) AS lab
+    FROM {p}gd g JOIN (SELECT cell, list_sort(list(DISTINCT lab)) AS labs FROM {p}tr GROUP BY cell) l ON l.cell = g.cell WHERE g.it = {steps})),
 {out} AS (
   SELECT cell, fold, item, win, truth, pred FROM (
     SELECT f.part AS cell, f.fold, x.item, x.win, x.lab AS truth, g.lab AS pred,
            row_number() OVER (PARTITION BY x.cell, x.item, x.win ORDER BY list_dot_product(x.x, g.w) DESC, g.lab) AS rk
-    FROM {p}z x JOIN {p}gd g ON g.cell = x.cell AND g.it = {steps} JOIN {p}fit f ON f.cell = x.cell {keep} WHERE NOT x.is_train)
+    FROM {p}z x JOIN {p}wt g ON g.cell = x.cell JOIN {p}fit f ON f.cell = x.cell {keep} WHERE NOT x.is_train)
   WHERE rk = 1)"""
 
 
@@ -676,6 +686,11 @@ THIN_ALL = THIN.replace("UNION ALL SELECT 3, 4", "UNION ALL SELECT 3, 4 UNION AL
 EMB_8 = EMB.replace("vec_id % 25", "vec_id % 8")
 ORACLE["thinning_all_conditions"] = ORACLE["thinning_experiment"].replace(THIN, THIN_ALL).replace(EMB, EMB_8)
 
+PROBE_DRAWS = THIN.replace("unnest(range(12)) AS draw", "unnest(range(3)) AS draw")
+ORACLE["thinning_probe"] = ORACLE["thinning_experiment"].replace(THIN, PROBE_DRAWS).replace(
+    unit("g0", "g") + ",\n" + template_predictions("g", "gp", "gt_"), probe_predictions("g0", "gp", "gt_", rate=0.3)).replace(
+    unit("r0", "r") + ",\n" + template_predictions("r", "rp", "rt_"), probe_predictions("r0", "rp", "rt_", rate=0.3))
+
 # Frames and vectors ---------------------------------------------------------------------------
 FRAMES = """fr AS (SELECT event_id // 200 AS clip, event_id % 200 AS frame, user_id AS grp, event_type AS coeff, value FROM events)"""
 WAVES = """wv AS (SELECT event_id // 4000 AS clip, list(value ORDER BY event_id) AS s FROM events GROUP BY clip)"""

@@ -75,6 +75,9 @@ def commit(df: DataFrame, path: str, expected: tuple[str, str], key: str | None
     """
     spark = df.sparkSession
     before = manifest(spark, path)
+    stays = before and (key is not None or append)
+    if stays and before["lineage"] != list(expected):
+        raise LineageError(f"{path} was written under {before['lineage']}, expected {list(expected)}")
     version = before["version"] + 1 if before else 1
     folder = f"data/{version:0{DIGITS}d}-{uuid.uuid4().hex}"
     value = F.lit("all") if key is None else F.coalesce(F.hex(F.col(key).cast("string").cast("binary")), F.lit("null"))
@@ -86,9 +89,7 @@ def commit(df: DataFrame, path: str, expected: tuple[str, str], key: str | None
     written = read_parts(spark, path, [f for fs_ in new.values() for f in fs_], df.schema)
     check_table(written, *expected)
     kept = {}
-    if before and (key is not None or append):
-        if before["lineage"] != list(expected):
-            raise LineageError(f"{path} was written under {before['lineage']}, expected {list(expected)}")
+    if stays:
         gone = {"null" if e is None else str(e).encode().hex().upper() for e in emptied or []}
         kept = {k: v for k, v in before["parts"].items() if append or (k not in new and k not in gone)}
     parts = {k: [*kept.get(k, []), *new.get(k, [])] for k in {**kept, **new}}

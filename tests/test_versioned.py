@@ -85,10 +85,12 @@ def test_score_resumes_after_a_failure_between_its_writes(people, spark, tmp_pat
             raise RuntimeError("lost")
         real(rows_, where, **kw)
 
+    counts = lambda d, by, n_init: (d.groupBy(*by).count(), d.select(*by, "item", "window"))
+    monkeypatch.setattr(stages.frozen, "score", counts)
     monkeypatch.setattr(stages, "append_rows", dies)
     with pytest.raises(RuntimeError, match="lost"):
         stages.score(df, path, run, preds, n_init=1)
-    monkeypatch.undo()
+    monkeypatch.setattr(stages, "append_rows", real)
     n = spark.read.parquet(preds).count()
     assert stages.score(df, path, run, preds, n_init=1) is not None
     assert spark.read.parquet(preds).count() == n == people.count()
@@ -104,9 +106,9 @@ def test_finish_refuses_a_foreign_table(spark, tmp_path):
 def test_learn_publishes_versions(people, spark, tmp_path):
     df = people.withColumns({"dataset": F.lit("d"), "subset": F.lit("all")})
     run = stages.Run("r1", *LINEAGE)
-    stages.learn(df, str(tmp_path), run, methods=["frozen"], n_init=1)
+    stages.learn(df, str(tmp_path), run, methods=["frozen"], with_clusters=False)
     assert read(spark, f"{tmp_path}/closed_set/frozen").count() == 1
     assert read(spark, f"{tmp_path}/repeats/frozen").count() == 12
     assert read(spark, f"{tmp_path}/leave_individuals_out/frozen").count() == 1
     with pytest.raises(LineageError):
-        stages.learn(df, str(tmp_path), stages.Run("r2", "other", "cfg"), methods=["frozen"], n_init=1)
+        stages.learn(df, str(tmp_path), stages.Run("r2", "other", "cfg"), methods=["frozen"], with_clusters=False)
