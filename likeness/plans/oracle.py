@@ -556,6 +556,17 @@ ORACLE["pca_components"] = sql(
     select="""SELECT CAST(fit AS BIGINT) AS fit, max(n) AS n_train, CAST(8 AS BIGINT) AS kept,
   round(sum(CAST(moves AS INT)) * max(n) / CAST(max(n) - 1 AS DOUBLE), 6) AS total_variance, true AS falling, true AS uncorrelated, true AS as_stated
 FROM m GROUP BY fit""")
+ORACLE["pca_projection"] = sql(
+    EMB, group_folds("e", "f"),
+    select="SELECT DISTINCT CAST(fold AS BIGINT) AS fit, (SELECT count(*) FROM e) AS n, CAST(8 AS BIGINT) AS dim FROM f")
+ORACLE["batch_encode"] = "SELECT vec_id AS item, 'projection' AS model, CAST(16 AS INTEGER) AS dim, CAST(NULL AS VARCHAR) AS error FROM embeddings"
+# A projection whose weights are stated: ((16 j + k) mod 7 - 3) / 10.
+ORACLE["encoded_values"] = sql(
+    EMB, "w AS (SELECT k, list_transform(range(64), lambda j: ((16 * j + k) % 7 - 3) / 10.0) AS w FROM (SELECT unnest(range(16)) AS k))",
+    select="SELECT item, CAST(k AS BIGINT) AS dim, round(list_dot_product(v, w), 6) + 0.0 AS value FROM e, w")
+ORACLE["spectral_vectors"] = """SELECT clip, m.model, CAST(m.dim AS INTEGER) AS dim, true AS finite
+FROM (SELECT DISTINCT event_id // 4000 AS clip FROM events), (VALUES ('mfcc_lakdari', 24), ('mfcc_full', 80), ('mfcc_cmvn', 80)) m(model, dim)"""
+ORACLE["determinism"] = "SELECT 'pass' AS outcome, CAST(5 AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS n_different"
 ORACLE["head_models"] = sql(
     EMB, group_folds("e", "f"), "l AS (SELECT 'proto' AS loss UNION ALL SELECT 'supcon')",
     select="""SELECT l.loss, CAST(t.fold AS BIGINT) AS fold, count(*) AS n_fit, CAST(max(len(f.v)) AS BIGINT) AS dim, true AS within_epochs, true AS better_than_start
@@ -733,6 +744,11 @@ basis AS (
   SELECT c, list_transform(range(40), lambda n: cos(pi() * c * (2 * n + 1) / 80) * sqrt(2.0 / 40) / CASE WHEN c = 0 THEN sqrt(2.0) ELSE 1 END) AS b
   FROM (SELECT unnest(range(20)) AS c))
 SELECT clip, CAST(t AS BIGINT) AS frame, CAST(c AS BIGINT) AS coeff, round(list_dot_product(d, b), 6) + 0.0 AS value FROM fl, basis"""
+ORACLE["spectral_summary"] = ORACLE["spectral_coefficients"].replace("unnest(range(20)) AS c", "unnest(range(12)) AS c").replace(
+    "SELECT clip, CAST(t AS BIGINT) AS frame, CAST(c AS BIGINT) AS coeff, round(list_dot_product(d, b), 6) + 0.0 AS value FROM fl, basis",
+    """SELECT clip, CAST(i - 1 AS BIGINT) AS dim, round(v[i], 6) + 0.0 AS value FROM (
+  SELECT clip, list(m ORDER BY c) || list(s ORDER BY c) AS v, unnest(range(1, 25)) AS i FROM (
+    SELECT clip, c, avg(list_dot_product(d, b)) AS m, stddev_pop(list_dot_product(d, b)) AS s FROM fl, basis GROUP BY clip, c) GROUP BY clip)""")
 ORACLE["pad_series"] = sql(
     WAVES, "p AS (SELECT clip, s || list_transform(range(greatest(0, 4500 - len(s))), lambda i: 0.0) AS s FROM wv)",
     select="SELECT clip, len(s) AS n, s[1] AS head, s[len(s)] AS tail, round(list_sum(s), 4) AS total FROM p")

@@ -460,6 +460,18 @@ def batch_encode(spark, sf):
     return encode(identity(spark, sf), make, "projection", dim=64).select("item", "model", F.size("v").alias("dim"), "error")
 
 
+@query
+def encoded_values(spark, sf):
+    """Every component of a stated projection, so that its values can be checked."""
+    def make():
+        j, k = np.meshgrid(np.arange(64), np.arange(16), indexing="ij")
+        w = ((16 * j + k) % 7 - 3) / 10.0
+        return lambda x: np.asarray(x, dtype=float) @ w
+
+    rows = encode(identity(spark, sf), make, "stated", dim=64).select("item", F.posexplode("v").alias("dim", "value"))
+    return rounded(rows)
+
+
 # Clustering scores on label columns ------------------------------------------------------------
 @query
 def contingency_counts(spark, sf):
@@ -598,6 +610,14 @@ def spectral_coefficients(spark, sf):
     return rounded(features.spectral_frames(waves(spark, sf), ["clip"], 20))
 
 
+@query
+def spectral_summary(spark, sf):
+    """Mean and deviation of every coefficient of the plain variant."""
+    w = waves(spark, sf).withColumn("grp", F.lit("g"))
+    one = features.spectral_vectors(w, ["clip"], "grp", "mfcc_lakdari")
+    return rounded(one.select("clip", F.posexplode("v").alias("dim", "value")))
+
+
 @query
 def item_mean_vectors(spark, sf):
     m = item_means(windows(spark, sf), [*BY, "item"])
