@@ -793,6 +793,10 @@ ORACLE["missing_tokens"] = sql(
     "b AS (SELECT role, ' ' || CASE WHEN length(word) <= 3 THEN 'NA' ELSE lower(word) END || ' ' AS padded FROM a)",
     select=f"""SELECT role, count(*) AS n, count(*) FILTER (WHERE padded IS NULL OR trim(padded) IN {TOKENS}) AS n_missing,
   count(*) FILTER (WHERE padded IS NOT NULL AND trim(padded) NOT IN {TOKENS}) AS n_present FROM b GROUP BY role""")
+_missing = "({0} IS NULL OR regexp_replace({0}, '^\\s+|\\s+$', '', 'g') IN ('', 'NA', 'na', 'N/A', 'n/a', 'NaN', 'nan'))"
+ORACLE["missing_values"] = f"""SELECT role, count(*) AS n, count(*) FILTER ({_missing.format('text')}) AS n_missing_text,
+  count(*) FILTER ({_missing.format("(CASE WHEN turn % 7 = 3 THEN ' N/A ' ELSE role END)")}) AS n_missing_role,
+  count(*) FILTER (NOT {_missing.format('text')}) AS n_present_text FROM conversations GROUP BY role"""
 ORACLE["dq_report"] = """SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, count(*) - count(DISTINCT doc_id) AS n_duplicates, 'documents' AS source FROM documents
 UNION ALL SELECT count(*), count(DISTINCT (l_orderkey, l_linenumber)), count(*) - count(DISTINCT (l_orderkey, l_linenumber)), 'lineitem' FROM lineitem"""
 ORACLE["duplicate_keys"] = """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM lineitem

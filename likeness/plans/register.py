@@ -689,6 +689,15 @@ def missing_tokens(spark, sf):
         F.count(X.missing_to_null("padded")).alias("n_present")))
 
 
+@query
+def missing_values(spark, sf):
+    """Missing tokens among whole values: texts as they are, and roles with every seventh turn's blanked out."""
+    d = table(spark, sf, "conversations").withColumn("marked", F.when(F.col("turn") % 7 == 3, F.concat(F.lit(" N/A"), F.lit(" "))).otherwise(F.col("role")))
+    return rounded(d.groupBy("role").agg(
+        F.count("*").alias("n"), F.count_if(X.is_missing("text")).alias("n_missing_text"), F.count_if(X.is_missing("marked")).alias("n_missing_role"),
+        F.count(X.missing_to_null("text")).alias("n_present_text")))
+
+
 @query
 def dq_report(spark, sf):
     docs = quality.key_report(table(spark, sf, "documents"), ["doc_id"]).withColumn("source", F.lit("documents"))

@@ -18,6 +18,7 @@ from likeness.operators.templates import item_means
 from likeness.plans import frozen, learned
 from likeness.session import bounded, durable
 from likeness.sources import versioned
+from likeness.sources.files import folder_digest
 from likeness.sources.sinks import append_rows, replace_table
 from likeness.sources.tables import path_exists
 from likeness.streaming.incremental import pending
@@ -41,6 +42,12 @@ class Run:
         return lineage.stamp(df, self.run_id, self.env_hash, self.config_hash)
 
 
+def gate(provenance: DataFrame | None, run: Run) -> None:
+    """Stop a stage whose feature sets disagree with each other or were made in another environment than the run's."""
+    if provenance is not None:
+        lineage.check_features(provenance, run.env_hash)
+
+
 def with_cells(df: DataFrame, dataset: str, subsets: dict[str, dict | None], item_set: str = "single") -> DataFrame:
     """The canonical frame with its cell columns; a row takes part in every subset that admits it.
 
@@ -89,8 +96,13 @@ def validate(master: DataFrame, expected: DataFrame, files: DataFrame | None = N
     return out
 
 
-def score(df: DataFrame, path: str, run: Run, predictions: str | None = None, n_init: int = 10) -> DataFrame | None:
-    """Score the cells that ``path`` does not hold yet and append their rows."""
+def score(df: DataFrame, path: str, run: Run, predictions: str | None = None, n_init: int = 10,
+          provenance: DataFrame | None = None) -> DataFrame | None:
+    """Score the cells that ``path`` does not hold yet and append their rows.
+
+    ``provenance`` holds the environment and configuration hashes of the feature sets behind ``df``.
+    """
+    gate(provenance, run)
     spark = df.sparkSession
     done = spark.read.parquet(path) if path_exists(spark, path) else None
     if done is not None:
@@ -111,11 +123,12 @@ def score(df: DataFrame, path: str, run: Run, predictions: str | None = None, n_
     return result
 
 
-def learn(df: DataFrame, path: str, run: Run, methods: list[str] | None = None, **options) -> None:
+def learn(df: DataFrame, path: str, run: Run, methods: list[str] | None = None, provenance: DataFrame | None = None, **options) -> None:
     """Both evaluations of every method; each table publishes a version that replaces the parts of the given models.
 
     Read them with ``versioned.read``.
     """
+    gate(provenance, run)
     by = ["dataset", "subset", "model"]
     for method in methods or [learned.FROZEN, *S.LOSSES]:
         closed = learned.closed_set(df, by, method, with_probe=method == learned.FROZEN, **options)
@@ -128,8 +141,9 @@ def learn(df: DataFrame, path: str, run: Run, methods: list[str] | None = None,
         versioned.commit(run.stamp(summary), f"{path}/leave_individuals_out/{method}", run.lineage, "model")
 
 
-def diagnose(df: DataFrame, path: str, run: Run, classifier: str = "probe") -> None:
+def diagnose(df: DataFrame, path: str, run: Run, classifier: str = "probe", provenance: DataFrame | None = None) -> None:
     """Group shift, strata and kinship tables; split structure from metadata alone."""
+    gate(provenance, run)
     by = ["dataset", "model"]
     keep = [*by, "item", "ind", "grp", "stratum", "family"]
     items = item_means(df.select(*keep, "v"), keep)
@@ -144,10 +158,17 @@ def diagnose(df: DataFrame, path: str, run: Run, classifier: str = "probe") -> N
 
 
 def finish(spark: SparkSession, tables: dict[str, str], path: str, run: Run | None = None) -> DataFrame:
-    """Write and return the manifest of result tables; with ``run``, a table of another lineage stops it."""
+    """Write and return the manifest of result tables: ``path, n_rows, md5_content, n_files, bytes, md5_files``.
+
+    With ``run``, a table of another lineage stops it.
+    """
     found = {name: spark.read.parquet(p) for name, p in tables.items()}
     for df in found.values() if run else []:
         lineage.check_table(df, *run.lineage)
-    result = durable(lineage.manifest(found))
+    stored = None
+    for name, p in tables.items():
+        one = folder_digest(spark, p, "*.parquet").withColumn("path", F.lit(name))
+        stored = one if stored is None else stored.unionByName(one)
+    result = durable(lineage.manifest(found).join(stored, "path"))
     result.write.mode("overwrite").parquet(path)
     return result

@@ -18,26 +18,26 @@ REQUIRED_COLUMNS = [
 
 STAMP_COLUMNS = ["run_id", "env_hash", "config_hash"]
 
-# Model panel: name, family, cite, verify.
+# Model panel: name, family.
 MODEL_PANEL = [
-    ("birdnet", "bird_supervised", "Kahl et al. 2021", False),
-    ("perch_bird", "bird_supervised", "Google Perch 2023", True),
-    ("perch_v2", "bird_supervised", "Google Perch v2", True),
-    ("surfperch", "bird_supervised", "Williams et al. 2024", True),
-    ("convnext_birdset", "bird_supervised", "Rauch et al. 2024 (BirdSet)", True),
-    ("audioprotopnet", "bird_supervised", "BirdSet AudioProtoPNet", True),
-    ("avesecho_passt", "bird_supervised", "AvesEcho PaSST", True),
-    ("birdmae", "bird_supervised", "Bird-MAE", True),
-    ("birdaves_especies", "animal_ssl", "Hagiwara 2023; BirdAVES 2024", False),
-    ("aves_especies", "animal_ssl", "Hagiwara 2023 (AVES)", False),
-    ("beats", "audio_ssl", "Chen et al. 2023 (BEATs)", True),
-    ("audiomae", "audio_ssl", "Huang et al. 2022 (AudioMAE)", True),
-    ("biolingual", "audio_text", "Robinson et al. 2024 (BioLingual)", True),
-    ("ecapa_tdnn", "speech_speaker", "Desplanques et al. 2020", False),
-    ("wavlm_base_plus_sv", "speech_speaker", "Chen et al. 2022 (WavLM)", False),
-    ("mfcc_lakdari", "handcrafted", "Lakdari et al. 2024", False),
-    ("mfcc_full", "handcrafted", "this study", False),
-    ("mfcc_cmvn", "handcrafted", "this study", False),
+    ("birdnet", "bird_supervised"),
+    ("perch_bird", "bird_supervised"),
+    ("perch_v2", "bird_supervised"),
+    ("surfperch", "bird_supervised"),
+    ("convnext_birdset", "bird_supervised"),
+    ("audioprotopnet", "bird_supervised"),
+    ("avesecho_passt", "bird_supervised"),
+    ("birdmae", "bird_supervised"),
+    ("birdaves_especies", "animal_ssl"),
+    ("aves_especies", "animal_ssl"),
+    ("beats", "audio_ssl"),
+    ("audiomae", "audio_ssl"),
+    ("biolingual", "audio_text"),
+    ("ecapa_tdnn", "speech_speaker"),
+    ("wavlm_base_plus_sv", "speech_speaker"),
+    ("mfcc_lakdari", "handcrafted"),
+    ("mfcc_full", "handcrafted"),
+    ("mfcc_cmvn", "handcrafted"),
 ]
 
 # Spectral features.

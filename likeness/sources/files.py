@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from likeness.functions.text import item_from_file, model_from_dir
 from likeness.functions.vectors import is_finite
+from likeness.operators.lineage import merkle_digest
 from likeness.session import bounded
 
 
@@ -27,6 +28,18 @@ def inventory(spark: SparkSession, path: str | list[str], glob: str, min_bytes:
         "path", F.col("length").alias("bytes"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
 
 
+def folder_digest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``n_files, bytes, md5_files`` of a folder: one row, the same for every order of its files.
+
+    Names do not count, so a table written again with equal files keeps its digest. Equal files are told
+    apart by how often they occur; no file at all gives the md5 of nothing.
+    """
+    found = inventory(spark, path, glob).groupBy("md5").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sums = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    digest = merkle_digest(found, F.concat_ws("|", "md5", F.col("n").cast("string"))).select(F.col("digest").alias("md5_files"))
+    return sums.crossJoin(digest)       # one row each
+
+
 def model_dirs(spark: SparkSession, roots: list[str]) -> DataFrame:
     """``model, dir``: directories named ``<stamp>___<model>-<dataset>`` that hold vectors.
 

@@ -60,7 +60,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def model_panel(spark: SparkSession) -> DataFrame:
     """The registered models; a fixed table of 18 rows, so it may be broadcast."""
-    schema = "model STRING, family STRING, cite STRING, verify BOOLEAN"
+    schema = "model STRING, family STRING"
     return F.broadcast(spark.createDataFrame(MODEL_PANEL, schema))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from likeness.operators.lineage import LineageError
 from likeness.plans import run as stages
 from likeness.sources import versioned
+from likeness.sources.files import folder_digest
 from likeness.sources.versioned import ConflictError, commit, expire, manifest, read, versions
 
 LINEAGE = ("env", "cfg")
@@ -112,3 +113,27 @@ def test_learn_publishes_versions(people, spark, tmp_path):
     assert read(spark, f"{tmp_path}/leave_individuals_out/frozen").count() == 1
     with pytest.raises(LineageError):
         stages.learn(df, str(tmp_path), stages.Run("r2", "other", "cfg"), methods=["frozen"], with_clusters=False)
+
+
+def test_manifest_names_bytes_and_file_digests(spark, tmp_path):
+    for name in ("t", "u"):
+        rows(spark, ("a", 1), ("b", 2)).repartition(2).write.parquet(str(tmp_path / name))
+    run = stages.Run("r", *LINEAGE)
+    found = {r.path: r for r in stages.finish(spark, {"t": str(tmp_path / "t"), "u": str(tmp_path / "u")}, str(tmp_path / "m"), run).collect()}
+    files = list((tmp_path / "t").glob("*.parquet"))
+    assert found["t"].bytes == sum(f.stat().st_size for f in files) and found["t"].n_files == len(files)
+    assert found["t"].n_rows == 2 and found["t"].md5_content == found["u"].md5_content
+    assert found["t"].md5_files == found["u"].md5_files        # equal files under other names
+    empty = folder_digest(spark, str(tmp_path / "t"), "*.none").first()
+    assert (empty.n_files, empty.bytes, empty.md5_files) == (0, 0, "d41d8cd98f00b204e9800998ecf8427e")     # md5 of nothing
+
+
+@pytest.mark.parametrize("stage", [stages.score, stages.learn, stages.diagnose])
+def test_stages_refuse_features_of_another_environment(people, spark, tmp_path, stage):
+    sets = spark.createDataFrame([("a", "env", "cfg"), ("b", "env", "cfg")], "feature_set string, env_hash string, config_hash string")
+    run = stages.Run("r", *LINEAGE)
+    stages.gate(sets, run)
+    with pytest.raises(LineageError, match="disagree"):
+        stage(people, str(tmp_path), run, provenance=sets.union(spark.createDataFrame([("c", "old", "cfg")], sets.schema)))
+    with pytest.raises(LineageError, match="come from"):
+        stage(people, str(tmp_path), stages.Run("r", "other", "cfg"), provenance=sets)
