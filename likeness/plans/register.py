@@ -413,16 +413,6 @@ def closed_set_heads(spark, sf):
     return rounded(out)
 
 
-@query
-def leave_individuals_out_heads(spark, sf):
-    """Evaluation B of both heads, clusters included: one row per repeat."""
-    out = None
-    for loss in S.LOSSES:
-        one = learned.leave_individuals_out(identity(spark, sf), BY, loss, n_init=2)
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
-
-
 @query
 def pca_projection(spark, sf):
     p = principal_components(_fold_rows(spark, sf), ["fit"], 8)
