@@ -12,7 +12,7 @@ from likeness.operators import metrics as M
 from likeness.operators.ranking import first_by_key
 from likeness.operators.similarity import nearest, pair_histogram, score_histogram
 from likeness.operators.templates import enrolled, fold_sums, fold_templates, pooled_queries, templates
-from likeness.session import bounded
+from likeness.session import bounded, is_small
 
 KNOWN = "__known__"
 
@@ -38,7 +38,7 @@ def centroid_predictions(df: DataFrame, by: list[str], label: str = "ind", q_col
     elif enrolment != "none":
         raise ValueError(f"unknown enrolment {enrolment!r}")
     found = nearest(queries, temps.withColumnRenamed(label, "pred"), [*by, "fold"],
-                    [*q_cols, "truth"], ["pred"], k=1, q_vec="_q", **nearest_options)
+                    [*q_cols, "truth"], ["pred"], k=1, q_vec="_q", proven_small=is_small(sums), **nearest_options)
     return found.drop("rank")
 
 
@@ -55,7 +55,7 @@ def encounter_predictions(df: DataFrame, by: list[str], label: str = "ind", grp:
         df.join(enrolled(sums, by, label), [*by, "fold"], "left_semi").withColumn("_u", l2(v)),
         [*by, "fold"], label, grp, "_u").withColumn("truth", F.col(label))
     return nearest(queries, temps.withColumnRenamed(label, "pred"), [*by, "fold"], [grp, "truth"], ["pred"],
-                   k=1, q_vec="_u", **nearest_options).drop("rank")
+                   k=1, q_vec="_u", proven_small=is_small(sums), **nearest_options).drop("rank")
 
 
 def knn_predictions(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str],

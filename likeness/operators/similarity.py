@@ -94,12 +94,13 @@ def _tasks(df: DataFrame) -> int:
 def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str], r_cols: list[str],
             k: int = 1, q_vec: str = "v", r_vec: str = "t", decimals: int = SCORE_DECIMALS,
             broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES,
-            block_rows: int = BLOCK_ROWS, strip_bytes: int = STRIP_BYTES) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, strip_bytes: int = STRIP_BYTES, proven_small: bool = False) -> DataFrame:
     """The ``k`` best references per query by dot product, within equal ``on`` keys.
 
     Output: ``on, q_cols, r_cols, score, rank``. ``r_cols`` orders ties (ascending) and must
     identify a reference. References whose count and bytes were found small are shipped to the tasks and
-    queries are not shuffled at all; otherwise both sides are shuffled as pairs of strips.
+    queries are not shuffled at all; otherwise both sides are shuffled as pairs of strips. ``proven_small`` tells
+    that they derive from a table that passed such a check, and saves another one.
     """
     one_thread_per_task(queries)
     queries = queries.select(*on, *q_cols, F.col(q_vec).alias("_q"))
@@ -121,7 +122,7 @@ def nearest(queries: DataFrame, refs: DataFrame, on: list[str], q_cols: list[str
         out["rank"] = np.tile(np.arange(1, width + 1, dtype="int32"), len(positions))
         return out[names]
 
-    if broadcast_rows and _fits(refs, broadcast_rows, broadcast_bytes):
+    if broadcast_rows and (proven_small or _fits(refs, broadcast_rows, broadcast_bytes)):
         table = refs.toArrow()
         ref_keys = table.select(on + r_cols).to_pandas()
         order = ref_keys.sort_values(r_cols, kind="stable").index
