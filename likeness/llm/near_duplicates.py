@@ -14,10 +14,12 @@ from likeness.llm.common import (
     components, mix, slices, small_batches, stored, text_key, translation, utf8, word_hashes,
 )
 
-HASHES = 256            # minima of a signature
-BITS = 4                # low bits kept of each
-BANDS, ROWS = 25, 5     # a pair of similarity 0.85 misses all bands with probability 4e-7
-MARGIN = 0.1            # four deviations of the estimated similarity at 0.8 to 0.85
+HASHES = 576            # minima of a signature
+BITS = 2                # low bits kept of each
+MISS = 1e-4             # a pair at the limit shares no band with at most this probability
+DEVIATIONS = 4          # of the estimated similarity at the limit; what lies further below is left out
+TILE = 1024             # members of a bucket that a comparison in a task takes from each side, about
+PAIRS = 1 << 17         # pairs that are compared at once
 ROUNDS = 2              # rounds in which a bucket's members meet a few of them, before those left meet all
 STARS = 3               # members of a bucket that the others meet in a round
 BLANKS = translation(lambda c: c == 32 or 9 <= c <= 13)
@@ -54,8 +56,10 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set."""
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(short), 256):
-        np.minimum(low, (short[i:i + 256, None] * MULTIPLY + ADD).min(axis=0), out=low)
+    for i in range(0, len(short), 64):
+        values = short[i:i + 64, None] * MULTIPLY
+        values += ADD
+        np.minimum(low, values.min(axis=0), out=low)
     return low
 
 
@@ -67,15 +71,29 @@ def packed(low: np.ndarray) -> list[int]:
     return (kept.reshape(-1, per) << shift).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
-def bands(low: np.ndarray) -> list[int]:
-    rows = mix(low[:BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS) + (np.arange(BANDS, dtype=np.uint64)[:, None] << np.uint64(33)))
-    total = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        total = mix(total * np.uint64(31) + rows[:, j])
+def band_rows(percent: int) -> int:
+    """The most minima a band can have so that pairs at the limit miss all bands with probability ``MISS`` at most."""
+    limit = min(percent, 100) / 100
+    return max((r for r in range(1, 33) if (1 - limit**r) ** (HASHES // r) <= MISS), default=1)
+
+
+def margin(percent: int) -> float:
+    """How far below the limit an estimate may lie."""
+    chance = 1 / (1 << BITS)
+    equal = chance + (1 - chance) * min(percent, 100) / 100
+    return DEVIATIONS * float(np.sqrt(equal * (1 - equal) / HASHES)) / (1 - chance)
+
+
+def bands(low: np.ndarray, rows: int) -> list[int]:
+    n = HASHES // rows
+    parts = mix(low[:n * rows].astype(np.uint64).reshape(n, rows) + (np.arange(n, dtype=np.uint64)[:, None] << np.uint64(33)))
+    total = np.arange(n, dtype=np.uint64)
+    for j in range(rows):
+        total = mix(total * np.uint64(31) + parts[:, j])
     return total.view(np.int64).tolist()
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
     """Per row: id, text key, set size, node (the set's digest), bands and packed signature."""
     def run(batches):
         for batch in batches:
@@ -87,7 +105,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     continue
                 low = minima(s)
                 nodes.append(blake2b(s.tobytes(), digest_size=16).digest())
-                all_bands.append(bands(low))
+                all_bands.append(bands(low, rows))
                 all_bits.append(packed(low))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
@@ -125,8 +143,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holds several components meets ``STARS`` members, others each time, so that groups of alike
     documents become one component in linear work. Then, in buckets that still hold several, every
     member outside the largest component meets the members of other components: no candidate is
-    left out, but pairs inside a component are not made. Pairs whose estimated similarity
-    is within ``MARGIN`` of the limit are confirmed on the full sets.
+    left out, but pairs inside a component are not made. Large buckets are dealt in tiles, a task compares
+    the packed signatures of a tile and returns only pairs whose estimated similarity is at most
+    ``margin`` below the limit; these are confirmed on the full sets.
 
     Empty and null texts have no shingles and are linked with nothing; a row without an id takes
     no part and is kept; equal ids of different texts are separate nodes. Ties need no rule.
@@ -134,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stored(signatures(rows, width))
+    signed = stored(signatures(rows, width, band_rows(percent)))
     used = signed.where("node is not null and id is not null")
     nodes = used.groupBy("node").agg(F.min("id").alias("id"), F.min("h").alias("h"), F.first("bands").alias("bands"),
                                      F.first("bits").alias("bits"))
@@ -162,12 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(found, "node")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     open_ = stored(placed.join(mixed.select("bucket"), "bucket"))
-    main = (open_.groupBy("bucket", "root").count()
-            .groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main")))
-    outside = open_.join(main, "bucket").where("root <> main")
-    pairs = (outside.alias("o").join(open_.alias("p"), "bucket").where("o.root <> p.root")
-             .select(F.least("o.node", "p.node").alias("a"), F.greatest("o.node", "p.node").alias("b")).distinct())
-    links = found.limit(0) if open_.isEmpty() else stored(_linked(pairs, texts, width, percent))
+    links = found.limit(0) if open_.isEmpty() else stored(_confirmed(_tiled_pairs(open_, texts, percent), texts, width, percent))
     final = found if links.isEmpty() else _joined(found, links)
     named = final.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("component_id"))
     grouped = final.join(named, "root").select("node", "root", "component_id")
@@ -209,12 +223,90 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return grouped.unionByName(docs.where(apart))
 
 
+def _tiled_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and two components, one outside the bucket's largest, that look similar enough.
+
+    A bucket's members are dealt to strips of about ``TILE``; two strips are compared in one task.
+    """
+    largest = (members.groupBy("bucket", "root").count().groupBy("bucket").agg(
+        F.max_by("root", F.struct("count", "root")).alias("main"), F.ceil(F.sum("count") / TILE).cast("int").alias("strips")))
+    dealt = members.join(largest, "bucket").join(texts.select("node", "bits"), "node").select(
+        "bucket", "node", "root", (F.col("root") != F.col("main")).alias("outside"), "bits", "strips",
+        F.pmod(F.xxhash64("node"), "strips").cast("int").alias("strip"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).select(
+        "bucket", F.least("strip", "other").alias("i"), F.greatest("strip", "other").alias("j"), "strip", "node", "root", "outside", "bits")
+    least = percent / 100 - margin(percent)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = (part if held is None else pa.concat_tables([held, part])).combine_chunks()
+            starts = _run_starts(part)
+            yield from _similar(part.slice(0, starts[-1]), starts[:-1], least)
+            held = part.slice(starts[-1])
+        if held is not None:
+            yield from _similar(held, np.zeros(1, np.int64), least)
+
+    found = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "x binary, y binary")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _run_starts(part: pa.Table) -> np.ndarray:
+    """Where the tiles of a sorted table begin; it has a row at least."""
+    keys = [part[c].to_numpy() for c in ("bucket", "i", "j")]
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _similar(part: pa.Table, starts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Node pairs of each tile whose packed signatures agree often enough, compared by bit counts."""
+    n = part.num_rows
+    if not n:
+        return
+    part = part.combine_chunks()
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    partners = end - np.arange(n) - 1            # every later row of the tile
+    roots = part["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    outside = part["outside"].to_numpy()
+    strip, across = part["strip"].to_numpy(), part["i"].to_numpy() != part["j"].to_numpy()
+    bits = part["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
+    nodes = part["node"].combine_chunks()
+    chance = 1 / (1 << BITS)
+    most = int(HASHES * (1 - chance) * (1 - least))     # unequal values that an estimate of ``least`` allows
+    odd = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+    total = np.concatenate([[0], np.cumsum(partners)])
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, side="right")) - 1)
+        left = np.repeat(np.arange(lo, hi), partners[lo:hi])
+        right = left + 1 + np.arange(len(left)) - (total[left] - total[lo])
+        take = (roots[left] != roots[right]) & (outside[left] | outside[right]) & (~across[left] | (strip[left] != strip[right]))
+        left, right = left[take], right[take]
+        unequal = np.zeros(len(left), np.int64)
+        for w in range(bits.shape[1]):
+            x = bits[left, w] ^ bits[right, w]
+            folded = x
+            for s in range(1, BITS):
+                folded = folded | (x >> np.uint64(s))
+            unequal += np.bitwise_count(folded & odd)
+        good = unequal <= most
+        if good.any():
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(left[good])), nodes.take(pa.array(right[good]))], names=["x", "y"])
+        lo = hi
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b) that look similar enough by their signatures and are so by their full shingle sets."""
     bits = texts.select("node", "bits")
     near = (pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a")
             .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
-            .where(estimate("x", "y") >= percent / 100 - MARGIN).select("a", "b"))
+            .where(estimate("x", "y") >= percent / 100 - margin(percent)).select("a", "b"))
+    return _confirmed(near, texts, width, percent)
+
+
+def _confirmed(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
     full = (near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b"))
 
