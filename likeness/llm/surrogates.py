@@ -34,7 +34,10 @@ ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдеж
 SYLLABLES = {"latin": "ba de fi go la me ni ro sa te vi lo ka ra mo ne".split(), "cyrillic": "ба де фи го ла ме ни ро са те ви ло ка ра мо не".split()}
 ENDINGS = {("latin", "n"): "nel", ("cyrillic", "n"): "нел", ("latin", "m"): "rin", ("latin", "f"): "lia", ("latin", "s"): "ver", ("cyrillic", "m"): "рин", ("cyrillic", "f"): "лия", ("cyrillic", "s"): "вер"}
 
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Any entity. What may begin one is tested by its first character or what stands before it, once for several kinds.
+_STARTS = {_ALNUM: ("email", "token", "iban"), r"(?=[\d+(])": ("ssn", "ip", "phone", "card"), r"(?=[MDPHFSГДП])": ("name",)}
+PATTERN = "|".join(f"{start}(?:{'|'.join(KINDS[k] for k in kinds)})" for start, kinds in _STARTS.items())
+DRAW_TASKS = 32      # tasks that draw surrogates: a draw is work, though its rows are small
 PLAIN_ROUNDS = 8     # draws in the entity's own length; each later one is a character longer
 
 
@@ -129,10 +132,9 @@ def _name(kind: Column, value: Column, draws: Column, attempt: Column) -> Column
     return F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
 
 
-def _surrogate(key: str, kind: Column, value: Column, attempt: int) -> Column:
+def _surrogate(kind: Column, value: Column, attempt: int, draws: Column) -> Column:
     more = max(0, attempt + 1 - PLAIN_ROUNDS)
     attempt = F.lit(attempt)
-    draws = _draws(key, kind, value, attempt)
     octet = [(1 + _number(draws, F.lit(i)) % 254).cast("string") for i in range(4 + more)]
     card = _card(value, F.concat(value, F.lit("0" * more)), draws)
     value = F.when(kind == "email", F.concat(F.lit("x" * more), value)).when(
@@ -158,7 +160,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     entities = stored(entities.select("kind", "value").distinct())
     pending, given = entities, None
     for attempt in count():
-        drawn = pending.select("kind", "value", _surrogate(key, F.col("kind"), F.col("value"), attempt).alias("surrogate"))
+        drawn = pending.repartition(DRAW_TASKS, "kind", "value").select(
+            "kind", "value", _draws(key, F.col("kind"), F.col("value"), F.lit(attempt)).alias("draws")).select(
+            "kind", "value", _surrogate(F.col("kind"), F.col("value"), attempt, F.col("draws")).alias("surrogate"))
         first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("value"))
         real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         tried = drawn.select("*", first.alias("turn")).join(real, ["kind", "surrogate"], "left")
@@ -225,31 +229,33 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrog
     punctuation, lengths (unless their forms run short), country codes, top-level domains, the validity of card numbers, gender and
     script stay.
 
+    Every text is searched once; the mentions and what stands between them are stored with the rows.
     Texts without entities, empty and null ones are returned as they are and take no part in any
     shuffle. Copies of a text share its entities. Other columns stay, but for those named _n_entities,
-    _h, _m and _known.
+    _h, _m, _b and _known.
     """
-    docs = docs.drop("_n_entities", "_h", "_m", "_known")
+    docs = docs.drop("_n_entities", "_h", "_m", "_b", "_known")
     text = F.col(text_col)
     names = docs.columns
-    mentions = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    has = F.coalesce(text.rlike(PATTERN), F.lit(False))
-    hit = docs.where(has)
-    listed = (hit.select(text_key(text).alias("_h"), F.explode(F.array_distinct(mentions)).alias("m"))
+    searched = stored(docs.withColumn("_m", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+                      .withColumn("_b", F.when(F.size("_m") > 0, F.split(text, PATTERN, -1))))
+    has = F.coalesce(F.size("_m") > 0, F.lit(False))
+    hit = searched.where(has)
+    listed = (hit.select(text_key(text).alias("_h"), F.explode(F.array_distinct("_m")).alias("m"))
               .select("_h", F.explode(_parts(F.col("m"))).alias("part")).select("_h", "part.kind", "part.value").distinct())
     listed = stored(listed)
     given = assign(listed, key)
     known = listed.join(given, ["kind", "value"]).groupBy("_h").agg(
         F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))).alias("_known"))
-    full = hit.select("*", text_key(text).alias("_h")).join(stored(known), "_h").select(*names, mentions.alias("_m"), "_known")
+    full = hit.select("*", text_key(text).alias("_h")).join(stored(known), "_h").select(*names, "_m", "_b", "_known")
     new = F.transform("_m", lambda m: _written(m, F.col("_known"), key))
     # between the mentions, names that the text gives with a title stand without one as well
     named = F.exists(F.map_keys("_known"), lambda k: k.startswith("family|"))
-    between = F.split(text, PATTERN, -1)
+    between = F.col("_b")
     pieces = lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))
     bare = F.transform(between, lambda p: F.array_join(F.transform(pieces(p), lambda w: F.coalesce(_bare_name(w, F.col("_known")), w)), ""))
     n_bare = F.aggregate(between, F.lit(0), lambda n, p: n + F.size(F.filter(pieces(p), lambda w: _bare_name(w, F.col("_known")).isNotNull())))
     rebuilt = F.array_join(F.zip_with(F.when(named, bare).otherwise(between), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     done = full.select(*(rebuilt.alias(c) if c == text_col else F.col(c) for c in names),
                        (F.size("_m") + F.when(named, n_bare).otherwise(0)).alias("_n_entities"))
-    return docs.where(~has).select(*names, F.lit(0).alias("_n_entities")).unionByName(done)
+    return searched.where(~has).select(*names, F.lit(0).alias("_n_entities")).unionByName(done)
