@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from likeness.llm.common import small_batches
 
@@ -24,9 +26,11 @@ BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adv|banner|promo|promoted|sponsor(?:ed)?|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|"
     r"footer|foot|header|masthead|comments?|comment-list|disqus|respond|replies|reply|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|tags|skip|legal|copyright|"
-    r"search|meta|byline)(?:$|[\s_-])", re.I)
+    r"search|meta|byline|kommentare?|commentaires?|comentarios?|werbung|anzeigen?|publicit[eé]|publicidad|fu(?:ss|ß)zeile|seitenleiste|"
+    r"kopfzeile|pied|pie|barra|hinweis|aviso|avis)(?:$|[\s_-])", re.I)
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|main|text)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_EDGE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANK = re.compile(r"\s+")
 
@@ -59,68 +63,113 @@ def _element_score(tag: str, raw: str) -> tuple[float, bool]:
     return score, zone
 
 
+def _tokens(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text before, closing, tag, attributes, end) of every tag; a last one without a tag holds the text left.
+
+    Comments and declarations have an empty tag. The caller may send back where to go on. Every
+    character is passed a bounded number of times: once a quote is found to stay open, quotes no longer
+    hide ``>``, and behind the last ``>`` there are no tags.
+    """
+    at, text_at, size, last, quotes = 0, 0, len(page), page.rfind(">"), True
+    while m := _OPEN.search(page, at):
+        start, tag = m.start(), m[2] or ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", m.end())
+            end = size if end < 0 else end + 3
+        elif not tag:
+            end = page.find(">", m.end()) + 1 or size
+        elif m.end() > last:
+            break
+        else:
+            end, i = 0, m.end()
+            while quotes and not end:
+                edge = _EDGE.search(page, i)
+                if edge and edge[0] == ">":
+                    end = edge.end()
+                else:
+                    i = page.find(edge[0], edge.end()) + 1 if edge else 0
+                    quotes = i > 0
+            end = end or page.find(">", m.end()) + 1
+        resume = yield page[text_at:start], bool(m[1]), tag.lower(), page[m.end():end - 1] if tag else "", end
+        at = text_at = end if resume is None else resume
+        if resume is not None:
+            yield "", False, "", "", resume
+    yield page[text_at:], False, "", "", size
+
+
+class _Element:
+    """An open element with what its ancestors add up to."""
+    __slots__ = ("tag", "serial", "total", "scored", "skipped")
+
+    def __init__(self, tag: str, serial: int, score: float, outer: _Element | None):
+        self.tag, self.serial = tag, serial
+        self.total = score + (outer.total if outer else 0.0)
+        self.scored = serial if score else (outer.scored if outer else 0)
+        self.skipped = tag in SKIPPED or bool(outer and outer.skipped)
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order; markup that is broken is read as browsers do, roughly."""
+    """The page's text blocks in order; markup that is broken is read as browsers do, roughly. Linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int, bool]] = []      # tag, score, zone, skipped
+    stack: list[_Element] = []
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
     serial = links = in_link = 0
 
-    def flush(tag: str) -> None:
+    def flush() -> None:
         nonlocal links
         if pieces:
             text = _BLANK.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                out.append(Block(text, links, sum(e[1] for e in stack), stack[-1][2] if stack else 0,
-                                 next((e[2] for e in reversed(stack) if e[1]), 0), len(stack), tag))
+                top = stack[-1] if stack else _Element("", 0, 0.0, None)
+                out.append(Block(text, links, top.total, top.serial, top.scored, len(stack), top.tag))
             pieces.clear()
         links = 0
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        text = page[at:m.start() if m else size]
-        if text and not any(e[3] for e in stack):
+    def pop() -> None:
+        open_tags[stack.pop().tag] -= 1
+
+    tokens = _tokens(page)
+    for text, closing, tag, raw, end in tokens:
+        if text and not (stack and stack[-1].skipped):
             pieces.append(text)
             if in_link:
                 links += len(text)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag == "br":
             pieces.append(" ")
             continue
         if tag == "a":
-            in_link = 0 if m[1] else 1
-        if tag in INLINE and not (tag == "label"):
+            in_link = 0 if closing else 1
+        if tag in INLINE and tag != "label" or tag == "html" and not closing and open_tags["html"]:
+            continue
+        flush()
+        if closing:
+            if open_tags[tag]:
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             continue
-        flush(stack[-1][0] if stack else "")
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if tag in VOID or raw.endswith("/"):
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if stack and stack[-1].tag == tag and tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
+            pop()
+        elif stack and stack[-1].tag == "p":
+            pop()
+        if tag in RAW and tag in SKIPPED:
+            close = re.compile(rf"</{tag}\b", re.I).search(page, end)
+            stop = page.find(">", close.end()) + 1 if close else 0
+            tokens.send(stop or len(page))
             continue
-        if stack and stack[-1][0] == tag and tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-            stack.pop()
-        elif stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag in SKIPPED:
-                at = end.end() if end else size
-                continue
         if tag == "body":
-            stack[:] = [e for e in stack if e[0] == "html"]
+            while stack and stack[-1].tag != "html":
+                pop()
         serial += 1
-        score, _ = _element_score(tag, m[3])
-        stack.append((tag, score, serial, tag in SKIPPED))
-    flush(stack[-1][0] if stack else "")
+        element = _Element(tag, serial, _element_score(tag, raw)[0], stack[-1] if stack else None)
+        stack.append(element)
+        open_tags[tag] += 1
+    flush()
     return out
 
 
@@ -177,13 +226,28 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
                 if label[j] is None:
                     queue.append(j)
             near[i] = {}
-    free = [i for i in range(n) if label[i] is None]
-    if free:
+    for free in _parts(label, near):
         for i, side in zip(free, _max_flow(free, gain, near), strict=True):
             label[i] = side
     return [bool(x) for x in label]
 
 
+def _parts(label: list[bool | None], near: list[dict[int, float]]) -> Iterator[list[int]]:
+    """The undecided nodes, a list for each connected part; no flow passes between parts."""
+    seen: set[int] = set()
+    for first, side in enumerate(label):
+        if side is not None or first in seen:
+            continue
+        part, at = [first], 0
+        seen.add(first)
+        while at < len(part):
+            fresh = [j for j in near[part[at]] if label[j] is None and j not in seen]
+            seen.update(fresh)
+            part += fresh
+            at += 1
+        yield part
+
+
 def _max_flow(free: list[int], gain: list[float], near: list[dict[int, float]]) -> list[bool]:
     """Which of the free nodes stay with the content terminal once no augmenting path is left."""
     source, sink = -1, -2
@@ -237,13 +301,13 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     pages = pages.drop("_text", "_n_chars")
     names = pages.columns
     at = names.index(html_col)
+    plain = pages.toDF(*(f"c{i}" for i in range(len(names))))      # any column name may come in
 
     def run(batches):
         for batch in batches:
             texts = [main_text(x or "") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                                             names=[*names, "_text", "_n_chars"])
-
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names)
-    return pages.mapInArrow(run, f"{kinds}, _text string, _n_chars long")
+                                             names=[*plain.columns, "_text", "_n_chars"])
 
+    shape = StructType([*plain.schema.fields, StructField("_text", StringType()), StructField("_n_chars", LongType())])
+    return plain.mapInArrow(run, shape).toDF(*names, "_text", "_n_chars")

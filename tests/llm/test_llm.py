@@ -286,3 +286,82 @@ def test_minimum_cut_is_least():
         price = lambda x: sum(abs(g) for g, v in zip(gain, x, strict=True) if (g > 0) != v) + sum(w for a, b, w in edges if x[a] != x[b])
         best = min(price([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
         assert price(minimum_cut(gain, edges)) == pytest.approx(best)
+
+
+def test_near_duplicates_of_a_large_group_in_tiles(spark, monkeypatch):
+    """Variants of one text on both sides of the limit, many of them alone: every link is found, whatever the tiles."""
+    from likeness.llm import near_duplicates as module
+
+    monkeypatch.setattr(module, "TILE", 16)
+    rng = np.random.default_rng(3)
+    base = prose(120, 11).split()
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 18), replace=False):
+            words[at] = f"v{i}x{at}"
+        texts.append(" ".join(words))
+    texts += texts[:20]
+    sets = [shingles(t, 3) for t in texts]
+    up = list(range(len(texts)))
+    for _ in texts:
+        for a, x in enumerate(sets):
+            for b in range(a):
+                if 100 * len(x & sets[b]) >= 85 * len(x | sets[b]):
+                    up[a] = up[b] = min(up[a], up[b])
+    assert 20 < len(set(up)) < 150
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=3, percent=85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(up))
+
+
+def test_tile_pairs_agree_with_all_pairs():
+    import pyarrow as pa
+
+    from likeness.llm import near_duplicates as module
+
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2**63, (12, module.HASHES * module.BITS // 64))
+    bits[6:] = bits[:6]
+    bits[6:, 0] ^= 3
+    part = pa.table({"bucket": [1] * 7 + [2] * 5, "i": [0] * 12, "j": [0] * 7 + [1] * 5, "strip": [0] * 7 + [0, 1, 0, 1, 1],
+                     "node": [bytes([k]) for k in range(12)], "root": [bytes([k % 5]) for k in range(12)],
+                     "outside": [True] * 12, "bits": bits.tolist()})
+    starts = module._run_starts(part)
+    assert starts.tolist() == [0, 7]
+    found = {(x[0], y[0]) for b in module._similar(part, starts, 0.9) for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert found == {(0, 6)}      # 1 and 7 lie in two buckets
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    from likeness.llm.main_text import blocks_of, main_text
+
+    start = time.perf_counter()
+    for page in ("<a " * 350_000, "<div><p>x" * 100_000, '<a title="x' * 100_001 + ">", "<div>" * 50_000 + "</b></p>" * 50_000,
+                 "<textarea>x" * 50_000, "<script>" + "</script " * 100_000, "<!--" * 200_000, "<a '\">\"'" * 100_001):
+        blocks_of(page)
+    assert time.perf_counter() - start < 60
+    text = "A sentence that is long enough to be the content of a page, and ends here."
+    assert main_text(f"<html><html><body><nav>Home</nav><svg><text>no</text></svg><div><p>{text}</p><p title='a > b'>{text}</p></div></body>") == f"{text} {text}"
+    assert main_text(f"<body><p>{text}</p><div class='kommentare'><p>Ich auch.</p></div></body>") == text
+
+
+def test_pages_with_awkward_columns(spark):
+    rows = [(1, None, (1,)), (2, "", (2,)), (3, "<p>" + "Long words stand here. " * 50, (3,))]
+    pages = spark.createDataFrame(rows, "`page``id` long, html string, s struct<`a b`: int>")
+    got = {r[0]: (r["_text"], r["_n_chars"], r["s"][0]) for r in extract_main_text(pages).collect()}
+    assert got[1] == got[2][:2] + (1,) == ("", 0, 1) and got[3][1] == len(got[3][0]) > 1000
+    assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_searched_starts_find_what_the_plain_pattern_finds(spark):
+    from likeness.llm.surrogates import KINDS, PATTERN
+
+    texts = ["Mr. Jane Doe wrote to x.y@b.de, +49 30 123456 and tel(030) 555-1234", "abc10.0.0.1 10.0.0.1x 4111 1111 1111 1111 DE89370400440532013000",
+             "xMr Doe 7Mrs Doe éDr Doe Господин Иванов 123-45-6789 a123-45-6789 sk-abcdefghijklmnop123 " + "ab" * 20, "._%x@y.org @ +1 (", "", None]
+    texts += ["".join(np.random.default_rng(i).choice(list("Mr. Doe@x1234-+()é "), 400)) for i in range(40)]
+    plain = "|".join(f"(?:{p})" for p in KINDS.values())
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and sum(len(r["a"] or ()) for r in got) > 15
