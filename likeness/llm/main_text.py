@@ -302,12 +302,13 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     names = pages.columns
     at = names.index(html_col)
     plain = pages.toDF(*(f"c{i}" for i in range(len(names))))      # any column name may come in
+    columns = [*plain.columns, "_text", "_n_chars"]
 
     def run(batches):
         for batch in batches:
             texts = [main_text(x or "") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                                             names=[*plain.columns, "_text", "_n_chars"])
+                                             names=columns)
 
     shape = StructType([*plain.schema.fields, StructField("_text", StringType()), StructField("_n_chars", LongType())])
     return plain.mapInArrow(run, shape).toDF(*names, "_text", "_n_chars")
