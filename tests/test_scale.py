@@ -1,11 +1,14 @@
 """What the queries' costs at size hang on: work done once, strips by cells, rows that stay where they are."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from likeness import settings as S
-from likeness.operators import head
+from likeness.operators import head, similarity
+from likeness.operators import metrics as M
 
 BY = ["model"]
 
@@ -32,3 +35,22 @@ def test_a_head_is_trained_once_however_often_its_vectors_are_read(people):
     rows = people.withColumn("is_train", F.col("item") % 5 != 0).withColumn("x", F.col("v"))
     plan = head.head_vectors(rows, BY, "proto", max_epochs=2)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    rng = np.random.default_rng(11)
+    rows = [("m", i, f"p{i % 7}", f"g{i % 25}", rng.normal(size=8).tolist()) for i in range(6000)]
+    return spark.createDataFrame(rows, "model string, item long, ind string, grp string, v array<double>").persist()
+
+
+def test_tiles_of_a_pair_histogram_do_not_shrink_with_the_strips(cloud):
+    def seconds(block_rows):
+        start = time.time()
+        r = M.auc_eer(similarity.pair_histogram(cloud, BY, item=["item"], block_rows=block_rows), BY).first()
+        return time.time() - start, (r.n_pos, r.n_neg, round(r.auc, 9))
+
+    seconds(4096)
+    wide, narrow = seconds(4096), seconds(8)
+    assert wide[1] == narrow[1]
+    assert narrow[0] < 2 * wide[0] + 2
