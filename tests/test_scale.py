@@ -54,3 +54,16 @@ def test_tiles_of_a_pair_histogram_do_not_shrink_with_the_strips(cloud):
     wide, narrow = seconds(4096), seconds(8)
     assert wide[1] == narrow[1]
     assert narrow[0] < 2 * wide[0] + 2
+
+
+def test_cells_share_the_strip_pairs(spark, cloud):
+    cells = cloud.withColumn("cell", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    q, r = cells.withColumnRenamed("v", "_q"), cells.withColumnRenamed("v", "_v")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for on, sides in ((["cell"], (q, r)), ([], (q.where("cell = 1"), r))):
+        t = similarity._strip_table(*sides, on, 5, 64, similarity.STRIP_BYTES).toPandas()
+        assert tasks / 2 <= (t._q_strips * t._r_strips).sum() <= 3 * tasks
+        assert (t._q_strips <= t._r_strips).all() or on      # 5 candidates of each strip, 20 references a query
+    got = similarity.nearest(cells.where("item < 40"), cells.withColumnRenamed("item", "ref").withColumnRenamed("v", "t"), ["cell"], ["item"],
+                             ["ref"], k=2, q_vec="v", broadcast_rows=0, block_rows=64)
+    assert got.groupBy("item", "rank", "ref").count().where("count <> 20").isEmpty() and got.count() == 40 * 2 * 20
