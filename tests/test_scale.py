@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from likeness import settings as S
-from likeness.operators import head, similarity
+from likeness.operators import cluster, head, similarity
 from likeness.operators import metrics as M
 
 BY = ["model"]
@@ -67,3 +67,15 @@ def test_cells_share_the_strip_pairs(spark, cloud):
     got = similarity.nearest(cells.where("item < 40"), cells.withColumnRenamed("item", "ref").withColumnRenamed("v", "t"), ["cell"], ["item"],
                              ["ref"], k=2, q_vec="v", broadcast_rows=0, block_rows=64)
     assert got.groupBy("item", "rank", "ref").count().where("count <> 20").isEmpty() and got.count() == 40 * 2 * 20
+
+
+def test_passes_of_kmeans_leave_the_rows_where_they_are(spark, cloud):
+    small = cloud.where("item < 700").withColumn("window", F.lit(0)).persist()
+    by_table = cluster.kmeans_assign(small, BY, n_init=2)
+    by_blocks = cluster.kmeans_assign(small, BY, n_init=2, max_iter=300, block_rows=200, small_bytes=0)
+    pair = by_table.select("item", F.col("cluster").alias("a")).join(by_blocks.select("item", "cluster"), "item")
+    assert pair.where("a = cluster").count() == 700
+    dealt = cluster._Blocks(small.select(*BY, "item", F.col("v").alias("_x")), BY, ["item"], 200)
+    centroids = small.where("item < 7").select(*BY, F.lit(0).alias("run"), F.col("item").cast("int").alias("cluster"), F.col("v").alias("c"))
+    plan = cluster._sums(dealt, centroids.toArrow(), BY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroups" not in plan          # rows are neither shuffled nor sorted in a pass
