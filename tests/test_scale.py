@@ -4,6 +4,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,11 @@ def test_sql_of_the_model_tables_draws_the_rows_that_the_fits_draw(cloud):
         want = con.execute(f"WITH {oracle.fit_sample('rows', 's', 'probe_fit', bound)} SELECT item FROM s ORDER BY item").fetchall()
         got = models.fit_sample(rows, BY, "ind", ["item", "window"], "probe_fit", bound).select("item").orderBy("item").collect()
         assert [r.item for r in got] == [r[0] for r in want] and (len(got) == 6000) == (bound == 6000)
+
+
+def test_a_centroid_without_rows_stays():
+    table = pa.table({"model": ["m"] * 3, "run": [0] * 3, "cluster": [0, 1, 2], "c": [[0.0, 0.0], [1.0, 1.0], [5.0, 5.0]], "_open": [True] * 3})
+    sums = pa.table({"model": ["m"] * 2, "run": [0] * 2, "cluster": [0, 1], "s": [[0.0, 0.0], [4.0, 2.0]], "n": [3, 2]})
+    got = cluster._moved(table, sums, BY, 1e-4).to_pydict()
+    assert got["c"] == [[0, 0], [2, 1], [5, 5]] and got["_open"] == [True] * 3
+    assert not any(cluster._moved(table, sums, BY, 2.0)["_open"].to_pylist())
