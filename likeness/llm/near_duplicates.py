@@ -19,6 +19,7 @@ BITS = 2                # low bits kept of each
 MISS = 1e-4             # a pair at the limit shares no band with at most this probability
 DEVIATIONS = 4          # of the estimated similarity at the limit; what lies further below is left out
 TILE = 1024             # members of a bucket that a comparison in a task takes from each side, about
+TILE_BYTES = 16 << 20   # bytes of their texts, about
 PAIRS = 1 << 17         # pairs that are compared at once
 ROUNDS = 2              # rounds in which a bucket's members meet a few of them, before those left meet all
 STARS = 3               # members of a bucket that the others meet in a round
@@ -143,9 +144,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holds several components meets ``STARS`` members, others each time, so that groups of alike
     documents become one component in linear work. Then, in buckets that still hold several, every
     member outside the largest component meets the members of other components: no candidate is
-    left out, but pairs inside a component are not made. Large buckets are dealt in tiles, a task compares
-    the packed signatures of a tile and returns only pairs whose estimated similarity is at most
-    ``margin`` below the limit; these are confirmed on the full sets.
+    left out, but pairs inside a component are not made. Large buckets are dealt in tiles. A task compares
+    the packed signatures of a tile and confirms pairs whose estimated similarity is at most ``margin`` below
+    the limit on the full sets of the texts that came along; it returns links only, and none between
+    components that its earlier links join already. So a task returns fewer rows than it has read.
 
     Empty and null texts have no shingles and are linked with nothing; a row without an id takes
     no part and is kept; equal ids of different texts are separate nodes. Ties need no rule.
@@ -161,27 +163,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = stored(banded.join(shared, "bucket"))
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", "h", "bits")
+    wanted = members.select("node").distinct().join(nodes, "node").select("node", "h", "bands", "bits")
     # one text per node; copies of a text are equal, so any of them serves
     texts = stored(rows.select("text", text_key("text").alias("h")).join(wanted, "h")
-                   .groupBy("node").agg(F.first("text").alias("text"), F.first("bits").alias("bits")))
-    found = texts.select("node", F.col("node").alias("root"))
+                   .groupBy("node").agg(F.first("text").alias("text"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    found, bits = texts.select("node", F.col("node").alias("root")), texts.select("node", "bits")
     for turn in range(ROUNDS):
         placed = members.join(found, "node")
         least = [F.min(F.struct(F.xxhash64(F.lit(turn * STARS + i), "node").alias("order"), "node", "root")) for i in range(STARS)]
         stars = placed.groupBy("bucket").agg(F.array(*least).alias("s"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
         stars = stars.select("bucket", F.explode(F.array_distinct(F.transform("s", lambda s: F.struct(
             s["node"].alias("star"), s["root"].alias("other"))))).alias("s")).select("bucket", "s.star", "s.other")
-        pairs = placed.join(stars, "bucket").where("root <> other").select(
+        # signatures come along, so only pairs that look similar enough leave the bucket
+        stars = stars.join(bits.select(F.col("node").alias("star"), F.col("bits").alias("y")), "star")
+        pairs = placed.join(bits.withColumnRenamed("bits", "x"), "node").join(stars, "bucket").where("root <> other").where(
+            estimate("x", "y") >= percent / 100 - margin(percent)).select(
             F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
-        links = stored(_linked(pairs, texts, width, percent))
+        links = stored(_confirmed(pairs, texts, width, percent))
         if links.isEmpty():
             break
         found = _joined(found, links)
     placed = members.join(found, "node")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     open_ = stored(placed.join(mixed.select("bucket"), "bucket"))
-    links = found.limit(0) if open_.isEmpty() else stored(_confirmed(_tiled_pairs(open_, texts, percent), texts, width, percent))
+    links = found.limit(0) if open_.isEmpty() else stored(_tiled_links(open_, texts, width, percent))
     final = found if links.isEmpty() else _joined(found, links)
     named = final.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("component_id"))
     grouped = final.join(named, "root").select("node", "root", "component_id")
@@ -223,35 +228,91 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return grouped.unionByName(docs.where(apart))
 
 
-def _tiled_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components, one outside the bucket's largest, that look similar enough.
+def _tiled_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, as many as it takes to join the components.
 
-    A bucket's members are dealt to strips of about ``TILE``; two strips are compared in one task.
+    A bucket's members are dealt to strips of about ``TILE`` members and ``TILE_BYTES``; two strips are compared in one task.
     """
-    largest = (members.groupBy("bucket", "root").count().groupBy("bucket").agg(
-        F.max_by("root", F.struct("count", "root")).alias("main"), F.ceil(F.sum("count") / TILE).cast("int").alias("strips")))
-    dealt = members.join(largest, "bucket").join(texts.select("node", "bits"), "node").select(
-        "bucket", "node", "root", (F.col("root") != F.col("main")).alias("outside"), "bits", "strips",
+    sized = members.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    largest = (sized.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("bytes").alias("bytes")).groupBy("bucket").agg(
+        F.max_by("root", F.struct("count", "root")).alias("main"),
+        F.ceil(F.greatest(F.sum("count") / TILE, F.sum("bytes") / TILE_BYTES)).cast("int").alias("strips")))
+    dealt = members.join(largest, "bucket").select(
+        "bucket", "node", "root", (F.col("root") != F.col("main")).alias("outside"), "strips",
         F.pmod(F.xxhash64("node"), "strips").cast("int").alias("strip"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).select(
-        "bucket", F.least("strip", "other").alias("i"), F.greatest("strip", "other").alias("j"), "strip", "node", "root", "outside", "bits")
+        "bucket", F.least("strip", "other").alias("i"), F.greatest("strip", "other").alias("j"), "strip", "node", "root", "outside")
+    tiles = tiles.join(texts.select("node", "bands", "bits", "text"), "node").select(
+        "bucket", "i", "j", "strip", "node", "root", "outside", "bands", "bits", "text")
     least = percent / 100 - margin(percent)
 
     def run(batches):
-        held = None
+        held, joined = None, {}
         for batch in batches:
             part = pa.Table.from_batches([batch])
             part = (part if held is None else pa.concat_tables([held, part])).combine_chunks()
             starts = _run_starts(part)
-            yield from _similar(part.slice(0, starts[-1]), starts[:-1], least)
+            yield from _links(part.slice(0, starts[-1]), starts[:-1], least, width, percent, joined)
             held = part.slice(starts[-1])
         if held is not None:
-            yield from _similar(held, np.zeros(1, np.int64), least)
+            yield from _links(held, np.zeros(1, np.int64), least, width, percent, joined)
 
     found = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "x binary, y binary")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _links(part: pa.Table, starts: np.ndarray, least: float, width: int, percent: int, joined: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
+    """Links of each tile between components that those found before do not join.
+
+    ``joined`` holds the components that a task's links have joined, each with one that stands for it. A pair is
+    confirmed in the first bucket that its nodes share; that bucket holds two components and so has a tile for it.
+    """
+    if not part.num_rows:
+        return
+    part = part.combine_chunks()
+    texts, roots = part["text"].combine_chunks(), part["root"].combine_chunks()
+    bands_of = part["bands"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+    own = (bands_of == part["bucket"].to_numpy()[:, None]).argmax(axis=1)
+    ends = np.append(starts[1:], part.num_rows)
+    tile, sets = -1, {}
+
+    def top(root):
+        passed = []
+        while root in joined:
+            passed.append(root)
+            root = joined[root]
+        joined.update(dict.fromkeys(passed, root))
+        return root
+
+    def full(k):
+        if k not in sets:
+            sets[k] = next(shingle_sets(texts.slice(k, 1), width))
+        return sets[k]
+
+    def holds(left, right):
+        nonlocal tile
+        keep = np.ones(len(left), bool)
+        for i in range(bands_of.shape[1]):
+            keep &= (own[left] <= i) | (bands_of[left, i] != bands_of[right, i])
+        for p in np.flatnonzero(keep):
+            k, m = int(left[p]), int(right[p])
+            if k >= tile:           # the sets of earlier tiles are not needed again
+                tile = int(ends[np.searchsorted(ends, k, side="right")])
+                sets.clear()
+            x, y = top(roots[k].as_py()), top(roots[m].as_py())
+            keep[p] = x != y and _alike(full(k), full(m), percent)
+            if keep[p]:
+                joined[max(x, y)] = min(x, y)
+        return keep
+
+    yield from _similar(part, starts, least, holds)
+
+
+def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _run_starts(part: pa.Table) -> np.ndarray:
     """Where the tiles of a sorted table begin; it has a row at least."""
     keys = [part[c].to_numpy() for c in ("bucket", "i", "j")]
@@ -259,8 +320,11 @@ def _run_starts(part: pa.Table) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _similar(part: pa.Table, starts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """Node pairs of each tile whose packed signatures agree often enough, compared by bit counts."""
+def _similar(part: pa.Table, starts: np.ndarray, least: float, holds=None) -> Iterator[pa.RecordBatch]:
+    """Node pairs of each tile whose packed signatures agree often enough, compared by bit counts.
+
+    ``holds`` (rows left, rows right, in row order) says which of these remain.
+    """
     n = part.num_rows
     if not n:
         return
@@ -291,20 +355,15 @@ def _similar(part: pa.Table, starts: np.ndarray, least: float) -> Iterator[pa.Re
                 folded = folded | (x >> np.uint64(s))
             unequal += np.bitwise_count(folded & odd)
         good = unequal <= most
-        if good.any():
-            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(left[good])), nodes.take(pa.array(right[good]))], names=["x", "y"])
+        left, right = left[good], right[good]
+        if holds is not None and len(left):
+            good = holds(left, right)
+            left, right = left[good], right[good]
+        if len(left):
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(left)), nodes.take(pa.array(right))], names=["x", "y"])
         lo = hi
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that look similar enough by their signatures and are so by their full shingle sets."""
-    bits = texts.select("node", "bits")
-    near = (pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a")
-            .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
-            .where(estimate("x", "y") >= percent / 100 - margin(percent)).select("a", "b"))
-    return _confirmed(near, texts, width, percent)
-
-
 def _confirmed(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     full = (near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
@@ -312,11 +371,8 @@ def _confirmed(near: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     def confirm(batches):
         for batch in batches:
-            keep = []
-            for s, t in zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width), strict=True):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            mask = pa.array(keep, pa.bool_())
+            sets = zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width), strict=True)
+            mask = pa.array([_alike(s, t, percent) for s, t in sets], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return full.select("a", "b", "left", "right").mapInArrow(confirm, "a binary, b binary")

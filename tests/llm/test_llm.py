@@ -332,6 +332,39 @@ def test_tile_pairs_agree_with_all_pairs():
     assert found == {(0, 6)}      # 1 and 7 lie in two buckets
 
 
+def test_a_tile_returns_links_that_join_components_only():
+    """Texts just below the limit give no row however many they are; a clique of links gives a row less than it has members."""
+    import pyarrow as pa
+
+    from likeness.llm import near_duplicates as module
+
+    def links(texts, bands, bucket, tiles):
+        n = len(texts)
+        low = [module.minima(s) for s in module.shingle_sets(pa.array(texts), 3)]
+        part = pa.table({"bucket": pa.array([bucket] * n), "i": tiles, "j": tiles, "strip": [0] * n, "node": [bytes([k]) for k in range(n)],
+                         "root": [bytes([k]) for k in range(n)], "outside": [True] * n, "bands": bands,
+                         "bits": [module.packed(x) for x in low], "text": texts})
+        starts, limit = module._run_starts(part), 0.85 - module.margin(85)
+        candidates = sum(b.num_rows for b in module._similar(part, starts, limit))
+        found = [(x[0], y[0]) for b in module._links(part, starts, limit, 3, 85, {}) for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        return candidates, found
+
+    def variants(n, changed):
+        base = prose(120, 12).split()
+        return [" ".join([f"v{i}x{at}" if (at - 4 * i) % 120 in changed else w for at, w in enumerate(base)]) for i in range(n)]
+
+    below, alike = variants(30, (0, 1, 2, 3, 4, 5)), variants(30, (0, 1))
+    sets = [shingles(t, 3) for t in below]
+    assert all(100 * len(x & y) < 85 * len(x | y) for a, x in enumerate(sets) for y in sets[:a])
+    shared = [[7, 8]] * 30
+    candidates, found = links(below, shared, 7, [0] * 30)
+    assert candidates > 4 * len(below) and not found
+    candidates, found = links(alike, shared, 7, [0] * 30)
+    assert candidates == 435 and len(found) == 29 and len({x for p in found for x in p}) == 30
+    assert links(alike, shared, 8, [0] * 30)[1] == []         # they meet in bucket 7
+    assert len(links(alike, shared, 7, [0] * 10 + [1] * 20)[1]) == 28
+
+
 def test_broken_pages_take_linear_time():
     import time
 
