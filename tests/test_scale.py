@@ -84,6 +84,16 @@ def test_passes_of_kmeans_leave_the_rows_where_they_are(spark, cloud):
     assert "MapInArrow" in plan and "CoGroups" not in plan          # rows are neither shuffled nor sorted in a pass
 
 
+def test_tasks_of_a_pass_of_kmeans_follow_cores_not_rows(spark, cloud):
+    """Every task sends its own sums in a pass, so what a pass shuffles must not grow with the rows."""
+    rows = cloud.where("item < 700").select(*BY, "item", F.col("v").alias("_x"))
+    dealt = cluster._Blocks(rows, BY, ["item"], 10)
+    assert dealt.tasks <= spark.sparkContext.defaultParallelism and dealt.rows.count() == 700
+    centroids = cloud.where("item < 7").select(*BY, F.lit(0).alias("run"), F.col("item").cast("int").alias("cluster"), F.col("v").alias("c"))
+    by_table, by_blocks = (cluster._sums(dealt, c, BY).select("cluster", "n").orderBy("cluster").collect() for c in (centroids.toArrow(), centroids))
+    assert by_table == by_blocks and sum(r.n for r in by_table) == 700
+
+
 def test_sql_of_the_model_tables_draws_the_rows_that_the_fits_draw(cloud):
     rows = cloud.withColumn("window", F.lit(0)).withColumn("ind", F.when(F.col("item") < 90, "rare").otherwise(F.col("ind")))
     con = duckdb.connect()
