@@ -84,7 +84,7 @@ def score(df: DataFrame, by: list[str], n_init: int = 10) -> tuple[DataFrame, Da
     """
     df = scorable(df, by)
     cell = [*by, "split"]
-    splits = both_splits(df, by)
+    splits = both_splits(df, by).persist()      # probe, templates and encounters read it: vectors meet their folds once
     probe = probe_predictions(splits, cell).persist()
     windows = M.over_folds(fold_scores(probe, cell), cell, ["accuracy"]).filter(F.col("split") == "group").select(
         *by, F.col("accuracy").alias("accuracy_group_window_level"), F.col("accuracy_sd").alias("accuracy_group_sd"))

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from likeness import settings as S
-from likeness.operators import cluster, head, models, similarity
+from likeness.functions.text import draw_key
+from likeness.operators import cluster, head, models, ranking, similarity
 from likeness.operators import metrics as M
-from likeness.plans import oracle
+from likeness.plans import frozen, oracle
 
 BY = ["model"]
 
@@ -110,3 +111,58 @@ def test_a_centroid_without_rows_stays():
     got = cluster._moved(table, sums, BY, 1e-4).to_pydict()
     assert got["c"] == [[0, 0], [2, 1], [5, 5]] and got["_open"] == [True] * 3
     assert not any(cluster._moved(table, sums, BY, 2.0)["_open"].to_pylist())
+
+
+def _shuffled_rows(df):
+    """Rows that the shuffles of an executed plan wrote."""
+    def walk(node):
+        own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_many_first_rows_of_a_key_are_found_without_sorting_all_of_it(spark, cloud):
+    """Spark prunes rankings of up to 1,000 rows only: the first 4,096 rows of a cell, on which KMeans starts, took all its vectors to one task."""
+    key, was = draw_key("kmeans", "item"), spark.conf.get("spark.sql.adaptive.enabled")
+    want = [r.item for r in cloud.orderBy(key, "item").limit(1500).collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # one plan, whose metrics can be read
+    try:
+        got = ranking.first_by_key(cloud, BY, key, 1500, ["item"])
+        assert sorted(r.item for r in got.collect()) == sorted(want) and got.columns == cloud.columns
+        assert 1500 <= _shuffled_rows(got) < 1600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    keyless = cloud.withColumn("model", F.when(F.col("item") % 2 == 0, "m"))
+    assert ranking.first_by_key(keyless, BY, key, 1200, ["item"]).groupBy("model").count().select("count").collect() == [(1200,), (1200,)]
+    assert ranking.first_by_key(cloud, BY, key, 7000, ["item"]).count() == ranking.first_by_key(cloud, [], key, 7000, ["item"]).count() == 6000
+
+
+def test_tables_per_class_and_block_travel_to_the_vectors(spark, cloud):
+    """Joins by label or cell shuffled every vector before a fit drew its sample and before a model met its rows."""
+    rows, was = cloud.withColumn("window", F.lit(0)), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sample = models.fit_sample(rows, BY, "ind", ["item", "window"], "probe_fit", 700)
+        weights = spark.createDataFrame([("m", [0.0])], "model string, w array<double>")
+        applied = models.apply_models(rows, weights, BY, ["item"], [], lambda block, model: {})
+        for df in (sample, applied):
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert applied.count() == 6000
+
+
+def test_vectors_meet_their_folds_once_in_a_score(people, monkeypatch):
+    seen = []
+
+    def probe(splits, cell):
+        seen.append(splits.storageLevel.useMemory)
+        splits.unpersist()
+        raise InterruptedError
+
+    monkeypatch.setattr(frozen, "probe_predictions", probe)
+    with pytest.raises(InterruptedError):
+        frozen.score(people, BY)
+    assert seen == [True]
