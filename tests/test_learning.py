@@ -130,3 +130,13 @@ def test_leave_individuals_out_on_few_people(people):
     assert len(rows) == 12
     assert all(r.few_shot_40 is None and r.few_shot_1 is not None for r in rows)
     assert all(len(r.held_out.split("|")) == 3 for r in rows)
+
+
+def test_probe_fits_all_rows_in_passes_as_it_does_in_one_task(people):
+    f = group_folds(people, BY).persist()
+    one = {r.fold: r for r in probe_models(f, BY).collect()}
+    many = {r.fold: r for r in probe_models(f, BY, fit_rows=60).collect()}
+    assert one.keys() == many.keys()
+    for k, m in many.items():
+        assert m.n_fit == m.n_train == f.where(f"fold <> {k}").count() and m.classes == one[k].classes and m.gradient < 1e-5
+        assert np.allclose(m.w, one[k].w, atol=1e-3)
