@@ -460,11 +460,11 @@ def fit_sample(src: str, out: str, purpose: str, fit_rows: int, least: int = 64)
 
 # Folds whose train side misses an individual have no fit.
 ORACLE["probe_models"] = sql(
-    EMB, group_folds("e", "f"), fit_sample("f", "s", "probe_fit", 20000),
+    EMB, group_folds("e", "f"),
     """ok AS (SELECT t.fold FROM (SELECT DISTINCT fold FROM f) t JOIN f ON f.fold <> t.fold
   GROUP BY t.fold HAVING count(DISTINCT f.ind) = (SELECT count(DISTINCT ind) FROM e))""",
-    select="""SELECT CAST(t.fold AS BIGINT) AS fold, count(DISTINCT s.ind) AS n_classes, CAST(max(len(s.v)) AS BIGINT) AS dim, count(*) AS n_fit,
-  true AS optimal FROM ok t JOIN s ON s.fold <> t.fold GROUP BY t.fold""")
+    select="""SELECT CAST(t.fold AS BIGINT) AS fold, count(DISTINCT f.ind) AS n_classes, CAST(max(len(f.v)) AS BIGINT) AS dim, count(*) AS n_fit,
+  true AS optimal FROM ok t JOIN f ON f.fold <> t.fold GROUP BY t.fold""")
 
 # KMeans -----------------------------------------------------------------------------------------
 # Ten restarts: draws by squared distance, then Lloyd's steps until no centroid moves by more than 1e-4.

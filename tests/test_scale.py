@@ -166,3 +166,10 @@ def test_vectors_meet_their_folds_once_in_a_score(people, monkeypatch):
     with pytest.raises(InterruptedError):
         frozen.score(people, BY)
     assert seen == [True]
+
+
+def test_sql_of_the_probe_counts_all_train_rows():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings AS SELECT i AS vec_id, CAST(i % 3 AS INTEGER) AS label, [CAST(i AS FLOAT), 1.0] AS embedding FROM range(21000) t(i)")
+    got = con.execute(oracle.ORACLE["probe_models"]).fetchall()
+    assert len(got) == 5 and sum(r[3] for r in got) == 4 * 21000
