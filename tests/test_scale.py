@@ -173,3 +173,14 @@ def test_sql_of_the_probe_counts_all_train_rows():
     con.execute("CREATE TABLE embeddings AS SELECT i AS vec_id, CAST(i % 3 AS INTEGER) AS label, [CAST(i AS FLOAT), 1.0] AS embedding FROM range(21000) t(i)")
     got = con.execute(oracle.ORACLE["probe_models"]).fetchall()
     assert len(got) == 5 and sum(r[3] for r in got) == 4 * 21000
+
+
+def test_first_centroids_are_drawn_among_all_rows(cloud):
+    rows = cloud.withColumn("_x", F.col("v")).withColumn("_kinds", F.lit(5)).select("model", "item", "_x", "_kinds").persist()
+    want = cluster.first_centroids(rows, BY, ["item"], 2, 7, seed_rows=6000).orderBy("run", "cluster").collect()     # in one task
+    got = cluster.first_centroids(rows, BY, ["item"], 2, 7).orderBy("run", "cluster").collect()
+    assert got == want and len(got) == 10
+    x = np.array([r._x for r in rows.orderBy("item").collect()])
+    at = int(cluster._uniform("7|0|0") * 6000)          # by hand: the first draw, and the second by squared distances to it
+    near = np.cumsum(((x - x[at]) ** 2).sum(axis=1))
+    assert got[0].c == x[at].tolist() and got[1].c == x[np.searchsorted(near, cluster._uniform("7|0|1") * near[-1])].tolist()
