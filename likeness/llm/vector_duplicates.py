@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hashlib import blake2b
-from math import comb, erf, sqrt
+from math import ceil, comb, erf, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,9 @@ from likeness.session import spread
 PROJECTIONS = 40
 STEPS = 10                  # half width of a query's window, in quantised cells
 REACH = 63                  # cells on either side of zero; differences then fit a signed byte
-BLOCK = 4096                # vectors of a block
+BLOCK = 4096                # vectors whose windows are laid out at a time
+STRIP_BYTES = 64 << 20      # of vectors in a strip
+PAIRS = 1 << 16             # pairs joined at a time
 TILE = 256                  # queries counted at a time
 MISS = 1e-4                 # share of pairs at the limit that the count may lose
 
@@ -73,15 +75,23 @@ class Windows:
         return out
 
 
+def strip_count(nodes: int, nbytes: int, tasks: int) -> int:
+    """Strips whose pairs make about ``tasks`` units of work: every vector is copied once per strip, so there are no more
+    than that unless a strip would outgrow a task."""
+    return max(1, min(ceil(nodes / BLOCK), max(ceil(sqrt(2 * tasks)), ceil(nbytes / STRIP_BYTES))))
+
+
 def candidate_pairs(left: np.ndarray, right: np.ndarray, need: int, same: bool):
-    """Index pairs whose collision count passes, a tile of queries at a time."""
-    windows = Windows(right)
-    for i in range(0, len(left), TILE):
-        a, b = np.nonzero(windows.counts(left[i:i + TILE]) >= need)
-        a += i
-        if same:
-            a, b = a[a < b], b[a < b]
-        yield a, b
+    """Index pairs whose collision count passes, a tile of queries against a block of vectors at a time."""
+    for j in range(0, len(right), BLOCK):
+        windows = Windows(right[j:j + BLOCK])
+        end = min(j + BLOCK, len(left)) if same else len(left)
+        for i in range(0, end, TILE):
+            a, b = np.nonzero(windows.counts(left[i:min(i + TILE, end)]) >= need)
+            a, b = a + i, b + j
+            if same:
+                a, b = a[a < b], b[a < b]
+            yield a, b
 
 
 def _prepared(rows: DataFrame, cosine: float) -> DataFrame:
@@ -114,10 +124,11 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
     One row per input row: the id, n_links (other rows linked directly), component_id (least id
     reachable, itself included) and kept. Equal vectors are one node with a multiplicity. Nodes are
-    dealt over blocks; every pair of blocks is one unit of work, which counts window collisions,
-    verifies the pairs that pass and returns a sum of links per node and a spanning forest, not the
-    pairs. Counting over single projections has no cheaper exact form, so work grows with the square
-    of the distinct vectors, spread over as many units.
+    dealt over strips; every pair of strips is one unit of work, which counts window collisions block
+    by block, verifies the pairs that pass and returns a sum of links per node and a spanning forest,
+    not the pairs. Strips follow the cores, so the copies of a vector do not grow with the rows.
+    Counting over single projections has no cheaper exact form, so work grows with the square of the
+    distinct vectors.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do
     vectors of other lengths and rows without an id. Equal ids of different vectors stay apart.
@@ -127,7 +138,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = stored(_prepared(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), cosine))
     nodes = stored(rows.where("node is not null and id is not null").groupBy("node", "dim").agg(
         F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("codes").alias("codes"), F.first("unit").alias("unit")))
-    blocks = max(1, -(-nodes.count() // BLOCK))
+    distinct, nbytes = nodes.agg(F.count(F.lit(1)), F.sum(F.octet_length("unit"))).first()     # two numbers; they only set the strips
+    blocks = strip_count(distinct, nbytes or 0, 4 * spark.sparkContext.defaultParallelism)
     need, limit = least_count(), cosine
     dealt = nodes.select("*", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
     partners = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(
@@ -148,14 +160,21 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         links, links2 = np.zeros(len(names), np.int64), np.zeros(len(names2), np.int64)
         forest = Forest(len(names) + (0 if same else len(names2)))
         shift = 0 if same else len(names)
+        near, waiting = [], 0
         for a, b in candidate_pairs(codes, codes2, need, same):
-            for at in range(0, len(a), 1 << 16):
-                x, y = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
+            for at in range(0, len(a), PAIRS):
+                x, y = a[at:at + PAIRS], b[at:at + PAIRS]
                 ok = np.einsum("ij,ij->i", unit[x], unit2[y]) >= limit
                 x, y = x[ok], y[ok]
                 np.add.at(links, x, m2[y])
                 np.add.at(links2, y, m[x])
-                forest.join(x, y + shift)
+                near.append((x, y + shift))
+                waiting += len(x)
+                if waiting >= PAIRS:
+                    forest.join(*map(np.concatenate, zip(*near)))
+                    near, waiting = [], 0
+        if near:
+            forest.join(*map(np.concatenate, zip(*near)))
         both = names if same else names + names2
         total = links + links2 if same else np.concatenate([links, links2])
         root = forest.roots()
@@ -163,7 +182,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         return pa.table({"node": pa.array([both[i] for i in some], pa.binary()), "links": pa.array(total[some]),
                          "root": pa.array([both[i] for i in root[some]], pa.binary())})
 
-    spread_units = spread(units, ["dim", "lo", "hi"], blocks * (blocks + 1) // 2)
+    spread_units = spread(units, ["dim", "lo", "hi"], 2 * blocks * (blocks + 1))      # so that few tasks get two units
     found = stored(spread_units.groupBy("dim", "lo", "hi").applyInArrow(work, "node binary, links long, root binary"))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from likeness.llm import vector_duplicates
 from likeness.llm.common import components
 from likeness.llm.contamination import decontaminate
 from likeness.llm.host_trust import filter_urls
@@ -185,6 +186,21 @@ def test_vectors(spark):
     assert len(got) == len(rows)
 
 
+def test_copies_of_a_vector_do_not_grow_with_the_vectors(spark, monkeypatch):
+    assert [vector_duplicates.strip_count(n, 512 * n, 48) for n in (0, 4096, 20_000, 100_000, 600_000)] == [1, 1, 5, 10, 10]
+    codes = vector_duplicates.projected(RNG.normal(size=(150, 8)) / 3, 0.95)
+    whole = {(a, b) for x, y in vector_duplicates.candidate_pairs(codes, codes, 20, True) for a, b in zip(x, y)}
+    monkeypatch.setattr(vector_duplicates, "BLOCK", 16)         # several blocks inside a pair of strips
+    for same, right in ((True, codes), (False, codes[:70])):
+        got = [(a, b) for x, y in vector_duplicates.candidate_pairs(codes, right, 20, same) for a, b in zip(x, y)]
+        want = {(a, b) for a in range(150) for b in range(len(right)) if (a < b or not same) and (np.abs(codes[a].astype(int) - codes[b]) <= 10).sum() >= 20}
+        assert len(got) == len(set(got)) and set(got) == want and (not same or want == whole)
+    rows = [(i, (np.eye(12)[i % 12] + 0.02 * RNG.normal(size=12)).tolist()) for i in range(90)] + [(90, [1.0, 2.0])]
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {
+        **{i: (len(range(i % 12, 90, 12)) - 1, i % 12) for i in range(90)}, 90: (0, 90)}
+
+
 def test_url_rules(spark):
     cases = [(1, "http://A.com/x", "com/", "allow"), (2, "https://m.example.com/en/1?q", "example.com/en/", "block"),
              (3, "https://x.www.example.com/en/", "www.example.com/en/", "allow"), (4, "http://b.net/fr/2#t", "net/fr/", "block"),
