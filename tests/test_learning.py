@@ -140,3 +140,13 @@ def test_probe_fits_all_rows_in_passes_as_it_does_in_one_task(people):
     for k, m in many.items():
         assert m.n_fit == m.n_train == f.where(f"fold <> {k}").count() and m.classes == one[k].classes and m.gradient < 1e-5
         assert np.allclose(m.w, one[k].w, atol=1e-3)
+
+
+@pytest.mark.parametrize("loss", ["proto", "supcon"])
+def test_heads_are_trained_on_all_rows_in_passes_as_in_one_task(people, loss, monkeypatch):
+    monkeypatch.setattr(head, "CHUNK_ROWS", 16)         # several strips of rows
+    rows = people.withColumn("is_train", F.col("item") % 5 != 0).withColumn("x", F.col("v"))
+    one = head.head_models(rows, BY, loss, max_epochs=4).first()
+    many = head.head_models(rows, BY, loss, max_epochs=4, fit_rows=40).first()
+    assert (many.n_fit, many.n_train, many.epochs) == (one.n_fit, one.n_train, 4) == (96, 96.0, 4)
+    assert many.loss == pytest.approx(one.loss, rel=1e-7) and np.allclose(many.w, one.w, atol=1e-6)
