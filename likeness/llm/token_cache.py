@@ -5,6 +5,9 @@ below a folder per version; the version digests the vocabulary file, the library
 Documents join their digest to the stored counts; texts whose digest is not stored are brought
 together once each, counted in Arrow batches and appended. Later runs count only new texts.
 
+Where the vocabulary's pre-tokenizer always opens a token at a space, a text's count is the sum of its words' counts, and
+the library counts a word once per task as long as there is room for it.
+
 Content is normalised as far as no library tells two texts apart: a null text is the empty one, which has
 no tokens and is never stored. Special strings inside a text follow the library's default, nothing is
 added, cut or padded.
@@ -29,8 +32,10 @@ from likeness.llm.common import small_batches, stored
 CACHE = "digest binary, n_tokens long"
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 18
-#: a space between letters or digits of a byte-level pre-tokenizer always opens a new token
-CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
+KNOWN_CHARS = 1 << 23       # of words whose counts a task remembers
+TASKS = "spark.sql.adaptive.coalescePartitions.minPartitionNum"
+#: a space after another character always opens a new token of a byte-level pre-tokenizer
+CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def tokenizer_version(path: str) -> str:
@@ -55,18 +60,32 @@ def counter(path: str):
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    cuttable = _cuttable(path)
 
-    def count(texts):
-        pieces = [list(_pieces(t)) if cuttable else [t] for t in texts]
-        found = iter(model.encode_batch_fast([p for ps in pieces for p in ps], add_special_tokens=False))
-        return [sum(len(next(found)) for _ in ps) for ps in pieces]
+    def lengths(texts):
+        return [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    if not _cuttable(path):
+        return lengths
+    known: dict[str, int] = {}
+    room = KNOWN_CHARS
+
+    def count(piece):
+        nonlocal room
+        words = CUT.split(piece)
+        fresh = list(set(words).difference(known))
+        known.update(zip(fresh, lengths(fresh)))
+        total = sum(map(known.__getitem__, words))
+        room -= sum(map(len, fresh))
+        if room < 0:
+            known.clear()
+            room = KNOWN_CHARS
+        return total
 
-    return count
+    return lambda texts: [sum(map(count, _pieces(t))) for t in texts]
 
 
 def _cuttable(path: str) -> bool:
-    """May a text be counted in pieces? Only where the file says that a space between letters is a border."""
+    """May a text be counted word by word? Only where the file says that a space after another character is a border."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     before = spec.get("pre_tokenizer") or {}
@@ -122,7 +141,13 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
         texts = docs.select(digest.alias("digest"), content.alias("content")).where("content <> ''").dropDuplicates(["digest"])
         if known is not None:
             texts = texts.join(misses, "digest", "left_semi")
-        texts.mapInArrow(_encoder(tokenizer), CACHE).write.mode("append").parquet(folder)
+        # Adaptive execution would merge them to about as many tasks as cores: a few more, and most cores wait for the last.
+        before = spark.conf.get(TASKS, None)
+        spark.conf.set(TASKS, 4 * spark.sparkContext.defaultParallelism)
+        try:
+            texts.mapInArrow(_encoder(tokenizer), CACHE).write.mode("append").parquet(folder)
+        finally:
+            spark.conf.unset(TASKS) if before is None else spark.conf.set(TASKS, before)
         known = cached(spark, folder)
     found = rows.join(known, F.col("_digest") == F.col("digest"), "left")
     return found.select("_row.*", "_n_bytes", F.when(F.col("_n_bytes") == 0, F.lit(0)).otherwise(F.col("n_tokens")).cast("long").alias("_n_tokens"))

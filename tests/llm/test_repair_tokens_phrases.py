@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,32 @@ def test_empty_table_and_versions(spark, tmp_path):
     assert len({tokenizer_version(P.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")}) == 3
 
 
+def test_a_word_is_counted_once_and_words_add_up(monkeypatch):
+    import tokenizers
+
+    asked, path = [], P.path("byte_bpe_50k.json")
+
+    class Model:
+        def __init__(self, model):
+            self.model, self.no_truncation, self.no_padding = model, model.no_truncation, model.no_padding
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.model.encode_batch_fast(texts, **options)
+
+    rng = np.random.default_rng(3)
+    signs = [" ", "  ", "\n", "\t ", " \n", "\x1c", "\u3000 ", "\xa0", "ab", "don't", "'ll", "12", "é", "...", "<|endoftext|>", "日本", "\u0301", "!? "]
+    texts = ["".join(rng.choice(signs, 60)) for _ in range(300)] + ["red green red blue red green", "\x1c a"]
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Tokenizer", (), {"from_file": staticmethod(lambda p, t=tokenizers.Tokenizer: Model(t.from_file(p)))}))
+    count = token_cache.counter(path)
+    assert count(texts[-2:-1]) + count(texts[-2:-1]) == [6, 6] and sorted(asked) == [" blue", " green", " red", "red"]
+    monkeypatch.undo()
+    assert count(texts) == directly("byte_bpe_50k.json", texts)
+    monkeypatch.setattr(token_cache, "KNOWN_CHARS", 100)         # words are forgotten now and then
+    monkeypatch.setattr(token_cache, "PIECE_CHARS", 50)
+    assert token_cache.counter(path)(texts) == directly("byte_bpe_50k.json", texts)
+
+
 # Collocations -----------------------------------------------------------------------------------
 def mined(docs, longest, least, percent, top):
     f, n = Counter(), Counter()
