@@ -184,3 +184,18 @@ def test_first_centroids_are_drawn_among_all_rows(cloud):
     at = int(cluster._uniform("7|0|0") * 6000)          # by hand: the first draw, and the second by squared distances to it
     near = np.cumsum(((x - x[at]) ** 2).sum(axis=1))
     assert got[0].c == x[at].tolist() and got[1].c == x[np.searchsorted(near, cluster._uniform("7|0|1") * near[-1])].tolist()
+
+
+def test_a_screen_in_single_precision_finds_the_same_nearest_reference(monkeypatch):
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    q, r = unit(rng.normal(size=(700, 16))), unit(rng.normal(size=(6000, 16)))
+    near = unit(q[:200] + 1e-9 * rng.normal(size=(200, 16)))       # differ less than single precision sees
+    cases = [(q, r), (q, np.vstack([r, near, q[:200], q[:200], near])), (q, np.repeat(q[:3], 2000, axis=0)), (1e3 * q, -1e-3 * r), (0 * q, r)]
+    found = [similarity._top_positions(a, b, 1, 9) for a, b in cases]
+    assert all(similarity._best_positions(a, b, 9) is not None for a, b in cases)
+    assert similarity._best_positions(q, np.vstack([r, np.full((1, 16), np.nan)]), 9) is None
+    monkeypatch.setattr(similarity, "SCREEN_ROWS", 10**9)
+    for (a, b), (positions, scores) in zip(cases, found):
+        want = similarity._top_positions(a, b, 1, 9)
+        assert (positions == want[0]).all() and (scores == want[1]).all()
